@@ -25,6 +25,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
                     buckets: int = 1024, with_count: bool = False) -> DataFrame:
     keys = list(keys)
     names = names or [f"q{i}" for i in range(len(probs))]
+    for p in probs:
+        _check_prob(p)
+    if not keys:   # one global group: give it a constant key, drop it after
+        out = exact_quantiles(df.withColumn("_g", F.lit(0)), ["_g"], value, probs, names,
+                              max_group_rows, buckets, with_count)
+        return out.drop("_g")
     base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),

@@ -2,7 +2,7 @@
 its queries) and returns the catalog module."""
 import importlib
 
-_MODULES = ["q_features"]
+_MODULES = ["q_features", "q_profile"]
 
 
 def load_all():

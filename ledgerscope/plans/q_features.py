@@ -53,7 +53,7 @@ def dest_history_range(spark, sf_dir):
 
 
 # ------------------------------------------------------- B1: all 25 features
-FEATURES_SQL = with_ledger("""
+FEATURE_CTES = """
 h AS (
   SELECT a.event_id, count(b.event_id) AS n, count(DISTINCT b.nameOrig) AS u,
          coalesce(sum(b.amount), 0) AS tot, coalesce(max(b.amount), 0) AS mx
@@ -73,36 +73,43 @@ f AS (
   SELECT l.*, h.n, h.u, h.tot, h.mx, CASE WHEN h.n > 0 THEN h.tot / h.n ELSE 0 END AS av,
          CASE WHEN th.n > 0 THEN th.s / th.n END AS tav, p95.p
   FROM ledger l JOIN h USING (event_id) LEFT JOIN th USING (type, step) LEFT JOIN p95 USING (type)
-)""") + """
-SELECT event_id, step, type, isFraud,
-  round(ln(1 + amount), 6) AS log_amount,
-  round(oldbalanceOrg - newbalanceOrig, 4) AS balance_change_orig,
-  round(oldbalanceOrg - amount - newbalanceOrig, 4) AS balance_error_orig,
-  cast(newbalanceOrig = 0 AS INT) AS drained_to_zero,
-  cast(oldbalanceOrg = 0 AS INT) AS origin_balance_zero_before,
-  round(least(1000.0, CASE WHEN oldbalanceOrg > 0 THEN amount / oldbalanceOrg ELSE 1000.0 END), 6)
-    AS amount_to_origin_balance_ratio,
-  round(newbalanceDest - oldbalanceDest, 4) AS balance_change_dest,
-  round(oldbalanceDest + amount - newbalanceDest, 4) AS balance_error_dest,
-  cast(oldbalanceDest = 0 AND newbalanceDest = 0 AND amount > 0 AS INT) AS dest_balance_artifact_flag,
-  cast(step % 24 AS INT) AS hour_of_day,
-  cast(floor(step / 24.0) AS INT) AS day_index,
-  round(sin(2 * pi() * (step % 24) / 24.0), 6) AS hour_sin,
-  round(cos(2 * pi() * (step % 24) / 24.0), 6) AS hour_cos,
-  cast(type = 'TRANSFER' AS INT) AS is_transfer,
-  cast(type = 'CASH_OUT' AS INT) AS is_cash_out,
-  cast(type IN ('TRANSFER', 'CASH_OUT') AS INT) AS eligible_for_fraud_model,
-  cast(n AS BIGINT) AS hist_dest_txn_count,
-  cast(u AS BIGINT) AS hist_dest_unique_origin_count,
-  round(tot, 4) AS hist_dest_total_amount,
-  round(av, 6) AS hist_dest_avg_amount,
-  round(mx, 4) AS hist_dest_max_amount,
-  cast(n = 0 AS INT) AS destination_is_new,
-  round(least(1000.0, CASE WHEN av > 0 THEN amount / av ELSE 1.0 END), 6) AS amount_to_dest_avg_ratio,
-  round(least(1000.0, CASE WHEN tav IS NOT NULL AND tav > 0 THEN amount / tav ELSE 1.0 END), 6)
-    AS amount_to_type_avg_ratio,
-  cast(coalesce(amount > p, false) AS INT) AS high_amount_indicator
-FROM f"""
+),
+feat AS (
+  SELECT event_id, step, type, amount, nameOrig, nameDest, oldbalanceOrg, newbalanceOrig,
+    oldbalanceDest, newbalanceDest, isFraud, isFlaggedFraud,
+    ln(1 + amount) AS log_amount,
+    oldbalanceOrg - newbalanceOrig AS balance_change_orig,
+    oldbalanceOrg - amount - newbalanceOrig AS balance_error_orig,
+    cast(newbalanceOrig = 0 AS INT) AS drained_to_zero,
+    cast(oldbalanceOrg = 0 AS INT) AS origin_balance_zero_before,
+    least(1000.0, CASE WHEN oldbalanceOrg > 0 THEN amount / oldbalanceOrg ELSE 1000.0 END)
+      AS amount_to_origin_balance_ratio,
+    newbalanceDest - oldbalanceDest AS balance_change_dest,
+    oldbalanceDest + amount - newbalanceDest AS balance_error_dest,
+    cast(oldbalanceDest = 0 AND newbalanceDest = 0 AND amount > 0 AS INT) AS dest_balance_artifact_flag,
+    cast(step % 24 AS INT) AS hour_of_day,
+    cast(floor(step / 24.0) AS INT) AS day_index,
+    sin(2 * pi() * (step % 24) / 24.0) AS hour_sin,
+    cos(2 * pi() * (step % 24) / 24.0) AS hour_cos,
+    cast(type = 'TRANSFER' AS INT) AS is_transfer,
+    cast(type = 'CASH_OUT' AS INT) AS is_cash_out,
+    cast(type IN ('TRANSFER', 'CASH_OUT') AS INT) AS eligible_for_fraud_model,
+    cast(n AS BIGINT) AS hist_dest_txn_count,
+    cast(u AS BIGINT) AS hist_dest_unique_origin_count,
+    tot AS hist_dest_total_amount, av AS hist_dest_avg_amount, mx AS hist_dest_max_amount,
+    cast(n = 0 AS INT) AS destination_is_new,
+    least(1000.0, CASE WHEN av > 0 THEN amount / av ELSE 1.0 END) AS amount_to_dest_avg_ratio,
+    least(1000.0, CASE WHEN tav IS NOT NULL AND tav > 0 THEN amount / tav ELSE 1.0 END)
+      AS amount_to_type_avg_ratio,
+    cast(coalesce(amount > p, false) AS INT) AS high_amount_indicator
+  FROM f
+)"""
+
+
+def with_features(*ctes: str) -> str:
+    """WITH prefix exposing the engineered ledger as ``feat``."""
+    return with_ledger(FEATURE_CTES, *ctes)
+
 
 _FEATURE_ROUND = {
     "log_amount": 6, "balance_change_orig": 4, "balance_error_orig": 4,
@@ -110,6 +117,18 @@ _FEATURE_ROUND = {
     "hour_sin": 6, "hour_cos": 6, "hist_dest_total_amount": 4, "hist_dest_avg_amount": 6,
     "hist_dest_max_amount": 4, "amount_to_dest_avg_ratio": 6, "amount_to_type_avg_ratio": 6,
 }
+_ENGINEERED = [
+    "log_amount", "balance_change_orig", "balance_error_orig", "drained_to_zero",
+    "origin_balance_zero_before", "amount_to_origin_balance_ratio", "balance_change_dest",
+    "balance_error_dest", "dest_balance_artifact_flag", "hour_of_day", "day_index", "hour_sin",
+    "hour_cos", "is_transfer", "is_cash_out", "eligible_for_fraud_model", "hist_dest_txn_count",
+    "hist_dest_unique_origin_count", "hist_dest_total_amount", "hist_dest_avg_amount",
+    "hist_dest_max_amount", "destination_is_new", "amount_to_dest_avg_ratio",
+    "amount_to_type_avg_ratio", "high_amount_indicator",
+]
+FEATURES_SQL = with_features() + "SELECT event_id, step, type, isFraud, " + ", ".join(
+    f"round({c}, {_FEATURE_ROUND[c]}) AS {c}" if c in _FEATURE_ROUND else c for c in _ENGINEERED) + " FROM feat"
+
 
 
 def rounded_features(feats):
@@ -128,13 +147,8 @@ def transaction_features(spark, sf_dir):
 
 
 # ------------------------------------------------------------ B2: step table
-STEP_TABLE_SQL = FEATURES_SQL.split("\nSELECT event_id, step, type, isFraud,")[0].replace(
-    "WITH ", "WITH ", 1) + """,
-fe AS (
-  SELECT step, amount, isFraud, cast(type = 'TRANSFER' AS INT) AS is_transfer,
-         cast(type = 'CASH_OUT' AS INT) AS is_cash_out, cast(coalesce(amount > p, false) AS INT) AS high
-  FROM f
-),
+STEP_TABLE_SQL = with_features("""
+fe AS (SELECT step, amount, isFraud, is_transfer, is_cash_out, high_amount_indicator AS high FROM feat),
 agg AS (
   SELECT step, count(*) AS transaction_count, sum(is_transfer) AS transfer_count,
          sum(is_cash_out) AS cash_out_count, sum(amount) AS total_amount, avg(amount) AS average_amount,
@@ -154,7 +168,7 @@ w2 AS (
   SELECT *, avg(gt_fraud_rate) OVER (PARTITION BY hod ORDER BY step
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gtr
   FROM w
-)
+)""") + """
 SELECT step,
   cast(transaction_count AS BIGINT) AS transaction_count, cast(transfer_count AS BIGINT) AS transfer_count,
   cast(cash_out_count AS BIGINT) AS cash_out_count, round(total_amount, 4) AS total_amount,
