@@ -2,7 +2,7 @@
 its queries) and returns the catalog module."""
 import importlib
 
-_MODULES = ["q_features", "q_profile"]
+_MODULES = ["q_features", "q_profile", "q_metrics"]
 
 
 def load_all():
