@@ -147,7 +147,7 @@ def transaction_features(spark, sf_dir):
 
 
 # ------------------------------------------------------------ B2: step table
-STEP_TABLE_SQL = with_features("""
+STEP_CTES = """
 fe AS (SELECT step, amount, isFraud, is_transfer, is_cash_out, high_amount_indicator AS high FROM feat),
 agg AS (
   SELECT step, count(*) AS transaction_count, sum(is_transfer) AS transfer_count,
@@ -168,19 +168,25 @@ w2 AS (
   SELECT *, avg(gt_fraud_rate) OVER (PARTITION BY hod ORDER BY step
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gtr
   FROM w
-)""") + """
-SELECT step,
-  cast(transaction_count AS BIGINT) AS transaction_count, cast(transfer_count AS BIGINT) AS transfer_count,
-  cast(cash_out_count AS BIGINT) AS cash_out_count, round(total_amount, 4) AS total_amount,
-  round(average_amount, 6) AS average_amount, round(median_amount, 6) AS median_amount,
-  cast(high_amount_count AS BIGINT) AS high_amount_count, cast(gt_fraud_count AS BIGINT) AS gt_fraud_count,
-  round(gt_fraud_rate, 6) AS gt_fraud_rate, cast(hod AS INT) AS hour_of_day,
-  cast(floor(step / 24.0) AS INT) AS day_index,
-  round(btxn, 6) AS hist_avg_txn_count_same_hour, round(bamt, 6) AS hist_avg_amount_same_hour,
-  round(coalesce(transaction_count / nullif(btxn, 0), 1.0), 6) AS txn_count_vs_hour_baseline_ratio,
-  round(coalesce(average_amount / nullif(bamt, 0), 1.0), 6) AS amount_vs_hour_baseline_ratio,
-  round(gtr, 6) AS gt_hist_avg_fraud_rate_same_hour
-FROM w2"""
+),
+stp AS (
+  SELECT step,
+    cast(transaction_count AS BIGINT) AS transaction_count, cast(transfer_count AS BIGINT) AS transfer_count,
+    cast(cash_out_count AS BIGINT) AS cash_out_count, total_amount, average_amount, median_amount,
+    cast(high_amount_count AS BIGINT) AS high_amount_count, cast(gt_fraud_count AS BIGINT) AS gt_fraud_count,
+    gt_fraud_rate, cast(hod AS INT) AS hour_of_day, cast(floor(step / 24.0) AS INT) AS day_index,
+    btxn AS hist_avg_txn_count_same_hour, bamt AS hist_avg_amount_same_hour,
+    coalesce(transaction_count / nullif(btxn, 0), 1.0) AS txn_count_vs_hour_baseline_ratio,
+    coalesce(average_amount / nullif(bamt, 0), 1.0) AS amount_vs_hour_baseline_ratio,
+    gtr AS gt_hist_avg_fraud_rate_same_hour
+  FROM w2
+)"""
+
+
+def round_select(cols_round: dict, cols: list[str], src: str) -> str:
+    return "SELECT " + ", ".join(f"round({c}, {cols_round[c]}) AS {c}" if c in cols_round else c
+                                 for c in cols) + f" FROM {src}"
+
 
 _STEP_ROUND = {"total_amount": 4, "average_amount": 6, "median_amount": 6, "gt_fraud_rate": 6,
                "hist_avg_txn_count_same_hour": 6, "hist_avg_amount_same_hour": 6,
@@ -198,6 +204,14 @@ def build_step_table(spark, sf_dir):
     return ST.step_table(feats, max_rows_per_step=ST.max_group_rows(led.select("step"), ["step"]))
 
 
+STEP_COLUMNS = [
+    "step", "transaction_count", "transfer_count", "cash_out_count", "total_amount", "average_amount",
+    "median_amount", "high_amount_count", "gt_fraud_count", "gt_fraud_rate", "hour_of_day", "day_index",
+    "hist_avg_txn_count_same_hour", "hist_avg_amount_same_hour", "txn_count_vs_hour_baseline_ratio",
+    "amount_vs_hour_baseline_ratio", "gt_hist_avg_fraud_rate_same_hour"]
+STEP_TABLE_SQL = with_features(STEP_CTES) + round_select(_STEP_ROUND, STEP_COLUMNS, "stp")
+
+
 @register("step_table", STEP_TABLE_SQL)
 def step_table(spark, sf_dir):
     """A21 + W4-W6: one row per step with same-hour baselines (flagship)."""

@@ -8,7 +8,7 @@ from ..operators import quality as Q
 from ..operators import steps as ST
 from ..sources.ledger import RAW_COLUMNS
 from .catalog import ledger, r, register
-from .q_features import STEP_TABLE_SQL, with_features
+from .q_features import STEP_CTES, with_features
 from .sql import with_ledger
 
 NUMERIC = ["event_id", "step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest",
@@ -98,7 +98,7 @@ def single_feature_auc(spark, sf_dir):
     return Q.single_feature_auc(features(spark, sf_dir))
 
 
-@register("label_reconciliation", STEP_TABLE_SQL.split("\nSELECT step,", 1)[0] + """
+@register("label_reconciliation", with_features(STEP_CTES) + """
 SELECT (SELECT cast(sum(gt_fraud_count) AS BIGINT) FROM agg) AS step_table_fraud, (SELECT count(*) FROM agg) AS steps,
   (SELECT cast(sum(isFraud) AS BIGINT) FROM feat) AS transaction_fraud,
   (SELECT sum(gt_fraud_count) FROM agg) = (SELECT sum(isFraud) FROM feat) AS match""")
