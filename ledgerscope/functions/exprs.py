@@ -18,6 +18,16 @@ VALID_TYPES = ["PAYMENT", "TRANSFER", "CASH_OUT", "CASH_IN", "DEBIT"]
 MODEL_TYPES = ["TRANSFER", "CASH_OUT"]
 
 
+def cents(amount) -> Column:
+    """Money as whole cents (long): sums of cents are exact, so totals do not
+    depend on how rows are partitioned or ordered."""
+    return F.round(c(amount) * 100).cast("long")
+
+
+def from_cents(total: Column) -> Column:
+    return total / F.lit(100.0)
+
+
 def c(name) -> Column:
     return F.col(name) if isinstance(name, str) else name
 

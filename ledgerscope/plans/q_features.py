@@ -14,7 +14,7 @@ DEST_HISTORY_SQL = with_ledger("""
 h AS (
   SELECT a.event_id, a.step, a.nameDest, a.amount,
          count(b.event_id) AS n, count(DISTINCT b.nameOrig) AS u,
-         coalesce(sum(b.amount), 0) AS tot, coalesce(max(b.amount), 0) AS mx
+         coalesce(sum(cast(round(b.amount * 100) AS BIGINT)), 0) / 100.0 AS tot, coalesce(max(b.amount), 0) AS mx
   FROM ledger a LEFT JOIN ledger b ON a.nameDest = b.nameDest AND b.step < a.step
   GROUP BY a.event_id, a.step, a.nameDest, a.amount
 )""") + """
@@ -56,7 +56,7 @@ def dest_history_range(spark, sf_dir):
 FEATURE_CTES = """
 h AS (
   SELECT a.event_id, count(b.event_id) AS n, count(DISTINCT b.nameOrig) AS u,
-         coalesce(sum(b.amount), 0) AS tot, coalesce(max(b.amount), 0) AS mx
+         coalesce(sum(cast(round(b.amount * 100) AS BIGINT)), 0) / 100.0 AS tot, coalesce(max(b.amount), 0) AS mx
   FROM ledger a LEFT JOIN ledger b ON a.nameDest = b.nameDest AND b.step < a.step
   GROUP BY a.event_id
 ),
