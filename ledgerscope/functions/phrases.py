@@ -100,10 +100,10 @@ def narrative(score: Column, band: Column, pos: Column, neg: Column) -> Column:
     high = F.concat(title, F.lit(" risk (score "), s3, F.lit(") because "),
                     F.array_join(F.slice(pos_phr, 1, 2), " and "), F.lit("."))
     low_both = F.concat(F.lit("Low risk overall (score "), s3,
-                        F.lit("). The model's strongest score-raising factor was that "), F.element_at(pos_phr, 1),
+                        F.lit("). The model's strongest score-raising factor was that "), F.try_element_at(pos_phr, F.lit(1)),
                         F.lit(", but this was outweighed by: "), F.array_join(F.slice(neg_phr, 1, 2), "; "),
                         F.lit("."))
-    low_pos = F.concat(F.lit("Low risk overall (score "), s3, F.lit("), despite "), F.element_at(pos_phr, 1),
+    low_pos = F.concat(F.lit("Low risk overall (score "), s3, F.lit("), despite "), F.try_element_at(pos_phr, F.lit(1)),
                        F.lit("."))
     low_none = F.concat(F.lit("Low risk (score "), s3,
                         F.lit("): no score-raising factors found among the model's top contributing features."))

@@ -102,7 +102,7 @@ def root_cause_batch(steps: DataFrame, flagged: DataFrame, top_n: int) -> DataFr
     drivers = F.array_sort(drivers, lambda a, b: F.when(a["ratio"] > b["ratio"], -1)
                            .when(a["ratio"] < b["ratio"], 1)
                            .otherwise(a["o"] - b["o"]))
-    top = F.element_at(drivers, 1)
+    top = F.try_element_at(drivers, F.lit(1))
     sentence = F.concat(
         F.lit("Step "), F.col("step").cast("string"), F.lit(" (hour_of_day="), F.col("hour_of_day").cast("string"),
         F.lit(", day_index="), F.col("day_index").cast("string"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import features as FE
 from ..operators import history as H
 from ..operators import steps as ST
-from .catalog import ledger, r, register
+from .catalog import ledger, r, register, supplier_ledger
 from .sql import with_ledger
 
 # ---------------------------------------------------------------- B0: W1+W2+J1
@@ -52,6 +52,42 @@ def dest_history_range(spark, sf_dir):
     return _dest_history_out(H.with_destination_features(ledger(spark, sf_dir), method="range"))
 
 
+# ------------------------------------- heavier history bench: lineitem ledger
+SUPPLIER_SQL = """
+WITH sl AS (
+  SELECT l.l_orderkey AS k, date_diff('day', DATE '1995-01-01', cast(l.l_shipdate AS DATE)) AS step,
+    l.l_extendedprice AS amount, concat('C', cast(o.o_custkey AS varchar)) AS nameOrig,
+    concat('S', cast(l.l_suppkey AS varchar)) AS nameDest
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+ps AS (SELECT nameDest, step, count(*) AS n, sum(cast(round(amount * 100) AS BIGINT)) AS c, max(amount) AS mx
+       FROM sl GROUP BY nameDest, step),
+fs AS (SELECT nameDest, min(step) AS step FROM sl GROUP BY nameDest, nameOrig),
+nu AS (SELECT nameDest, step, count(*) AS u FROM fs GROUP BY nameDest, step),
+h AS (
+  SELECT a.nameDest, a.step, coalesce(sum(b.n), 0) AS n, coalesce(sum(b.c), 0) / 100.0 AS tot,
+         coalesce(max(b.mx), 0) AS mx,
+         (SELECT count(*) FROM fs WHERE fs.nameDest = a.nameDest AND fs.step < a.step) AS u
+  FROM ps a LEFT JOIN ps b ON a.nameDest = b.nameDest AND b.step < a.step GROUP BY a.nameDest, a.step)
+SELECT nameDest, step, cast(sum(n) AS BIGINT) AS rows_at_step_x_prior_count,
+  cast(count(*) AS BIGINT) AS txn_rows, cast(max(u) AS BIGINT) AS hist_dest_unique_origin_count,
+  round(max(tot), 2) AS hist_dest_total_amount, round(max(mx), 2) AS hist_dest_max_amount
+FROM sl JOIN h USING (nameDest, step) GROUP BY nameDest, step"""
+
+
+@register("supplier_history", SUPPLIER_SQL)
+def supplier_history(spark, sf_dir):
+    """W1 + W2 on the lineitem ledger (supplier = destination, day steps):
+    per (supplier, day), the rows that day, the sum over those rows of their
+    prior count, and the prior distinct customers, total and maximum."""
+    d = H.prior_history(supplier_ledger(spark, sf_dir))
+    return d.groupBy("nameDest", "step").agg(
+        F.sum("hist_dest_txn_count").cast("long").alias("rows_at_step_x_prior_count"),
+        F.count(F.lit(1)).alias("txn_rows"),
+        F.max("hist_dest_unique_origin_count").cast("long").alias("hist_dest_unique_origin_count"),
+        F.round(F.max("hist_dest_total_amount"), 2).alias("hist_dest_total_amount"),
+        F.round(F.max("hist_dest_max_amount"), 2).alias("hist_dest_max_amount"))
+
+
 # ------------------------------------------------------- B1: all 25 features
 FEATURE_CTES = """
 h AS (
