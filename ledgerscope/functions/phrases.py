@@ -1,8 +1,7 @@
-"""Explanation text (E7, E8) as column expressions.
+"""Explanation text (E7, E8) as Spark SQL expressions.
 
-``phrase(feature, value)`` describes a feature value in plain words; numbers
-use ``format_number`` (half-even on the exact binary value, like Python's
-format specs), with the grouping commas removed where the text has none.
+Numbers use ``format_number`` (half-even on the exact binary value, like
+Python's format specs), with grouping commas removed where the text has none.
 """
 from __future__ import annotations
 
@@ -10,106 +9,118 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def money(v: Column) -> Column:
+def money_sql(v: str) -> str:
     """-Rs.1,234 style: sign, currency prefix, grouped whole units."""
-    return F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), F.lit("Rs."), F.format_number(F.abs(v), 0))
+    return f"concat(CASE WHEN {v} < 0 THEN '-' ELSE '' END, 'Rs.', format_number(abs({v}), 0))"
 
 
-def fixed(v: Column, places: int) -> Column:
+def fixed_sql(v: str, places: int) -> str:
     """Plain fixed-point text without grouping commas."""
-    return F.regexp_replace(F.format_number(v, places), ",", "")
+    return f"regexp_replace(format_number({v}, {places}), ',', '')"
+
+
+ORIGIN_RATIO_TAIL = "x the origin account's pre-transaction balance"
+DEST_RATIO_TAIL = "x this destination's historical average received amount"
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "\\'") + "'"
+
+
+def _int(v: str) -> str:
+    return f"cast(cast({v} as bigint) as string)"
 
 
-def _int(v: Column) -> Column:
-    return v.cast("long").cast("string")
+def _either(cond: str, yes: str, no: str) -> str:
+    return f"CASE WHEN {cond} THEN {yes} ELSE {no} END"
 
 
 # The description of each model feature's value.
-def _templates(v: Column) -> list[tuple[str, Column]]:
-    return [
-        ("amount", F.concat(F.lit("the transaction amount is "), money(v))),
-        ("log_amount", F.concat(F.lit("the log-scaled transaction amount is "), fixed(v, 2))),
-        ("balance_change_orig", F.when(v >= 0, F.concat(F.lit("the origin account balance decreased by "), money(v)))
-         .otherwise(F.concat(F.lit("the origin account balance increased by "), money(-v)))),
-        ("balance_error_orig", F.when(F.abs(v) < 1e-6, F.lit(
-            "the origin balance exactly matches the expected debit formula (oldbalance - amount = newbalance)"))
-         .otherwise(F.concat(F.lit("the origin balance deviates from the expected debit formula by "), money(v)))),
-        ("drained_to_zero", F.when(v == 1, F.lit("the transaction drains the origin account to exactly zero"))
-         .otherwise(F.lit("the origin account is not fully drained by this transaction"))),
-        ("origin_balance_zero_before", F.when(v == 1, F.lit(
-            "the origin account already had a zero balance before this transaction"))
-         .otherwise(F.lit("the origin account had a non-zero balance before this transaction"))),
-        ("amount_to_origin_balance_ratio", F.concat(F.lit("the transaction amount is "), fixed(v, 1),
-                                                    F.lit("x the origin account's pre-transaction balance"))),
-        ("balance_change_dest", F.when(v >= 0, F.concat(F.lit("the destination account balance increased by "),
-                                                        money(v)))
-         .otherwise(F.concat(F.lit("the destination account balance decreased by "), money(-v)))),
-        ("balance_error_dest", F.when(F.abs(v) < 1e-6, F.lit(
-            "the destination balance exactly matches the expected credit formula (oldbalance + amount = newbalance)"))
-         .otherwise(F.concat(F.lit("the destination balance deviates from the expected credit formula by "),
-                             money(v)))),
-        ("dest_balance_artifact_flag", F.when(v == 1, F.lit(
-            "the destination's balance fields are both zero (an untracked/mule-like destination pattern)"))
-         .otherwise(F.lit("the destination's balance fields look normally tracked"))),
-        ("hour_of_day", F.concat(F.lit("it occurred at hour "), _int(v), F.lit(" of the simulated 24-hour cycle"))),
-        ("hour_sin", F.lit("part of this transaction's cyclical time-of-day encoding")),
-        ("hour_cos", F.lit("part of this transaction's cyclical time-of-day encoding")),
-        ("is_transfer", F.when(v == 1, F.lit("it is a TRANSFER transaction"))
-         .otherwise(F.lit("it is a CASH_OUT transaction"))),
-        ("hist_dest_txn_count", F.concat(F.lit("this destination has "), _int(v), F.lit(" prior recorded transactions"))),
-        ("hist_dest_unique_origin_count", F.concat(F.lit("this destination has received from "), _int(v),
-                                                   F.lit(" distinct senders historically"))),
-        ("hist_dest_total_amount", F.concat(F.lit("this destination has received "), money(v), F.lit(" historically"))),
-        ("hist_dest_avg_amount", F.concat(F.lit("this destination typically receives around "), money(v))),
-        ("hist_dest_max_amount", F.concat(F.lit("the largest amount this destination has ever received is "),
-                                          money(v))),
-        ("destination_is_new", F.when(v == 1, F.lit(
-            "the destination account has no prior transaction history (brand new)"))
-         .otherwise(F.lit("the destination account has prior transaction history"))),
-        ("amount_to_dest_avg_ratio", F.concat(F.lit("the amount is "), fixed(v, 1),
-                                              F.lit("x this destination's historical average received amount"))),
-        ("amount_to_type_avg_ratio", F.concat(F.lit("the amount is "), fixed(v, 1),
-                                              F.lit("x the historical average amount for this transaction type"))),
-        ("high_amount_indicator", F.when(v == 1, F.lit(
-            "the amount exceeds the historical 95th-percentile threshold for this transaction type"))
-         .otherwise(F.lit("the amount is within the normal range for this transaction type"))),
-    ]
-
-
-def phrase(feature: Column, value: Column) -> Column:
-    """The phrase for (feature, value); unknown features fall back to 'f = v'."""
-    expr = None
-    for name, text in _templates(value):
-        expr = F.when(feature == name, text) if expr is None else expr.when(feature == name, text)
-    return expr.otherwise(F.concat(feature, F.lit(" = "), value.cast("string")))
-
-
-def with_phrases(contribs: Column) -> Column:
-    """Add ``phrase`` to every struct of an array<struct<feature, value, shap_value>>."""
-    return F.transform(contribs, lambda c: F.struct(
-        c["feature"].alias("feature"), c["value"].alias("value"),
-        F.round(c["shap_value"], 6).alias("shap_value"), phrase(c["feature"], c["value"]).alias("phrase")))
-
-
-def narrative(score: Column, band: Column, pos: Column, neg: Column) -> Column:
+def template(feature: str, v: str) -> str | None:
+    m, f1, f2 = money_sql(v), fixed_sql(v, 1), fixed_sql(v, 2)
+    t = {
+        "amount": f"concat('the transaction amount is ', {m})",
+        "log_amount": f"concat('the log-scaled transaction amount is ', {f2})",
+        "balance_change_orig": _either(f"{v} >= 0", f"concat('the origin account balance decreased by ', {m})",
+                                       f"concat('the origin account balance increased by ', {money_sql('-' + v)})"),
+        "balance_error_orig": _either(
+            f"abs({v}) < 1e-6",
+            _lit("the origin balance exactly matches the expected debit formula (oldbalance - amount = newbalance)"),
+            f"concat('the origin balance deviates from the expected debit formula by ', {m})"),
+        "drained_to_zero": _either(f"{v} = 1", _lit("the transaction drains the origin account to exactly zero"),
+                                   _lit("the origin account is not fully drained by this transaction")),
+        "origin_balance_zero_before": _either(
+            f"{v} = 1", _lit("the origin account already had a zero balance before this transaction"),
+            _lit("the origin account had a non-zero balance before this transaction")),
+        "amount_to_origin_balance_ratio": f"concat('the transaction amount is ', {f1}, "
+                                          f"{_lit(ORIGIN_RATIO_TAIL)})",
+        "balance_change_dest": _either(f"{v} >= 0", f"concat('the destination account balance increased by ', {m})",
+                                       f"concat('the destination account balance decreased by ', "
+                                       f"{money_sql('-' + v)})"),
+        "balance_error_dest": _either(
+            f"abs({v}) < 1e-6",
+            _lit("the destination balance exactly matches the expected credit formula (oldbalance + amount = "
+                 "newbalance)"),
+            f"concat('the destination balance deviates from the expected credit formula by ', {m})"),
+        "dest_balance_artifact_flag": _either(
+            f"{v} = 1", _lit("the destination's balance fields are both zero (an untracked/mule-like destination "
+                             "pattern)"),
+            _lit("the destination's balance fields look normally tracked")),
+        "hour_of_day": f"concat('it occurred at hour ', {_int(v)}, ' of the simulated 24-hour cycle')",
+        "hour_sin": _lit("part of this transaction's cyclical time-of-day encoding"),
+        "hour_cos": _lit("part of this transaction's cyclical time-of-day encoding"),
+        "is_transfer": _either(f"{v} = 1", _lit("it is a TRANSFER transaction"), _lit("it is a CASH_OUT transaction")),
+        "hist_dest_txn_count": f"concat('this destination has ', {_int(v)}, ' prior recorded transactions')",
+        "hist_dest_unique_origin_count": f"concat('this destination has received from ', {_int(v)}, "
+                                         f"' distinct senders historically')",
+        "hist_dest_total_amount": f"concat('this destination has received ', {m}, ' historically')",
+        "hist_dest_avg_amount": f"concat('this destination typically receives around ', {m})",
+        "hist_dest_max_amount": f"concat('the largest amount this destination has ever received is ', {m})",
+        "destination_is_new": _either(
+            f"{v} = 1", _lit("the destination account has no prior transaction history (brand new)"),
+            _lit("the destination account has prior transaction history")),
+        "amount_to_dest_avg_ratio": f"concat('the amount is ', {f1}, "
+                                    f"{_lit(DEST_RATIO_TAIL)})",
+        "amount_to_type_avg_ratio": f"concat('the amount is ', {f1}, "
+                                    f"'x the historical average amount for this transaction type')",
+        "high_amount_indicator": _either(
+            f"{v} = 1", _lit("the amount exceeds the historical 95th-percentile threshold for this transaction type"),
+            _lit("the amount is within the normal range for this transaction type")),
+    }
+    return t.get(feature)
+
+
+def phrase_sql(feature: str, v: str) -> str:
+    """E7 for a feature known when the plan is built; unknown: 'f = v'."""
+    return template(feature, v) or f"concat({_lit(feature + ' = ')}, cast({v} as string))"
+
+
+def phrase_for(feature: str, value_col: str | None = None) -> Column:
+    return F.expr(phrase_sql(feature, f"cast(`{value_col or feature}` as double)"))
+
+
+def money(v: Column) -> Column:
+    return F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), F.lit("Rs."), F.format_number(F.abs(v), 0))
+
+
+def fixed(v: Column, places: int) -> Column:
+    return F.regexp_replace(F.format_number(v, places), ",", "")
+
+
+def narrative_sql(score: str, band: str, pos: str, neg: str) -> str:
     """One sentence from the band and the top contributors' phrases."""
-    s3 = fixed(score, 3)
-    pos_phr = F.transform(pos, lambda c: c["phrase"])
-    neg_phr = F.transform(neg, lambda c: c["phrase"])
-    title = F.concat(F.upper(F.substring(band, 1, 1)), F.lower(F.substring(band, 2, 100)))
-    high = F.concat(title, F.lit(" risk (score "), s3, F.lit(") because "),
-                    F.array_join(F.slice(pos_phr, 1, 2), " and "), F.lit("."))
-    low_both = F.concat(F.lit("Low risk overall (score "), s3,
-                        F.lit("). The model's strongest score-raising factor was that "), F.try_element_at(pos_phr, F.lit(1)),
-                        F.lit(", but this was outweighed by: "), F.array_join(F.slice(neg_phr, 1, 2), "; "),
-                        F.lit("."))
-    low_pos = F.concat(F.lit("Low risk overall (score "), s3, F.lit("), despite "), F.try_element_at(pos_phr, F.lit(1)),
-                       F.lit("."))
-    low_none = F.concat(F.lit("Low risk (score "), s3,
-                        F.lit("): no score-raising factors found among the model's top contributing features."))
-    other = F.concat(F.lit("Risk score "), s3, F.lit(" ("), band, F.lit(")."))
-    return (F.when(band.isin("HIGH", "MEDIUM") & (F.size(pos) > 0), high)
-             .when((band == "LOW") & (F.size(pos) > 0) & (F.size(neg) > 0), low_both)
-             .when((band == "LOW") & (F.size(pos) > 0), low_pos)
-             .when(band == "LOW", low_none)
-             .otherwise(other))
+    s3 = fixed_sql(score, 3)
+    pp = f"transform({pos}, c -> c.phrase)"
+    npp = f"transform({neg}, c -> c.phrase)"
+    title = f"concat(upper(substring({band}, 1, 1)), lower(substring({band}, 2)))"
+    return f"""CASE
+      WHEN {band} IN ('HIGH', 'MEDIUM') AND size({pos}) > 0 THEN
+        concat({title}, ' risk (score ', {s3}, ') because ', array_join(slice({pp}, 1, 2), ' and '), '.')
+      WHEN {band} = 'LOW' AND size({pos}) > 0 AND size({neg}) > 0 THEN
+        concat('Low risk overall (score ', {s3}, '). The model\\'s strongest score-raising factor was that ',
+               try_element_at({pp}, 1), ', but this was outweighed by: ', array_join(slice({npp}, 1, 2), '; '), '.')
+      WHEN {band} = 'LOW' AND size({pos}) > 0 THEN
+        concat('Low risk overall (score ', {s3}, '), despite ', try_element_at({pp}, 1), '.')
+      WHEN {band} = 'LOW' THEN
+        concat('Low risk (score ', {s3}, '): no score-raising factors found among the model\\'s top contributing features.')
+      ELSE concat('Risk score ', {s3}, ' (', {band}, ').') END"""

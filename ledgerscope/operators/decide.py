@@ -76,40 +76,44 @@ def online_features(clean: DataFrame, frozen: DataFrame) -> DataFrame:
     return f
 
 
-def non_finite_features(features: list[str] = FEATURES) -> Column:
-    """Names of features that are null, NaN or infinite."""
-    bad = [F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) |
-                  (F.abs(F.col(c).cast("double")) == float("inf")), F.lit(c)) for c in features]
-    return F.filter(F.array(*bad), lambda x: x.isNotNull())
+def non_finite_sql(features: list[str] = FEATURES) -> str:
+    """Names of features that are null, NaN or infinite (SQL)."""
+    bad = ", ".join(f"CASE WHEN NOT {Q._finite_sql(f'CAST(`{c}` AS double)')} THEN '{c}' END" for c in features)
+    return f"filter(array({bad}), x -> x IS NOT NULL)"
 
 
-def finite_or_zero(features: list[str] = FEATURES) -> list[Column]:
-    return [F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")),
-                   F.col(c).cast("double")).otherwise(F.lit(0.0)).alias(c) for c in features]
+def finite_or_zero_sql(c: str) -> str:
+    x = f"CAST(`{c}` AS double)"
+    return f"CASE WHEN {Q._finite_sql(x)} THEN {x} ELSE 0.0 END AS `{c}`"
 
 
-def py_list(arr: Column) -> Column:
-    """['a', 'b'] text of an array of strings."""
-    return F.concat(F.lit("["), F.array_join(F.transform(arr, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "),
-                    F.lit("]"))
+CONTRIB_TYPE = "array<struct<feature:string,value:double,shap_value:double,phrase:string,i:int>>"
 
 
-def top_contributors(contribs: Column, n: int = TOP_N):
-    """K4: (top positive, top negative) contributor arrays. Positive: the n
-    largest > 0, descending. Negative: the n most negative, most negative first
-    (the reference keeps the n weakest; we keep the strongest, as intended).
+def contributor_array_sql(features: list[str] = FEATURES, prefix: str = "c_") -> str:
+    """E1 + E7: array<struct<feature, value, shap_value, phrase, i>> in feature
+    order; each phrase comes from that feature's own template."""
+    items = []
+    for i, f in enumerate(features):
+        v = f"CAST(`{f}` AS double)"
+        items.append(f"named_struct('feature', '{f}', 'value', {v}, 'shap_value', round(`{prefix}{f}`, 6), "
+                     f"'phrase', {PH.phrase_sql(f, v)}, 'i', {i})")
+    return f"array({', '.join(items)})"
+
+
+def top_contributors_sql(arr: str, n: int = TOP_N) -> tuple[str, str]:
+    """K4: (top positive, top negative). Positive: the n largest > 0,
+    descending. Negative: the n most negative, most negative first (the
+    reference keeps the n weakest; we keep the strongest, as intended).
     Ties keep feature order."""
-    idx = F.transform(contribs, lambda c, i: F.struct(c["feature"].alias("feature"), c["value"].alias("value"),
-                                                      c["shap_value"].alias("shap_value"), i.alias("i")))
-    desc = F.array_sort(idx, lambda a, b: F.when(a["shap_value"] > b["shap_value"], -1)
-                        .when(a["shap_value"] < b["shap_value"], 1).otherwise(a["i"] - b["i"]))
-    asc = F.array_sort(idx, lambda a, b: F.when(a["shap_value"] < b["shap_value"], -1)
-                       .when(a["shap_value"] > b["shap_value"], 1).otherwise(a["i"] - b["i"]))
-    strip = lambda arr: F.transform(arr, lambda c: F.struct(c["feature"].alias("feature"),
-                                                             c["value"].alias("value"),
-                                                             c["shap_value"].alias("shap_value")))
-    pos = strip(F.slice(F.filter(desc, lambda c: c["shap_value"] > 0), 1, n))
-    neg = strip(F.slice(F.filter(asc, lambda c: c["shap_value"] < 0), 1, n))
+    desc = (f"array_sort({arr}, (a, b) -> CASE WHEN a.shap_value > b.shap_value THEN -1 "
+            f"WHEN a.shap_value < b.shap_value THEN 1 ELSE a.i - b.i END)")
+    asc = (f"array_sort({arr}, (a, b) -> CASE WHEN a.shap_value < b.shap_value THEN -1 "
+           f"WHEN a.shap_value > b.shap_value THEN 1 ELSE a.i - b.i END)")
+    strip = ("c -> named_struct('feature', c.feature, 'value', c.value, 'shap_value', c.shap_value, "
+             "'phrase', c.phrase)")
+    pos = f"transform(slice(filter({desc}, c -> c.shap_value > 0), 1, {n}), {strip})"
+    neg = f"transform(slice(filter({asc}, c -> c.shap_value < 0), 1, {n}), {strip})"
     return pos, neg
 
 
@@ -151,6 +155,11 @@ def spike_context(df: DataFrame, spikes: DataFrame | None) -> DataFrame:
     return out.withColumn("spike_context", ctx).drop("_sstep", "_stat", "_iso", "_r1", "_r2")
 
 
+def _sq(text: str) -> str:
+    """A Python string as a Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def decide(requests: DataFrame, frozen: DataFrame, modes: DataFrame, score_fn, spikes: DataFrame | None = None,
            contrib_fn=None, model_available: bool = True) -> DataFrame:
     """Validate, build features, look up the mode, score, band, act,
@@ -160,67 +169,63 @@ def decide(requests: DataFrame, frozen: DataFrame, modes: DataFrame, score_fn, s
     ``c_<feature>`` contributions (optional)."""
     high, medium = band_bounds(modes)
     v = Q.validate(requests)
-    f = online_features(v, frozen)
-    f = f.withColumn("_bad_features", non_finite_features())
+    f = online_features(v, frozen).selectExpr("*", f"{non_finite_sql()} AS _bad_features")
     f = with_mode(f, modes)
-    safe = f.select("*", *[c.alias(f"_s_{n}") for c, n in zip(finite_or_zero(), FEATURES)])
     # the model sees only finite values; rows with bad features are degraded anyway
-    scoring_in = safe.select(*[c for c in safe.columns if c not in FEATURES],
-                             *[F.col(f"_s_{n}").alias(n) for n in FEATURES]).drop(
-        *[f"_s_{n}" for n in FEATURES])
-    scored = score_fn(scoring_in) if model_available else scoring_in.withColumn("pred_prob", F.lit(None).cast("double"))
+    others = [f"`{c}`" for c in f.columns if c not in FEATURES]
+    scoring_in = f.selectExpr(*others, *[finite_or_zero_sql(c) for c in FEATURES])
+    if model_available:
+        scored = score_fn(scoring_in)
+    else:
+        scored = scoring_in.selectExpr("*", "CAST(NULL AS double) AS pred_prob")
     if contrib_fn is not None and model_available:
+        contribs = contributor_array_sql()
         scored = contrib_fn(scored)
-        contribs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value"),
-                                      F.col(f"c_{n}").alias("shap_value")) for n in FEATURES])
     else:
-        contribs = F.array().cast("array<struct<feature:string,value:double,shap_value:double>>")
-    scored = scored.withColumn("_contribs", contribs)
-    pos, neg = top_contributors(F.col("_contribs"))
-    scored = scored.withColumn("_pos", PH.with_phrases(pos)).withColumn("_neg", PH.with_phrases(neg))
-    score = F.col("pred_prob")
-    finite_score = score.isNotNull() & ~F.isnan(score) & (F.abs(score) != float("inf"))
-    status_msg = (
-        F.when(~F.col("is_valid"), F.struct(F.lit("invalid_input").alias("s"), F.concat(
-            F.lit("Transaction failed validation: "), F.array_join("errors", "; ")).alias("m")))
-        .when(F.lit(not model_available), F.struct(F.lit("degraded").alias("s"),
-                                                   F.lit("Transaction risk model unavailable: no model given")
-                                                   .alias("m")))
-        .when(F.size("_bad_features") > 0, F.struct(F.lit("degraded").alias("s"), F.concat(
-            F.lit("Feature generation failed: feature(s) contained NaN/Infinity after generation: "),
-            py_list(F.col("_bad_features"))).alias("m")))
-        .when(F.col("threshold_used").isNull(), F.struct(F.lit("degraded").alias("s"), F.concat(
-            F.lit("Unknown operating mode '"), F.col("mode"),
-            F.lit("'. Valid modes: ['BALANCED', 'HIGH_PRECISION', 'HIGH_RECALL']")).alias("m")))
-        .when(~finite_score, F.struct(F.lit("degraded").alias("s"), F.lit(
-            "Model produced a non-finite risk score (NaN/Infinity); refusing to report it.").alias("m")))
-        .otherwise(F.struct(F.lit("ok").alias("s"), F.lit(None).cast("string").alias("m"))))
-    scored = scored.withColumn("_st", status_msg)
+        contribs = f"CAST(array() AS {CONTRIB_TYPE})"
+    pos, neg = top_contributors_sql("_contribs")
+    quote = _sq("'")
+    bad_list = f"concat('[', array_join(transform(_bad_features, x -> concat({quote}, x, {quote})), ', '), ']')"
+    modes_text = _sq(". Valid modes: ['BALANCED', 'HIGH_PRECISION', 'HIGH_RECALL']")
+    status = f"""CASE
+      WHEN NOT is_valid THEN named_struct('s', 'invalid_input', 'm',
+           concat('Transaction failed validation: ', array_join(errors, '; ')))
+      WHEN {str(not model_available).lower()} THEN named_struct('s', 'degraded', 'm',
+           'Transaction risk model unavailable: no model given')
+      WHEN size(_bad_features) > 0 THEN named_struct('s', 'degraded', 'm',
+           concat('Feature generation failed: feature(s) contained NaN/Infinity after generation: ', {bad_list}))
+      WHEN threshold_used IS NULL THEN named_struct('s', 'degraded', 'm',
+           concat('Unknown operating mode ', {quote}, mode, {quote}, {modes_text}))
+      WHEN NOT {Q._finite_sql('pred_prob')} THEN named_struct('s', 'degraded', 'm',
+           'Model produced a non-finite risk score (NaN/Infinity); refusing to report it.')
+      ELSE named_struct('s', 'ok', 'm', CAST(NULL AS string)) END"""
+    scored = scored.selectExpr("*", f"{contribs} AS _contribs").selectExpr(
+        "*", f"{pos} AS _pos", f"{neg} AS _neg", f"{status} AS _st",
+        f"CASE WHEN pred_prob >= {high} THEN 'HIGH' WHEN pred_prob >= {medium} THEN 'MEDIUM' ELSE 'LOW' END AS _band")
     scored = spike_context(scored, spikes)
-    ok = F.col("_st.s") == "ok"
-    band = risk_band(score, high, medium)
-    in_spike = F.coalesce(F.col("spike_context.available") & F.col("spike_context.is_spike"), F.lit(False))
-    override = ok & in_spike & (band == "LOW")
-    reasons = F.when(F.size("_pos") > 0, F.transform("_pos", lambda c: c["phrase"])).otherwise(
-        F.transform("_neg", lambda c: c["phrase"]))
-    reasons = F.when(override, F.concat(reasons, F.array(F.lit(SPIKE_REASON)))).otherwise(reasons)
-    has_expl = F.lit(contrib_fn is not None)
-    explanation = F.when(ok & has_expl, F.struct(
-        F.col("_pos").alias("top_positive_contributors"), F.col("_neg").alias("top_negative_contributors"),
-        PH.narrative(score, band, F.col("_pos"), F.col("_neg")).alias("narrative")))
-    status = F.col("_st.s")
-    return scored.select(
-        *[c for c in requests.columns],
-        status.alias("status"),
-        F.when(ok, F.round(score, 6)).alias("risk_score"),
-        F.when(ok, band).alias("risk_band"),
-        F.when(ok, F.when(override, F.lit("REVIEW")).otherwise(band_action(band)))
-         .when(status == "degraded", F.lit("MANUAL_REVIEW")).alias("recommended_action"),
-        F.col("mode"),
-        F.when(ok, F.col("threshold_used")).alias("threshold_used"),
-        F.when(ok, score >= F.col("threshold_used")).alias("alert"),
-        F.when(ok, reasons).otherwise(F.array().cast("array<string>")).alias("top_reasons"),
-        explanation.alias("explanation"),
-        F.when(ok, F.col("spike_context")).alias("spike_context"),
-        F.col("_st.m").alias("message"),
-        F.when(~ok, F.lit("MANUAL_REVIEW")).alias("fallback"))
+    scored = scored.selectExpr(
+        "*", "_st.s = 'ok' AS _ok",
+        "_st.s = 'ok' AND coalesce(spike_context.available AND spike_context.is_spike, false) AND _band = 'LOW'"
+        " AS _override")
+    actions = " ".join(f"WHEN _band = '{b}' THEN '{a}'" for b, a in BAND_ACTION.items())
+    reasons = ("CASE WHEN size(_pos) > 0 THEN transform(_pos, c -> c.phrase) "
+               "ELSE transform(_neg, c -> c.phrase) END")
+    has_expl = str(contrib_fn is not None).lower()
+    return scored.selectExpr(
+        *[f"`{c}`" for c in requests.columns],
+        "_st.s AS status",
+        "CASE WHEN _ok THEN round(pred_prob, 6) END AS risk_score",
+        "CASE WHEN _ok THEN _band END AS risk_band",
+        f"CASE WHEN _ok AND _override THEN 'REVIEW' WHEN _ok THEN CASE {actions} END "
+        "WHEN _st.s = 'degraded' THEN 'MANUAL_REVIEW' END AS recommended_action",
+        "mode",
+        "CASE WHEN _ok THEN threshold_used END AS threshold_used",
+        "CASE WHEN _ok THEN pred_prob >= threshold_used END AS alert",
+        f"CASE WHEN _ok AND _override THEN concat({reasons}, array({_sq(SPIKE_REASON)})) WHEN _ok THEN {reasons} "
+        "ELSE CAST(array() AS array<string>) END AS top_reasons",
+        f"CASE WHEN _ok AND {has_expl} THEN named_struct('top_positive_contributors', _pos, "
+        f"'top_negative_contributors', _neg, 'narrative', {PH.narrative_sql('pred_prob', '_band', '_pos', '_neg')}) "
+        "END AS explanation",
+        "CASE WHEN _ok THEN spike_context END AS spike_context",
+        "_st.m AS message",
+        "CASE WHEN NOT _ok THEN 'MANUAL_REVIEW' END AS fallback")

@@ -111,77 +111,67 @@ OPTIONAL_DEFAULTS = {"hist_dest_txn_count": 0, "hist_dest_unique_origin_count":
                      "hist_dest_total_amount": 0.0, "hist_dest_avg_amount": 0.0, "hist_dest_max_amount": 0.0}
 BALANCE_FIELDS = ["oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]
 TYPE_LIST_TEXT = "['CASH_IN', 'CASH_OUT', 'DEBIT', 'PAYMENT', 'TRANSFER']"
+TYPE_LIST_SQL = TYPE_LIST_TEXT.replace("'", "\\'")     # the same text inside a SQL string literal
 
 
-def _field(df: DataFrame, name: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+INF = "cast('Infinity' as double)"
 
 
-def _shown(df: DataFrame, name: str) -> Column:
-    """How a raw value is quoted in an error: strings in quotes, numbers bare."""
-    c = _field(df, name)
-    if name in df.columns and isinstance(df.schema[name].dataType, T.StringType):
-        return F.concat(F.lit("'"), c, F.lit("'"))
-    return c.cast("string")
-
-
-def _as_double(df: DataFrame, name: str) -> Column:
-    c = _field(df, name)
-    if name in df.columns and isinstance(df.schema[name].dataType, T.StringType):
-        return F.expr(f"try_cast(trim(`{name}`) as double)")
-    return c.cast("double")
-
-
-def _finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+def _finite_sql(x: str) -> str:
+    return f"({x} IS NOT NULL AND NOT isnan({x}) AND abs({x}) != {INF})"
 
 
 def validate(df: DataFrame) -> DataFrame:
     """Q-10: every problem of every request row, as ``errors: array<string>``,
-    plus the cleaned typed fields (null where invalid) and ``is_valid``.
-    Rules: the 7 required fields present; step an integer >= 1; type, after
-    trim + upper, one of the 5 types; amount and balances finite and >= 0;
-    optional history defaulted to 0. Pure column expressions, no UDF."""
-    missing = [F.when(_field(df, f).isNull(), F.lit(f)) for f in REQUIRED_FIELDS]
-    miss_list = F.filter(F.array(*missing), lambda x: x.isNotNull())
-    errs = [F.when(F.size(miss_list) > 0,
-                   F.concat(F.lit("missing required field(s): "), F.array_join(miss_list, ", ")))]
-    step_d = _as_double(df, "step")
-    step_ok_num = _finite(step_d) & (step_d == F.floor(step_d))
-    step_present = _field(df, "step").isNotNull()
-    errs.append(F.when(step_present & ~step_ok_num,
-                       F.concat(F.lit("invalid step: "), _shown(df, "step"), F.lit(" (must be an integer)")))
-                .when(step_present & (step_d < 1),
-                      F.concat(F.lit("invalid step: "), _field(df, "step").cast("string"), F.lit(" (must be >= 1)"))))
-    t_norm = F.upper(F.trim(_field(df, "type").cast("string")))
-    t_present = _field(df, "type").isNotNull()
-    errs.append(F.when(t_present & ~t_norm.isin(*X.VALID_TYPES),
-                       F.concat(F.lit("unknown transaction type: "), _shown(df, "type"),
-                                F.lit(f" (must be one of {TYPE_LIST_TEXT})"))))
-    cleaned = {}
+    plus the cleaned typed fields ``clean_*`` (null where invalid) and
+    ``is_valid``. Rules: the 7 required fields present; step an integer >= 1;
+    type, after trim + upper, one of the 5 types; amount and balances finite
+    and >= 0; optional history defaulted to 0. Pure SQL expressions, no UDF."""
+    cols = set(df.columns)
+
+    def is_str(n):
+        return n in cols and isinstance(df.schema[n].dataType, T.StringType)
+
+    def raw(n):
+        return f"`{n}`" if n in cols else "CAST(NULL AS STRING)"
+
+    def dbl(n):
+        if is_str(n):
+            return f"try_cast(trim(`{n}`) AS double)"
+        return f"CAST(`{n}` AS double)" if n in cols else "CAST(NULL AS double)"
+
+    def shown(n):
+        return f"concat('\\'', `{n}`, '\\'')" if is_str(n) else f"CAST({raw(n)} AS string)"
+
+    missing = ", ".join(f"CASE WHEN {raw(f)} IS NULL THEN '{f}' END" for f in REQUIRED_FIELDS)
+    miss = f"filter(array({missing}), x -> x IS NOT NULL)"
+    errs = [f"CASE WHEN size({miss}) > 0 THEN concat('missing required field(s): ', array_join({miss}, ', ')) END"]
+    sd = dbl("step")
+    errs.append(f"""CASE WHEN {raw('step')} IS NOT NULL AND NOT ({_finite_sql(sd)} AND {sd} = floor({sd}))
+                     THEN concat('invalid step: ', {shown('step')}, ' (must be an integer)')
+                     WHEN {raw('step')} IS NOT NULL AND {sd} < 1
+                     THEN concat('invalid step: ', CAST({raw('step')} AS string), ' (must be >= 1)') END""")
+    tn = f"upper(trim(CAST({raw('type')} AS string)))"
+    types = ", ".join(f"'{t}'" for t in X.VALID_TYPES)
+    errs.append(f"CASE WHEN {raw('type')} IS NOT NULL AND NOT {tn} IN ({types}) THEN concat("
+                f"'unknown transaction type: ', {shown('type')}, ' (must be one of {TYPE_LIST_SQL})') END")
+    for f in ["amount"] + BALANCE_FIELDS:
+        v = dbl(f)
+        errs.append(f"""CASE WHEN {raw(f)} IS NOT NULL AND NOT {_finite_sql(v)}
+                         THEN concat('invalid {f}: ', {shown(f)}, ' (must be a finite number)')
+                         WHEN {raw(f)} IS NOT NULL AND {v} < 0
+                         THEN concat('invalid {f}: ', {shown(f)}, ' (must be >= 0)') END""")
+    out = df.selectExpr("*", f"filter(array({', '.join(errs)}), x -> x IS NOT NULL) AS errors")
+    clean = ["size(errors) = 0 AS is_valid",
+             f"CASE WHEN size(errors) = 0 THEN CAST({sd} AS int) END AS clean_step",
+             f"CASE WHEN size(errors) = 0 THEN {tn} END AS clean_type"]
     for f in ["amount"] + BALANCE_FIELDS:
-        v = _as_double(df, f)
-        present = _field(df, f).isNotNull()
-        errs.append(F.when(present & ~_finite(v),
-                           F.concat(F.lit(f"invalid {f}: "), _shown(df, f), F.lit(" (must be a finite number)")))
-                    .when(present & (v < 0),
-                          F.concat(F.lit(f"invalid {f}: "), _shown(df, f), F.lit(" (must be >= 0)"))))
-        cleaned[f] = F.when(present & _finite(v) & (v >= 0), v)
-    errors = F.filter(F.array(*errs), lambda x: x.isNotNull())
-    out = df.withColumn("errors", errors)
-    out = out.withColumn("is_valid", F.size("errors") == 0)
-    valid = F.col("is_valid")
-    out = out.withColumn("clean_step", F.when(valid, step_d.cast("int")))
-    out = out.withColumn("clean_type", F.when(valid, t_norm))
-    for f, v in cleaned.items():
-        out = out.withColumn(f"clean_{f}", F.when(valid, v))
+        clean.append(f"CASE WHEN size(errors) = 0 THEN {dbl(f)} END AS clean_{f}")
     for f, d in OPTIONAL_DEFAULTS.items():
-        src = _field(df, f)
-        typ = "long" if isinstance(d, int) else "double"
-        out = out.withColumn(f"clean_{f}", F.when(valid, F.coalesce(
-            F.expr(f"try_cast(`{f}` as {typ})") if f in df.columns else F.lit(None).cast(typ), F.lit(d).cast(typ))))
-        del src
-    return out
+        typ = "bigint" if isinstance(d, int) else "double"
+        src = f"try_cast(`{f}` AS {typ})" if f in cols else f"CAST(NULL AS {typ})"
+        clean.append(f"CASE WHEN size(errors) = 0 THEN coalesce({src}, CAST({d} AS {typ})) END AS clean_{f}")
+    return out.selectExpr("*", *clean)
 
 
 def quarantine_split(validated: DataFrame):

@@ -138,7 +138,7 @@ def feature_phrases(spark, sf_dir):
     """The plain-words description of all 23 feature values of every
     transaction (joined by ' | ')."""
     feats = FE.transaction_features(ledger(spark, sf_dir))[0]
-    return feats.select("event_id", F.array_join(F.array(*[PH.phrase(F.lit(c), F.col(c).cast("double"))
+    return feats.select("event_id", F.array_join(F.array(*[PH.phrase_for(c)
                                                           for c in FEATURES]), " | ").alias("phrases"))
 
 

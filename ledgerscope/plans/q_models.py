@@ -92,7 +92,19 @@ def model_importances(spark, sf_dir):
                                  "model string, feature string, importance double, rank int")
 
 
+_STEPS: dict = {}
+
+
 def model_steps(spark, sf_dir, n_trees=200):
+    """Memoised per session: the fitted-model step table with both detectors
+    (one row per step), persisted so the three queries that read it share it."""
+    key = (spark.sparkContext.applicationId, sf_dir, n_trees)
+    if key not in _STEPS:
+        _STEPS[key] = _model_steps(spark, sf_dir, n_trees).persist()
+    return _STEPS[key]
+
+
+def _model_steps(spark, sf_dir, n_trees=200):
     """L2: score every eligible row with the selected model (M13), aggregate
     per step at the balanced threshold (A22), extend (J5, W7, W8, T2), flag by
     z-score (T3) and isolation forest (T4)."""
@@ -121,7 +133,7 @@ def model_spike_table(spark, sf_dir):
 @register("model_spike_eval")
 def model_spike_eval(spark, sf_dir):
     """T5 for both detectors, all steps and test window (4 rows)."""
-    e = model_steps(spark, sf_dir).cache()
+    e = model_steps(spark, sf_dir)
     parts = [SP.evaluate_detector(e, n, p, sc) for n, p in [("statistical_zscore", "stat_method_pred"),
                                                              ("isolation_forest", "iso_method_pred")]
              for sc in (None, TEST)]
