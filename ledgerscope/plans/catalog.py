@@ -56,6 +56,29 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _materialized(spark, sf_dir, "events-ledger", L.events_ledger)
 
 
+_FEATURES: dict = {}
+
+
+def features_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engineered transactions (L1), written once per session to the
+    shared folder partitioned by day, then read by every downstream job (the
+    step table, quality suite, spikes, models), as the phases hand over in
+    the reference. The query ``transaction_features`` itself always computes."""
+    from ..operators import features as FE
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    path = _FEATURES.get(key)
+    if path is None:
+        base = ensure_checkpoint_dir(spark)
+        path = f"{base.rstrip('/')}/features-{uuid.uuid4().hex}"
+        feats = FE.transaction_features(ledger(spark, sf_dir))[0]
+        feats.write.mode("overwrite").partitionBy("day_index").parquet(path)
+        _FEATURES[key] = path
+    df = spark.read.parquet(path)
+    from ..operators.features import ENGINEERED_COLUMNS
+    base_cols = [c for c in df.columns if c not in ENGINEERED_COLUMNS]
+    return df.select(*base_cols, *ENGINEERED_COLUMNS)
+
+
 def supplier_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heavier lineitem/orders ledger (supplier = destination, daily steps)."""
     return _materialized(spark, sf_dir, "lineitem-ledger", L.lineitem_ledger)

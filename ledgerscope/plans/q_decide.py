@@ -11,7 +11,7 @@ from ..operators import features as FE
 from ..operators import quality as Q
 from ..operators import rootcause as RC
 from ..operators.train import FEATURES
-from .catalog import ledger, r, register
+from .catalog import features_table, ledger, r, register
 from .q_features import with_features
 from .q_quality import ledger_requests
 from .q_spikes import EXT_CTES, TEST, extended_steps
@@ -137,7 +137,7 @@ def _phrase_sql(c):
 def feature_phrases(spark, sf_dir):
     """The plain-words description of all 23 feature values of every
     transaction (joined by ' | ')."""
-    feats = FE.transaction_features(ledger(spark, sf_dir))[0]
+    feats = features_table(spark, sf_dir)
     return feats.select("event_id", F.array_join(F.array(*[PH.phrase_for(c)
                                                           for c in FEATURES]), " | ").alias("phrases"))
 

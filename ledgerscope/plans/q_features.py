@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import features as FE
 from ..operators import history as H
 from ..operators import steps as ST
-from .catalog import ledger, r, register, supplier_ledger
+from .catalog import features_table, ledger, r, register, supplier_ledger
 from .sql import with_ledger
 
 # ---------------------------------------------------------------- B0: W1+W2+J1
@@ -235,9 +235,7 @@ def rounded(df, spec):
 
 
 def build_step_table(spark, sf_dir):
-    led = ledger(spark, sf_dir)
-    feats, _, _ = FE.transaction_features(led)
-    return ST.step_table(feats, max_rows_per_step=ST.max_group_rows(led.select("step"), ["step"]))
+    return ST.step_table(features_table(spark, sf_dir))
 
 
 STEP_COLUMNS = [

@@ -15,11 +15,13 @@ from ..operators import steps as ST
 from ..operators import train as TR
 from ..operators.iforest import IsolationForestJob
 from ..session import ensure_checkpoint_dir
-from .catalog import ledger, register
+from .catalog import features_table, ledger, register
 from .q_decide import frozen_stats
 from .q_quality import ledger_requests
 
 _RUNS: dict = {}
+HISTORY_FIELDS = ["hist_dest_txn_count", "hist_dest_unique_origin_count", "hist_dest_total_amount",
+                  "hist_dest_avg_amount", "hist_dest_max_amount"]
 TEST = S.DEFAULT_SPLIT.test
 
 
@@ -27,7 +29,7 @@ def model_run(spark, sf_dir) -> TR.ModelRun:
     """Fit the three models once per session and table folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RUNS:
-        feats = FE.transaction_features(ledger(spark, sf_dir))[0]
+        feats = features_table(spark, sf_dir)
         uni = S.with_split(S.modelling_universe(feats)).where(F.col("split").isNotNull()).persist()
         _RUNS[key] = TR.ModelRun(uni).fit_all()
     return _RUNS[key]
@@ -109,9 +111,8 @@ def _model_steps(spark, sf_dir, n_trees=200):
     per step at the balanced threshold (A22), extend (J5, W7, W8, T2), flag by
     z-score (T3) and isolation forest (T4)."""
     run = model_run(spark, sf_dir)
-    led = ledger(spark, sf_dir)
-    feats = FE.transaction_features(led)[0]
-    steps = ST.step_table(feats, max_rows_per_step=ST.max_group_rows(led.select("step"), ["step"]))
+    feats = features_table(spark, sf_dir)
+    steps = ST.step_table(feats)
     pts = model_operating_points(spark, sf_dir)
     thr = float(pts.where(F.col("mode") == "balanced").first()["threshold"])
     scored = TR.score(run.models[run.selected], S.modelling_universe(feats))
@@ -222,5 +223,8 @@ def model_decisions(spark, sf_dir):
     def contrib_fn(df):
         return EX.contributions(spark, run.selected, model, df, work)[0]
 
-    return D.decide(ledger_requests(spark, sf_dir), frozen_stats(spark, sf_dir), modes, score_fn, spikes,
-                    contrib_fn=contrib_fn)
+    # the caller supplies destination history, as a feature store would: here
+    # the ledger's own strictly-prior history (W1) for each request
+    hist = features_table(spark, sf_dir).select("event_id", *HISTORY_FIELDS)
+    requests = ledger_requests(spark, sf_dir).join(hist, "event_id", "left")
+    return D.decide(requests, frozen_stats(spark, sf_dir), modes, score_fn, spikes, contrib_fn=contrib_fn)

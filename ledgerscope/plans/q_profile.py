@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import profile as P
 from ..sources.ledger import RAW_COLUMNS
-from .catalog import ledger, r, register
+from .catalog import features_table, ledger, r, register
 from .q_features import with_features
 from .sql import with_ledger
 
@@ -309,8 +309,7 @@ def top_destinations(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    from ..operators import features as FE
-    return FE.transaction_features(ledger(spark, sf_dir))[0]
+    return features_table(spark, sf_dir)
 
 
 @register("drained_rate_by_class", with_features() + """

@@ -7,7 +7,7 @@ from ..operators import features as FE
 from ..operators import quality as Q
 from ..operators import steps as ST
 from ..sources.ledger import RAW_COLUMNS
-from .catalog import ledger, r, register
+from .catalog import features_table, ledger, r, register
 from .q_features import STEP_CTES, with_features
 from .sql import with_ledger
 
@@ -20,7 +20,7 @@ FLOATING = {"amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newb
 
 
 def features(spark, sf_dir):
-    return FE.transaction_features(ledger(spark, sf_dir))[0]
+    return features_table(spark, sf_dir)
 
 
 @register("row_count_check", with_features() + """
@@ -104,8 +104,7 @@ SELECT (SELECT cast(sum(gt_fraud_count) AS BIGINT) FROM agg) AS step_table_fraud
   (SELECT sum(gt_fraud_count) FROM agg) = (SELECT sum(isFraud) FROM feat) AS match""")
 def label_reconciliation(spark, sf_dir):
     """Q-9: fraud total of the step table equals the transactions'."""
-    led = ledger(spark, sf_dir)
-    feats = FE.transaction_features(led)[0]
+    feats = features_table(spark, sf_dir)
     return Q.label_reconciliation(ST.step_table(feats), feats)
 
 

@@ -12,7 +12,7 @@ from ..operators import spikes as SP
 from ..operators import splits as S
 from ..operators import steps as ST
 from ..operators.iforest import IsolationForestJob
-from .catalog import ledger, register
+from .catalog import features_table, ledger, register
 from .q_features import STEP_CTES, with_features
 from .q_metrics import M_CTE, OP_CTE, SWEEP_CTE, scored
 
@@ -26,9 +26,7 @@ def balanced_threshold(sc) -> float:
 
 
 def extended_steps(spark, sf_dir):
-    led = ledger(spark, sf_dir)
-    feats = FE.transaction_features(led)[0]
-    steps = ST.step_table(feats, max_rows_per_step=ST.max_group_rows(led.select("step"), ["step"]))
+    steps = ST.step_table(features_table(spark, sf_dir))
     sc = scored(spark, sf_dir)
     signal = SP.step_model_signal(sc, balanced_threshold(sc), "score")
     return SP.zscore_flag(SP.extend_step_table(steps, signal))
