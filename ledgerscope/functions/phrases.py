@@ -95,6 +95,13 @@ def phrase_sql(feature: str, v: str) -> str:
     return template(feature, v) or f"concat({_lit(feature + ' = ')}, cast({v} as string))"
 
 
+def phrase_case_sql(feature: str, v: str, features: list[str]) -> str:
+    """E7 where the feature is data (e.g. a lambda variable): one CASE over the
+    known features; only the matching branch is evaluated."""
+    whens = " ".join(f"WHEN {feature} = '{f}' THEN {template(f, v)}" for f in features if template(f, v))
+    return f"CASE {whens} ELSE concat({feature}, ' = ', cast({v} as string)) END"
+
+
 def phrase_for(feature: str, value_col: str | None = None) -> Column:
     return F.expr(phrase_sql(feature, f"cast(`{value_col or feature}` as double)"))
 

@@ -87,33 +87,31 @@ def finite_or_zero_sql(c: str) -> str:
     return f"CASE WHEN {Q._finite_sql(x)} THEN {x} ELSE 0.0 END AS `{c}`"
 
 
-CONTRIB_TYPE = "array<struct<feature:string,value:double,shap_value:double,phrase:string,i:int>>"
+CONTRIB_TYPE = "array<struct<k:double,i:int,feature:string,value:double,shap_value:double>>"
 
 
-def contributor_array_sql(features: list[str] = FEATURES, prefix: str = "c_") -> str:
-    """E1 + E7: array<struct<feature, value, shap_value, phrase, i>> in feature
-    order; each phrase comes from that feature's own template."""
+def contributor_array_sql(sign: int, features: list[str] = FEATURES, prefix: str = "c_") -> str:
+    """E1 as array<struct<k, i, feature, value, shap_value>> with the sort key
+    k = sign * contribution first, so the natural struct order (no comparator
+    lambda) sorts by contribution, ties by feature order."""
     items = []
     for i, f in enumerate(features):
-        v = f"CAST(`{f}` AS double)"
-        items.append(f"named_struct('feature', '{f}', 'value', {v}, 'shap_value', round(`{prefix}{f}`, 6), "
-                     f"'phrase', {PH.phrase_sql(f, v)}, 'i', {i})")
+        c = f"`{prefix}{f}`"
+        items.append(f"named_struct('k', {sign} * {c}, 'i', {i}, 'feature', '{f}', "
+                     f"'value', CAST(`{f}` AS double), 'shap_value', {c})")
     return f"array({', '.join(items)})"
 
 
-def top_contributors_sql(arr: str, n: int = TOP_N) -> tuple[str, str]:
-    """K4: (top positive, top negative). Positive: the n largest > 0,
-    descending. Negative: the n most negative, most negative first (the
-    reference keeps the n weakest; we keep the strongest, as intended).
-    Ties keep feature order."""
-    desc = (f"array_sort({arr}, (a, b) -> CASE WHEN a.shap_value > b.shap_value THEN -1 "
-            f"WHEN a.shap_value < b.shap_value THEN 1 ELSE a.i - b.i END)")
-    asc = (f"array_sort({arr}, (a, b) -> CASE WHEN a.shap_value < b.shap_value THEN -1 "
-           f"WHEN a.shap_value > b.shap_value THEN 1 ELSE a.i - b.i END)")
-    strip = ("c -> named_struct('feature', c.feature, 'value', c.value, 'shap_value', c.shap_value, "
-             "'phrase', c.phrase)")
-    pos = f"transform(slice(filter({desc}, c -> c.shap_value > 0), 1, {n}), {strip})"
-    neg = f"transform(slice(filter({asc}, c -> c.shap_value < 0), 1, {n}), {strip})"
+def top_contributors_sql(by_desc: str, by_asc: str, n: int = TOP_N) -> tuple[str, str]:
+    """K4 + E7: (top positive, top negative) with phrases. Positive: the n
+    largest > 0, descending. Negative: the n most negative, most negative first
+    (the reference keeps the n weakest; we keep the strongest, as intended).
+    Ties keep feature order. Phrases are formatted for these <= 2n only."""
+    phr = PH.phrase_case_sql("c.feature", "c.value", FEATURES)
+    out = (f"c -> named_struct('feature', c.feature, 'value', c.value, 'shap_value', round(c.shap_value, 6), "
+           f"'phrase', {phr})")
+    pos = f"transform(slice(sort_array(filter({by_desc}, c -> c.shap_value > 0)), 1, {n}), {out})"
+    neg = f"transform(slice(sort_array(filter({by_asc}, c -> c.shap_value < 0)), 1, {n}), {out})"
     return pos, neg
 
 
@@ -179,11 +177,11 @@ def decide(requests: DataFrame, frozen: DataFrame, modes: DataFrame, score_fn, s
     else:
         scored = scoring_in.selectExpr("*", "CAST(NULL AS double) AS pred_prob")
     if contrib_fn is not None and model_available:
-        contribs = contributor_array_sql()
+        by_desc, by_asc = contributor_array_sql(-1), contributor_array_sql(1)
         scored = contrib_fn(scored)
     else:
-        contribs = f"CAST(array() AS {CONTRIB_TYPE})"
-    pos, neg = top_contributors_sql("_contribs")
+        by_desc = by_asc = f"CAST(array() AS {CONTRIB_TYPE})"
+    pos, neg = top_contributors_sql("_cdesc", "_casc")
     quote = _sq("'")
     bad_list = f"concat('[', array_join(transform(_bad_features, x -> concat({quote}, x, {quote})), ', '), ']')"
     modes_text = _sq(". Valid modes: ['BALANCED', 'HIGH_PRECISION', 'HIGH_RECALL']")
@@ -199,7 +197,7 @@ def decide(requests: DataFrame, frozen: DataFrame, modes: DataFrame, score_fn, s
       WHEN NOT {Q._finite_sql('pred_prob')} THEN named_struct('s', 'degraded', 'm',
            'Model produced a non-finite risk score (NaN/Infinity); refusing to report it.')
       ELSE named_struct('s', 'ok', 'm', CAST(NULL AS string)) END"""
-    scored = scored.selectExpr("*", f"{contribs} AS _contribs").selectExpr(
+    scored = scored.selectExpr("*", f"{by_desc} AS _cdesc", f"{by_asc} AS _casc").selectExpr(
         "*", f"{pos} AS _pos", f"{neg} AS _neg", f"{status} AS _st",
         f"CASE WHEN pred_prob >= {high} THEN 'HIGH' WHEN pred_prob >= {medium} THEN 'MEDIUM' ELSE 'LOW' END AS _band")
     scored = spike_context(scored, spikes)
