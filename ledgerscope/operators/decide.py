@@ -185,6 +185,7 @@ def decide(requests: DataFrame, frozen: DataFrame, modes: DataFrame, score_fn, s
     quote = _sq("'")
     bad_list = f"concat('[', array_join(transform(_bad_features, x -> concat({quote}, x, {quote})), ', '), ']')"
     modes_text = _sq(". Valid modes: ['BALANCED', 'HIGH_PRECISION', 'HIGH_RECALL']")
+    # Status by precedence invalid_input > degraded > ok
     status = f"""CASE
       WHEN NOT is_valid THEN named_struct('s', 'invalid_input', 'm',
            concat('Transaction failed validation: ', array_join(errors, '; ')))
@@ -219,6 +220,7 @@ def decide(requests: DataFrame, frozen: DataFrame, modes: DataFrame, score_fn, s
         "mode",
         "CASE WHEN _ok THEN threshold_used END AS threshold_used",
         "CASE WHEN _ok THEN pred_prob >= threshold_used END AS alert",
+        # Top reasons are the first 3 positive phrases, else the first 3 negative
         f"CASE WHEN _ok AND _override THEN concat({reasons}, array({_sq(SPIKE_REASON)})) WHEN _ok THEN {reasons} "
         "ELSE CAST(array() AS array<string>) END AS top_reasons",
         f"CASE WHEN _ok AND {has_expl} THEN named_struct('top_positive_contributors', _pos, "

@@ -118,6 +118,7 @@ def evaluate(df: DataFrame, threshold: float = 0.5, label: str = "isFraud", scor
                  .join(pr.withColumn("_g", g), "_g").drop("_g"))
     r6 = [c for c in out.columns if c.startswith(("precision", "actual_recall")) or c in
           ("pr_auc", "roc_auc", "recall", "f1")]
+    # P20: reported metrics are rounded (6 digits here; 4 and 8 where the report uses them)
     return out.select(*[F.round(c, 6).alias(c) if c in r6 else F.col(c) for c in out.columns]).withColumn(
         "threshold", F.lit(float(threshold)))
 

@@ -39,6 +39,7 @@ def extend_step_table(steps: DataFrame, signal: DataFrame) -> DataFrame:
         out = add_hour_baseline(out, c)
     exp = F.coalesce(F.col("gt_hist_avg_fraud_rate_same_hour") * F.col("transaction_count"), F.lit(0.0))
     out = out.withColumn("gt_expected_fraud_count_same_hour", exp)
+    # ground-truth spike = at least 3 fraud rows and at least 2x the expected count
     out = out.withColumn("gt_fraud_spike", ((F.col("gt_fraud_count") >= MIN_ABS_FRAUD_COUNT) &
                                             (F.col("gt_fraud_count") >= SPIKE_MULTIPLIER * exp)).cast("int"))
     out = (out.join(signal, "step", "left")
@@ -48,7 +49,7 @@ def extend_step_table(steps: DataFrame, signal: DataFrame) -> DataFrame:
 
 
 def zscore_flag(steps: DataFrame, threshold: float = Z_SCORE_THRESHOLD) -> DataFrame:
-    """Flag when the model-signal z-score is at least the threshold."""
+    """T3 + F8: flag when the model-signal z-score is at least the threshold (inclusive)."""
     return steps.withColumn("stat_method_pred",
                             (F.col("predicted_high_risk_count_zscore_vs_hour_baseline") >= threshold).cast("int"))
 

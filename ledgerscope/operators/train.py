@@ -79,6 +79,7 @@ def gbt_pipeline(profile: str, features=FEATURES, max_iter: int = 500) -> Pipeli
     common = dict(featuresCol="features", labelCol=LABEL, weightCol="weight", stepSize=0.05, maxIter=max_iter,
                   maxDepth=6, seed=SEED, validationIndicatorCol="is_val", validationTol=0.001,
                   lossType="logistic", maxBins=64)
+    # M8 / M9: two boosted-tree profiles (no external boosters are installed)
     if profile == "gbt_leafwise":
         gbt = GBTClassifier(minInstancesPerNode=20, **common)
     else:

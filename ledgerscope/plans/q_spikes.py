@@ -17,6 +17,7 @@ from .q_features import STEP_CTES, with_features
 from .q_metrics import M_CTE, OP_CTE, SWEEP_CTE, scored
 
 BASE_COUNTS = ["transfer_count", "cash_out_count", "high_amount_count", "predicted_high_risk_count"]
+# detector training mask (train steps) and test-window mask, as `between`
 TEST = S.DEFAULT_SPLIT.test
 
 

@@ -23,7 +23,8 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def read_frozen(spark: SparkSession, path: str) -> DataFrame:
-    """S6 read side: at most 5 rows; callers broadcast it."""
+    """S6 read side: at most 5 rows; callers broadcast it. (S3: every reader
+    selects its columns; Catalyst prunes the parquet scan.)"""
     return spark.read.parquet(path)
 
 
