@@ -55,7 +55,14 @@ def with_mode(df: DataFrame, modes: DataFrame, mode_col: str = "mode") -> DataFr
     unknown). The mode table is three rows: broadcast."""
     m = F.upper(F.coalesce(F.col(mode_col), F.lit(DEFAULT_MODE))) if mode_col in df.columns else F.lit(DEFAULT_MODE)
     out = df.withColumn("mode", m)
-    return out.join(F.broadcast(modes.withColumnRenamed("threshold", "threshold_used")), "mode", "left")
+    # the mode table is the three operating points: a CASE over its rows
+    # (no join, so a constant mode is not turned into a nested-loop join)
+    thr = None
+    for row in modes.collect():
+        hit = F.col("mode") == F.lit(row["mode"])
+        v = F.lit(row["threshold"]).cast("double")
+        thr = F.when(hit, v) if thr is None else thr.when(hit, v)
+    return out.withColumn("threshold_used", thr if thr is not None else F.lit(None).cast("double"))
 
 
 def online_features(clean: DataFrame, frozen: DataFrame) -> DataFrame:

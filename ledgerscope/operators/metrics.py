@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .combine import side_by_side
 from .cumulative import running_totals
 
 # The recall targets and the 50 sweep thresholds 0.01, 0.03, ..., 0.99.
@@ -116,9 +117,7 @@ def evaluate(df: DataFrame, threshold: float = 0.5, label: str = "isFraud", scor
     if keys:
         out = rk.join(cf, keys).join(pr, keys)
     else:
-        g = F.lit(0)
-        out = (rk.withColumn("_g", g).join(cf.withColumn("_g", g), "_g")
-                 .join(pr.withColumn("_g", g), "_g").drop("_g"))
+        out = side_by_side(rk, cf, pr)
     r6 = [c for c in out.columns if c.startswith(("precision", "actual_recall")) or c in
           ("pr_auc", "roc_auc", "recall", "f1")]
     # P20: reported metrics are rounded (6 digits here; 4 and 8 where the report uses them)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
+from .combine import side_by_side
 from .quantiles import exact_quantiles
 
 
@@ -133,8 +134,9 @@ def amount_summary(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.min("amount").alias("min"), F.max("amount").alias("max"),
         F.avg("amount").alias("mean"), F.stddev_samp("amount").alias("std"),
         _cnt(F.col("amount") == 0).alias("zero_amount_count"))
-    out = basic.join(q, grouped)     # one row per group on both sides
-    return out if keys else out.drop("_g")
+    if not keys:
+        return side_by_side(basic.drop("_g"), q.drop("_g"))
+    return basic.join(q, grouped)     # one row per group on both sides
 
 
 def balance_patterns(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from . import metrics as M
+from .combine import side_by_side
 
 # Columns each check covers.
 BINARY_FLAGS = ["drained_to_zero", "origin_balance_zero_before", "dest_balance_artifact_flag",
@@ -32,8 +33,7 @@ def row_counts(raw: DataFrame, engineered: DataFrame) -> DataFrame:
     """Q-1: engineered rows equal raw rows (two counts, one row)."""
     a = raw.agg(F.count(F.lit(1)).alias("raw_rows"))
     b = engineered.agg(F.count(F.lit(1)).alias("engineered_rows"))
-    j = a.withColumn("_g", F.lit(0)).join(b.withColumn("_g", F.lit(0)), "_g").drop("_g")
-    return j.withColumn("match", F.col("raw_rows") == F.col("engineered_rows"))
+    return side_by_side(a, b).withColumn("match", F.col("raw_rows") == F.col("engineered_rows"))
 
 
 def null_inf_counts(df: DataFrame) -> DataFrame:
@@ -100,8 +100,7 @@ def label_reconciliation(steps: DataFrame, txns: DataFrame) -> DataFrame:
     """Q-9: the step table's fraud total equals the transactions'."""
     a = steps.agg(F.sum("gt_fraud_count").cast("long").alias("step_table_fraud"), F.count(F.lit(1)).alias("steps"))
     b = txns.agg(F.sum("isFraud").cast("long").alias("transaction_fraud"))
-    j = a.withColumn("_g", F.lit(0)).join(b.withColumn("_g", F.lit(0)), "_g").drop("_g")
-    return j.withColumn("match", F.col("step_table_fraud") == F.col("transaction_fraud"))
+    return side_by_side(a, b).withColumn("match", F.col("step_table_fraud") == F.col("transaction_fraud"))
 
 
 # ------------------------------------------------------------------ Q-10

@@ -13,6 +13,7 @@ from ..operators import spikes as SP
 from ..operators import splits as S
 from ..operators import steps as ST
 from ..operators import train as TR
+from ..operators.combine import side_by_side
 from ..operators.iforest import IsolationForestJob
 from ..session import ensure_checkpoint_dir
 from .catalog import features_table, ledger, register
@@ -49,7 +50,7 @@ def model_comparison(spark, sf_dir):
         v = _eval(run, n, run.val).select(*[F.col(c).alias(f"val_{c}") for c in ["pr_auc", "roc_auc"]])
         t = _eval(run, n, run.test).select(*[F.col(c).alias(f"test_{c}") for c in
                                              ["pr_auc", "roc_auc", "precision", "recall", "f1"]])
-        row = (v.withColumn("_g", F.lit(0)).join(t.withColumn("_g", F.lit(0)), "_g").drop("_g")
+        row = (side_by_side(v, t)
                 .select(F.lit(n).alias("model"), F.lit(round(run.seconds[n], 2)).alias("train_time_sec"), "*")
                 .withColumn("selected", F.lit(n == run.selected)))
         out = row if out is None else out.unionByName(row)
