@@ -37,8 +37,8 @@ def r(col, n: int = 6):
 _LEDGERS: dict = {}
 
 
-def _materialized(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
-    """Write a derived ledger once per session into the shared checkpoint
+def _materialized(spark: SparkSession, sf_dir: str, kind: str, build, sort: str | None = "step") -> DataFrame:
+    """Write a derived table once per session into the shared checkpoint
     folder (sorted by step inside files, so step filters skip row groups) and
     read it back; later queries scan typed columns instead of re-deriving."""
     key = (spark.sparkContext.applicationId, kind, os.path.abspath(sf_dir))
@@ -46,11 +46,19 @@ def _materialized(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFra
     if path is None:
         base = ensure_checkpoint_dir(spark)
         path = f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-        build(spark, sf_dir).sortWithinPartitions("step").write.mode("overwrite").parquet(path)
+        df = build(spark, sf_dir)
+        (df.sortWithinPartitions(sort) if sort else df).write.mode("overwrite").parquet(path)
         _LEDGERS[key] = path
     return spark.read.parquet(path)
 
 
+def written_table(spark: SparkSession, sf_dir: str, kind: str, build, sort: str | None = "step") -> DataFrame:
+    """A phase's output handed to later phases as a table written once per
+    session (S4 extended step table, S6 frozen statistics), as the reference
+    hands over files between phases."""
+    return _materialized(spark, sf_dir, kind, build, sort)
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events ledger (FIXTURES section 6), derived by Spark."""
     return _materialized(spark, sf_dir, "events-ledger", L.events_ledger)

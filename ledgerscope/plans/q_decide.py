@@ -11,7 +11,7 @@ from ..operators import features as FE
 from ..operators import quality as Q
 from ..operators import rootcause as RC
 from ..operators.train import FEATURES
-from .catalog import features_table, ledger, r, register
+from .catalog import features_table, ledger, r, register, written_table
 from .q_features import with_features
 from .q_quality import ledger_requests
 from .q_spikes import EXT_CTES, TEST, extended_steps
@@ -25,17 +25,23 @@ FROZEN_CTE = f"""fz AS (
   FROM ledger GROUP BY type)"""
 
 
-def frozen_stats(spark, sf_dir):
+def compute_frozen_stats(spark, sf_dir):
     led = ledger(spark, sf_dir)
     return FE.frozen_type_stats(led, FE.frozen_cutoff(led), MEAN_CUTOFF)
 
 
+def frozen_stats(spark, sf_dir):
+    """The frozen per-type table (at most 5 rows) as the decision jobs read
+    it, written once per session; ``frozen_type_stats`` itself computes."""
+    return written_table(spark, sf_dir, "frozen-type-stats", compute_frozen_stats, sort=None)
+
+
 @register("frozen_type_stats", with_ledger(FROZEN_CTE) +
           "SELECT type, round(p95_amount, 6) AS p95_amount, round(mean_amount, 6) AS mean_amount FROM fz")
 def frozen_type_stats(spark, sf_dir):
     """A19 + A20 + F3 (S6 content): frozen p95 (steps <= 80% of range) and mean
     (steps <= end of train) of amount per type."""
-    return frozen_stats(spark, sf_dir).select("type", r("p95_amount").alias("p95_amount"),
+    return compute_frozen_stats(spark, sf_dir).select("type", r("p95_amount").alias("p95_amount"),
                                               r("mean_amount").alias("mean_amount"))
 
 

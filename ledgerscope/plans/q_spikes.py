@@ -12,7 +12,7 @@ from ..operators import spikes as SP
 from ..operators import splits as S
 from ..operators import steps as ST
 from ..operators.iforest import IsolationForestJob
-from .catalog import features_table, ledger, register
+from .catalog import features_table, ledger, register, written_table
 from .q_features import STEP_CTES, with_features
 from .q_metrics import M_CTE, OP_CTE, SWEEP_CTE, scored
 
@@ -26,13 +26,20 @@ def balanced_threshold(sc) -> float:
     return float(pts.where(F.col("mode") == "balanced").first()["threshold"])
 
 
-def extended_steps(spark, sf_dir):
+def compute_extended_steps(spark, sf_dir):
+    """L2 on the linear score: step table + model signal + W7/W8 + z flag."""
     steps = ST.step_table(features_table(spark, sf_dir))
     sc = scored(spark, sf_dir)
     signal = SP.step_model_signal(sc, balanced_threshold(sc), "score")
     return SP.zscore_flag(SP.extend_step_table(steps, signal))
 
 
+def extended_steps(spark, sf_dir):
+    """The extended step table as later phases read it (written once per
+    session; the ``spike_table`` query itself always computes)."""
+    return written_table(spark, sf_dir, "extended-steps", compute_extended_steps)
+
+
 def _w7_sql(cols):
     parts = []
     for c in cols:
@@ -86,7 +93,7 @@ EXT_INT = {"step", "hour_of_day", "transaction_count", "gt_fraud_count", "gt_fra
 def spike_table(spark, sf_dir):
     """W7 + W8 + T2 + A22 + J5 + T3: extended step table with baselines,
     z-scores, the ground-truth spike label and the z-score flag."""
-    e = extended_steps(spark, sf_dir)
+    e = compute_extended_steps(spark, sf_dir)
     return e.select(*[F.col(c) if c in EXT_INT else F.round(c, 6).alias(c) for c in EXT_COLUMNS])
 
 
