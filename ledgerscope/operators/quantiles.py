@@ -7,8 +7,10 @@ largest group is size-checked below ``max_group_rows``. Past that bound the
 value at each target rank is found by range refinement: each pass counts the
 rows of the current bracket into ``buckets`` value buckets (a map-side
 aggregation, so a hot group never sits in one task), keeps the bucket holding
-the target rank, and stops once a bracket holds a single distinct value. Only
-bracket tables (groups x targets rows) are checkpointed between passes.
+the target rank, and stops once a bracket holds a single distinct value. The
+bracket tables (groups x targets rows) are checkpointed between passes, and so
+are the rows still inside an open bracket: only the first pass reads the whole
+input.
 """
 from __future__ import annotations
 
@@ -81,6 +83,14 @@ def _refine(base, stats, keys, probs, names, buckets, with_count):
                           start.alias("_below"),
                           F.when(F.col("_mn") == F.col("_mx"), F.col("_mn")).alias("_val")))
         state = state.where(F.col("_val").isNotNull()).unionByName(picked).checkpoint()
+        # Only rows inside a still-open bracket matter from now on: keep those
+        # (a semi join, so a row in several brackets is kept once). Each pass
+        # shrinks the candidates by about ``buckets``, so only the first pass
+        # scans the whole input.
+        nxt = state.where(F.col("_val").isNull()).select(*keys, "_lo", "_hi").distinct().alias("k")
+        cond = [F.col(f"b.{k}") == F.col(f"k.{k}") for k in keys] + [
+            F.col("b._v") >= F.col("k._lo"), F.col("b._v") <= F.col("k._hi")]
+        base = base.alias("b").join(nxt, cond, "left_semi").select(*keys, "_v").checkpoint()
     vals = state.groupBy(*keys).pivot("_t", list(range(2 * len(probs)))).agg(F.first("_val"))
     out = vals.join(stats.select(*keys, "_n"), keys)
     cols = [F.col(k) for k in keys]

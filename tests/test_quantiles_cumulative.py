@@ -19,6 +19,19 @@ def test_exact_quantiles_both_paths_match_numpy(spark, bound):
         assert got == pytest.approx(list(exp), rel=1e-12, abs=1e-9)
 
 
+def test_refinement_with_few_buckets_takes_many_passes(spark):
+    """Few buckets per pass force many passes over the shrinking candidate rows."""
+    rng = np.random.default_rng(11)
+    g = rng.choice(["x", "y"], 800)
+    v = np.concatenate([np.round(rng.normal(0, 50, 700), 3), np.full(100, 12.5)])   # a block of ties
+    df = spark.createDataFrame([(str(a), float(b)) for a, b in zip(g, v)], "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    out = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs, max_group_rows=0, buckets=3).collect()}
+    for key in ["x", "y"]:
+        exp = np.percentile(v[g == key], [p * 100 for p in probs], method="linear")
+        assert [out[key][f"q{i}"] for i in range(len(probs))] == pytest.approx(list(exp), rel=1e-12, abs=1e-9)
+
+
 def test_running_totals_across_range_partitions(spark):
     rng = np.random.default_rng(3)
     rows = [(str(k), int(x), int(c)) for k, x, c in zip(rng.choice(["a", "b"], 500), rng.permutation(500),
