@@ -90,8 +90,27 @@ class IsolationForestJob:
         psi = min(self.max_samples, n)
         self.psi = psi
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
+        # Each tree keeps the psi rows with the lowest seeded hash. A row's
+        # copies for all trees are hashed in the scan stage and only those
+        # under a hash cut-off (expected ~4 psi per tree) leave it, so no tree's
+        # window holds the whole input. If a tree still gets fewer than psi
+        # candidates (vanishingly rare) the fit is redone without a cut-off.
+        frac = min(1.0, 4.0 * psi / max(n, 1))
+        nodes = self._fit_sample(x, psi, max_depth, frac)
+        if frac < 1.0:
+            short = nodes.where(F.col("node") == 0).agg(F.min("size"), F.count(F.lit(1))).first()
+            if short[1] < self.n_trees or short[0] < psi:
+                nodes = self._fit_sample(x, psi, max_depth, 1.0)
+        return nodes
+
+    def _fit_sample(self, x: DataFrame, psi: int, max_depth: int, frac: float) -> DataFrame:
+        h = F.xxhash64(F.lit(self.seed), "tree", self.id_col)
         tagged = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.n_trees - 1))).alias("tree"))
-        w = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(self.seed), "tree", self.id_col), self.id_col)
+        if frac < 1.0:
+            # signed 64-bit hashes: keep the lowest ``frac`` share of the hash range
+            cut = min(int(-2 ** 63 + frac * 2 ** 64), 2 ** 63 - 1)
+            tagged = tagged.where(h < F.lit(cut))
+        w = Window.partitionBy("tree").orderBy(h, self.id_col)
         sample = tagged.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r")
         nf, seed = len(self.features), self.seed
 

@@ -110,3 +110,20 @@ def test_isolation_forest_properties(spark):
     again = job.transform(df, job.fit(df)).orderBy("step").collect()
     first = job.transform(df, nodes).orderBy("step").collect()
     assert [r.iso_method_score for r in again] == [r.iso_method_score for r in first]
+
+
+def test_iforest_hash_cutoff_picks_the_same_samples_as_the_full_window(spark):
+    """On an input much larger than max_samples the per-tree candidates are
+    cut by hash before the window; the trees must equal the uncut ones."""
+    rng = np.random.RandomState(5)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (6000, 2)), start=1)]
+    df = spark.createDataFrame(rows, "step int, f1 double, f2 double")
+    job = IsolationForestJob(["f1", "f2"], n_trees=12, max_samples=64, seed=7)
+    cut = job.fit(df)                      # 4 * 64 / 6000 < 1: the cut-off path
+    x = job._x(df)
+    full = job._fit_sample(x, 64, 6, 1.0)  # every copy goes through the window
+    key = ["tree", "node"]
+    a = [tuple(r) for r in cut.orderBy(*key).collect()]
+    b = [tuple(r) for r in full.orderBy(*key).collect()]
+    assert a == b
+    assert {r.size for r in cut.where(F.col("node") == 0).collect()} == {64}
