@@ -42,8 +42,14 @@ def frozen_mean(df: DataFrame, cutoff_step: int, key: str = "type", amount: str
 
 def frozen_type_stats(df: DataFrame, p95_cutoff: int, mean_cutoff: int) -> DataFrame:
     """S6 content: one row per type with p95 (steps <= p95_cutoff) and mean
-    (steps <= mean_cutoff). At most 5 rows (the type domain)."""
-    return frozen_p95(df, p95_cutoff).join(frozen_mean(df, mean_cutoff), "type", "full")
+    (steps <= mean_cutoff). At most 5 rows (the type domain). The two small
+    per-type tables are unioned and folded by type (a full outer combination
+    without a join)."""
+    none = F.lit(None).cast("double")
+    p = frozen_p95(df, p95_cutoff).select("type", "p95_amount", none.alias("mean_amount"))
+    m = frozen_mean(df, mean_cutoff).select("type", none.alias("p95_amount"), "mean_amount")
+    return p.unionByName(m).groupBy("type").agg(F.first("p95_amount", ignorenulls=True).alias("p95_amount"),
+                                                F.first("mean_amount", ignorenulls=True).alias("mean_amount"))
 
 
 def with_high_amount(df: DataFrame, thresholds: DataFrame) -> DataFrame:
