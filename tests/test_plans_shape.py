@@ -66,3 +66,14 @@ def test_udf_queries_run_from_another_working_directory(tmp_path):
                          text=True, timeout=600)
     assert res.returncode == 0, res.stderr[-2000:]
     assert "ROWS " in res.stdout
+
+
+def test_no_nested_loop_or_cartesian_join_in_oracle_checked_queries(spark, sf_dir):
+    import __spark_entry__ as E
+    qs, sqls = E.queries(), E.oracle_sql()
+    bad = []
+    for name in sqls:
+        plan = _plan(qs[name](spark, sf_dir))
+        if "NestedLoopJoin" in plan or "CartesianProduct" in plan or "BatchEvalPython" in plan:
+            bad.append(name)
+    assert bad == []
