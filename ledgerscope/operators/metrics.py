@@ -138,7 +138,7 @@ def _threshold_index(score: Column) -> Column:
 
 def threshold_sweep(df: DataFrame, label: str = "isFraud", score: str = "score",
                     keys: list[str] | None = None) -> DataFrame:
-    """M7: confusion, precision, recall, F1 and alert rate at each of the 50
+    """M7 + J7: confusion, precision, recall, F1 and alert rate at each of the 50
     thresholds. Each row is bucketed once by how many thresholds it reaches
     (0..50); a reverse running sum over those 51 buckets gives tp and fp at
     every threshold. No explode of rows, no pairing of rows with thresholds."""
