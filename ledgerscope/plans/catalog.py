@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources import ledger as L
+from ..sources.artifacts import write_features
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,7 +80,7 @@ def features_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = ensure_checkpoint_dir(spark)
         path = f"{base.rstrip('/')}/features-{uuid.uuid4().hex}"
         feats = FE.transaction_features(ledger(spark, sf_dir))[0]
-        feats.write.mode("overwrite").partitionBy("day_index").parquet(path)
+        write_features(feats, path)
         _FEATURES[key] = path
     df = spark.read.parquet(path)
     from ..operators.features import ENGINEERED_COLUMNS

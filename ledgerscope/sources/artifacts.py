@@ -12,9 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def write_partitioned(df: DataFrame, path: str, column: str) -> None:
+    """Partitioned parquet write. Rows are first rebalanced on the partition
+    column (AQE splits a large value into advisory-size tasks and merges small
+    ones), so each task writes into few directories: files ~ values x splits,
+    not tasks x values."""
+    df.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(path)
+
+
 def write_features(df: DataFrame, path: str) -> None:
     """Engineered transactions, partitioned by day so time-range reads prune."""
-    df.write.mode("overwrite").partitionBy("day_index").parquet(path)
+    write_partitioned(df, path, "day_index")
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -29,8 +37,9 @@ def read_frozen(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """One tidy report section as JSON lines."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """One tidy report section as JSON lines (report sections are small;
+    ``repartition(1)`` keeps the work before it parallel, unlike coalesce)."""
+    df.repartition(1).write.mode("overwrite").json(path)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -54,7 +63,7 @@ def read_metadata(spark: SparkSession, path: str) -> dict:
 
 def write_predictions(scored: DataFrame, path: str) -> None:
     """Scored rows keyed by split."""
-    scored.write.mode("overwrite").partitionBy("split").parquet(path)
+    write_partitioned(scored, path, "split")
 
 
 def read_step(spark: SparkSession, path: str, step: int) -> DataFrame:
