@@ -170,22 +170,26 @@ def threshold_sweep(df: DataFrame, label: str = "isFraud", score: str = "score",
 
 def operating_points(sweep: DataFrame) -> DataFrame:
     """Three operating modes from the (rounded) sweep rows; ties go to
-    the lowest threshold. The sweep has 50 rows, so these windows are tiny.
+    the lowest threshold.
       high_recall    = max precision with recall >= 0.90, else max recall
       balanced       = max F1
-      high_precision = max recall with precision >= 0.80, else max precision"""
-    hr_ok = F.max(F.when(F.col("recall") >= 0.90, 1)).over(Window.partitionBy())
-    hp_ok = F.max(F.when(F.col("precision") >= 0.80, 1)).over(Window.partitionBy())
-    s = sweep.withColumn("_hr", hr_ok).withColumn("_hp", hp_ok)
-
-    def pick(mode, cond, metric):
-        w = Window.orderBy(F.desc(metric), F.asc("threshold"))
-        return (s.where(cond).withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-                 .drop("_r", "_hr", "_hp").withColumn("mode", F.lit(mode)))
-
-    hr = pick("high_recall", F.col("_hr").isNotNull() & (F.col("recall") >= 0.90), "precision").unionByName(
-        pick("high_recall", F.col("_hr").isNull(), "recall"))
-    bal = pick("balanced", F.lit(True), "f1")
-    hp = pick("high_precision", F.col("_hp").isNotNull() & (F.col("precision") >= 0.80), "recall").unionByName(
-        pick("high_precision", F.col("_hp").isNull(), "precision"))
-    return hr.unionByName(bal).unionByName(hp)
+      high_precision = max recall with precision >= 0.80, else max precision
+    One aggregate: each pick is max(struct(metric, -threshold, row)) over the
+    rows meeting its condition (argmax, first-wins on the lowest threshold);
+    a pick with no qualifying row is null and its fallback is used."""
+    row = F.struct(*[F.col(c) for c in sweep.columns])
+
+    def best(metric: str, cond: Column) -> Column:
+        return F.max(F.when(cond, F.struct(F.col(metric).alias("_m"), (-F.col("threshold")).alias("_t"),
+                                           row.alias("r"))))
+
+    agg = sweep.agg(best("precision", F.col("recall") >= 0.90).alias("hr"), best("recall", F.lit(True)).alias("hr0"),
+                    best("f1", F.lit(True)).alias("bal"),
+                    best("recall", F.col("precision") >= 0.80).alias("hp"),
+                    best("precision", F.lit(True)).alias("hp0"))
+    picks = F.array(
+        F.struct(F.lit("high_recall").alias("mode"), F.coalesce("hr", "hr0")["r"].alias("r")),
+        F.struct(F.lit("balanced").alias("mode"), F.col("bal")["r"].alias("r")),
+        F.struct(F.lit("high_precision").alias("mode"), F.coalesce("hp", "hp0")["r"].alias("r")))
+    return (agg.select(F.explode(picks).alias("p")).where(F.col("p.r").isNotNull())
+               .select("p.r.*", F.col("p.mode").alias("mode")))

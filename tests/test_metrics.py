@@ -73,3 +73,24 @@ def test_confusion_zero_division(spark):
     df = spark.createDataFrame([(0, 0.1), (0, 0.2)], "isFraud int, score double")
     r = M.confusion_at(df, 0.5).first()
     assert (r.tp, r.fp, r.precision, r.recall, r.f1) == (0, 0, 0.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_operating_points_match_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(round(0.01 + 0.02 * i, 3), float(rng.choice([0.5, 0.79, 0.8, 0.95])),
+             float(rng.choice([0.6, 0.89, 0.9, 0.99])), float(rng.choice([0.3, 0.6]))) for i in range(50)]
+    if seed == 4:   # no row reaches recall 0.90: high_recall falls back to max recall
+        rows = [(t, p, min(r, 0.89), f) for t, p, r, f in rows]
+    sweep = spark.createDataFrame(rows, "threshold double, precision double, recall double, f1 double")
+    got = {r.mode: r.threshold for r in M.operating_points(sweep).collect()}
+
+    def argmax(cands, key):
+        return min(cands, key=lambda t: (-key(t), t[0]))[0]
+
+    hr = [t for t in rows if t[2] >= 0.90]
+    hp = [t for t in rows if t[1] >= 0.80]
+    exp = {"high_recall": argmax(hr, lambda t: t[1]) if hr else argmax(rows, lambda t: t[2]),
+           "balanced": argmax(rows, lambda t: t[3]),
+           "high_precision": argmax(hp, lambda t: t[2]) if hp else argmax(rows, lambda t: t[1])}
+    assert got == exp
