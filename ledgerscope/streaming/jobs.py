@@ -75,7 +75,15 @@ def latest_versions(spark: SparkSession, path: str, keys: list[str]) -> DataFram
 
 
 # ------------------------------------------------------------------- ST3
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on the (shared) file system, via Hadoop's API."""
+    jp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jp)
+
+
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    if not _exists(spark, path):
+        return None
     try:
         return spark.read.parquet(path)
     except Exception as e:  # noqa: BLE001 - an absent folder means "no state yet"
