@@ -156,8 +156,5 @@ def test_by_mode(spark, sf_dir):
     sc = scored(spark, sf_dir)
     points = M.operating_points(M.threshold_sweep(sc.where(F.col("split") == "val"))).select("mode", "threshold")
     test = sc.where(F.col("split") == "test")
-    out = None
-    for row in points.collect():            # three modes: three small evaluations
-        part = M.evaluate(test, row["threshold"]).withColumn("mode", F.lit(row["mode"]))
-        out = part if out is None else out.unionByName(part)
-    return out
+    pts = [(r["mode"], r["threshold"]) for r in points.collect()]     # the three operating points
+    return M.evaluate_at(test, pts)

@@ -78,12 +78,8 @@ def model_operating_points(spark, sf_dir):
 def model_test_by_mode(spark, sf_dir):
     """Each operating point applied once to the untouched test split."""
     pts = model_operating_points(spark, sf_dir).select("mode", "threshold").collect()   # three rows
-    test = _selected_scores(spark, sf_dir, "test").cache()
-    out = None
-    for p in pts:
-        e = M.evaluate(test, p["threshold"], score="pred_prob").withColumn("mode", F.lit(p["mode"]))
-        out = e if out is None else out.unionByName(e)
-    return out
+    test = _selected_scores(spark, sf_dir, "test")
+    return M.evaluate_at(test, [(p["mode"], p["threshold"]) for p in pts], score="pred_prob")
 
 
 @register("model_importances")

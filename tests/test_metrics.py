@@ -94,3 +94,17 @@ def test_operating_points_match_brute_force(spark, seed):
            "balanced": argmax(rows, lambda t: t[3]),
            "high_precision": argmax(hp, lambda t: t[2]) if hp else argmax(rows, lambda t: t[1])}
     assert got == exp
+
+
+def test_evaluate_at_equals_evaluate_per_point(spark):
+    rng = np.random.default_rng(9)
+    s = np.round(rng.random(500), 2)
+    y = (rng.random(500) < 0.1 + 0.6 * s).astype(int)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "isFraud int, score double")
+    pts = [("high_recall", 0.21), ("balanced", 0.43), ("high_precision", 0.77)]
+    got = {r.mode: r.asDict() for r in M.evaluate_at(df, pts).collect()}
+    for mode, t in pts:
+        exp = M.evaluate(df, t).first().asDict()
+        row = dict(got[mode])
+        assert row.pop("mode") == mode
+        assert row == exp
