@@ -43,18 +43,29 @@ def _eval(run, name, part):
 
 @register("model_comparison")
 def model_comparison(spark, sf_dir):
-    """Three models, validation and test metrics, the selection."""
+    """Three models, validation and test metrics, the selection.
+    The three models' scores on validation and test are one keyed evaluation
+    (keys model, split), folded to one row per model."""
     run = model_run(spark, sf_dir)
-    out = None
+    held_out = run.universe.where(F.col("split").isin("val", "test"))
+    scored = None
     for n in run.names:
-        v = _eval(run, n, run.val).select(*[F.col(c).alias(f"val_{c}") for c in ["pr_auc", "roc_auc"]])
-        t = _eval(run, n, run.test).select(*[F.col(c).alias(f"test_{c}") for c in
-                                             ["pr_auc", "roc_auc", "precision", "recall", "f1"]])
-        row = (side_by_side(v, t)
-                .select(F.lit(n).alias("model"), F.lit(round(run.seconds[n], 2)).alias("train_time_sec"), "*")
-                .withColumn("selected", F.lit(n == run.selected)))
-        out = row if out is None else out.unionByName(row)
-    return out
+        s = TR.score(run.models[n], held_out).select(F.lit(n).alias("model"), "split", TR.LABEL, "pred_prob")
+        scored = s if scored is None else scored.unionByName(s)
+    ev = M.evaluate(scored, 0.5, score="pred_prob", keys=["model", "split"])
+
+    def at(split, c):
+        return F.first(F.when(F.col("split") == split, F.col(c)), ignorenulls=True).alias(f"{split}_{c}")
+
+    per_model = ev.groupBy("model").agg(
+        *[at("val", c) for c in ["pr_auc", "roc_auc"]],
+        *[at("test", c) for c in ["pr_auc", "roc_auc", "precision", "recall", "f1"]])
+    secs = F.create_map(*[x for n in run.names for x in (F.lit(n), F.lit(round(run.seconds[n], 2)))])
+    return per_model.select(
+        "model", secs[F.col("model")].alias("train_time_sec"),
+        *[c for c in per_model.columns if c != "model"],
+        (F.col("model") == F.lit(run.selected)).alias("selected")).orderBy(
+        F.array_position(F.array(*[F.lit(n) for n in run.names]), F.col("model")))
 
 
 def _selected_scores(spark, sf_dir, part):
