@@ -137,9 +137,15 @@ class ModelRun:
     def fit_all(self):
         for n in self.names:
             self.models[n], self.seconds[n] = fit(n, self.train, self.val)
+        # every model's validation PR-AUC from one keyed curve (key: model)
+        scored = None
         for n in self.names:
-            ev = M.ranking_metrics(M.curve(score(self.models[n], self.val), LABEL, "pred_prob")).first()
-            self.val_pr_auc[n] = ev["pr_auc"] if ev["pr_auc"] is not None else -1.0
+            sc = score(self.models[n], self.val).select(F.lit(n).alias("model"), LABEL, "pred_prob")
+            scored = sc if scored is None else scored.unionByName(sc)
+        got = {r["model"]: r["pr_auc"] for r in
+               M.ranking_metrics(M.curve(scored, LABEL, "pred_prob", keys=["model"]), keys=["model"]).collect()}
+        for n in self.names:                     # one row per model
+            self.val_pr_auc[n] = got.get(n) if got.get(n) is not None else -1.0
         return self
 
     @property
