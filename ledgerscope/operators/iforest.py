@@ -110,6 +110,11 @@ class IsolationForestJob:
             # signed 64-bit hashes: keep the lowest ``frac`` share of the hash range
             cut = min(int(-2 ** 63 + frac * 2 ** 64), 2 ** 63 - 1)
             tagged = tagged.where(h < F.lit(cut))
+        # Growing a tree is CPU work on little data: with a size-based plan
+        # AQE would coalesce all trees into one task. An explicit partition
+        # count (kept by AQE) spreads the trees over up to n_trees tasks; the
+        # window and the grouped map below reuse this partitioning.
+        tagged = tagged.repartition(self.n_trees, "tree")
         w = Window.partitionBy("tree").orderBy(h, self.id_col)
         sample = tagged.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).drop("_r")
         nf, seed = len(self.features), self.seed

@@ -85,10 +85,24 @@ def model_operating_points(spark, sf_dir):
     return M.operating_points(model_threshold_sweep(spark, sf_dir))
 
 
+_POINTS: dict = {}
+
+
+def selected_points(spark, sf_dir):
+    """The three operating points of the fitted run, computed once per session
+    and kept as a three-row table for the jobs that apply them (M12, L2, E3)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _POINTS:
+        pts = model_operating_points(spark, sf_dir)
+        _POINTS[key] = (pts.collect(), pts.schema)      # three rows
+    rows, schema = _POINTS[key]
+    return spark.createDataFrame(rows, schema)
+
+
 @register("model_test_by_mode")
 def model_test_by_mode(spark, sf_dir):
     """Each operating point applied once to the untouched test split."""
-    pts = model_operating_points(spark, sf_dir).select("mode", "threshold").collect()   # three rows
+    pts = selected_points(spark, sf_dir).select("mode", "threshold").collect()   # three rows
     test = _selected_scores(spark, sf_dir, "test")
     return M.evaluate_at(test, [(p["mode"], p["threshold"]) for p in pts], score="pred_prob")
 
@@ -121,7 +135,7 @@ def _model_steps(spark, sf_dir, n_trees=200):
     run = model_run(spark, sf_dir)
     feats = features_table(spark, sf_dir)
     steps = ST.step_table(feats)
-    pts = model_operating_points(spark, sf_dir)
+    pts = selected_points(spark, sf_dir)
     thr = float(pts.where(F.col("mode") == "balanced").first()["threshold"])
     scored = TR.score(run.models[run.selected], S.modelling_universe(feats))
     ext = SP.zscore_flag(SP.extend_step_table(steps, SP.step_model_signal(scored, thr))).cache()
@@ -222,8 +236,7 @@ def model_decisions(spark, sf_dir):
     model = run.models[run.selected]
     work = ensure_checkpoint_dir(spark)
     spikes = model_steps(spark, sf_dir)
-    pts = model_operating_points(spark, sf_dir)
-    modes = D.modes_table(spark, pts)
+    modes = D.modes_table(spark, selected_points(spark, sf_dir))
 
     def score_fn(df):
         return TR.score(model, df)
