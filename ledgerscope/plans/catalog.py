@@ -91,3 +91,11 @@ def features_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heavier lineitem/orders ledger (supplier = destination, daily steps)."""
     return _materialized(spark, sf_dir, "lineitem-ledger", L.lineitem_ledger)
+
+
+def steps_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly step table (one row per step) as the detection and
+    validation phases read it, written once per session; the ``step_table``
+    query itself always computes."""
+    from ..operators import steps as ST
+    return written_table(spark, sf_dir, "step-table", lambda s, d: ST.step_table(features_table(s, d)))

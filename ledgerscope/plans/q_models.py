@@ -11,12 +11,11 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import spikes as SP
 from ..operators import splits as S
-from ..operators import steps as ST
 from ..operators import train as TR
 from ..operators.combine import side_by_side
 from ..operators.iforest import IsolationForestJob
 from ..session import ensure_checkpoint_dir
-from .catalog import features_table, ledger, register
+from .catalog import features_table, ledger, register, steps_table
 from .q_decide import frozen_stats
 from .q_quality import ledger_requests
 
@@ -134,7 +133,7 @@ def _model_steps(spark, sf_dir, n_trees=200):
     z-score (T3) and isolation forest (T4)."""
     run = model_run(spark, sf_dir)
     feats = features_table(spark, sf_dir)
-    steps = ST.step_table(feats)
+    steps = steps_table(spark, sf_dir)
     pts = selected_points(spark, sf_dir)
     thr = float(pts.where(F.col("mode") == "balanced").first()["threshold"])
     scored = TR.score(run.models[run.selected], S.modelling_universe(feats))

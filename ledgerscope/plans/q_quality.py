@@ -5,9 +5,8 @@ from pyspark.sql import functions as F
 
 from ..operators import features as FE
 from ..operators import quality as Q
-from ..operators import steps as ST
 from ..sources.ledger import RAW_COLUMNS
-from .catalog import features_table, ledger, r, register
+from .catalog import features_table, ledger, r, register, steps_table
 from .q_features import STEP_CTES, with_features
 from .sql import with_ledger
 
@@ -105,7 +104,7 @@ SELECT (SELECT cast(sum(gt_fraud_count) AS BIGINT) FROM agg) AS step_table_fraud
 def label_reconciliation(spark, sf_dir):
     """Q-9: fraud total of the step table equals the transactions'."""
     feats = features_table(spark, sf_dir)
-    return Q.label_reconciliation(ST.step_table(feats), feats)
+    return Q.label_reconciliation(steps_table(spark, sf_dir), feats)
 
 
 def ledger_requests(spark, sf_dir):

@@ -10,9 +10,8 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import spikes as SP
 from ..operators import splits as S
-from ..operators import steps as ST
 from ..operators.iforest import IsolationForestJob
-from .catalog import features_table, ledger, register, written_table
+from .catalog import features_table, ledger, register, steps_table, written_table
 from .q_features import STEP_CTES, with_features
 from .q_metrics import M_CTE, OP_CTE, SWEEP_CTE, scored
 
@@ -28,7 +27,7 @@ def balanced_threshold(sc) -> float:
 
 def compute_extended_steps(spark, sf_dir):
     """L2 on the linear score: step table + model signal + W7/W8 + z flag."""
-    steps = ST.step_table(features_table(spark, sf_dir))
+    steps = steps_table(spark, sf_dir)
     sc = scored(spark, sf_dir)
     signal = SP.step_model_signal(sc, balanced_threshold(sc), "score")
     return SP.zscore_flag(SP.extend_step_table(steps, signal))
