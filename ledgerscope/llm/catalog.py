@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_quality"]
+_MODULES = ["q_quality", "q_linededup"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
