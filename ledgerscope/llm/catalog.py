@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_quality", "q_linededup"]
+_MODULES = ["q_quality", "q_linededup", "q_neardup"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
