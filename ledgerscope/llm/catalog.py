@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_quality", "q_linededup", "q_neardup"]
+_MODULES = ["q_quality", "q_linededup", "q_neardup", "q_mixing", "q_packing"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -22,4 +22,6 @@ def register(name: str, sql: str | None = None):
 def load():
     for m in _MODULES:
         importlib.import_module(f"{__package__}.{m}")
+    import corpus_pipeline
+    QUERIES["pipeline"] = corpus_pipeline.run
     return QUERIES, ORACLES

@@ -27,6 +27,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], cols: list[str], how: str = "inner") -> DataFrame:
+    """All of ``left`` and ``cols`` of ``right`` where the keys are equal, null with null."""
+    on = F.expr(" AND ".join(f"_l.`{k}` <=> _r.`{k}`" for k in keys))
+    return (left.alias("_l").join(right.alias("_r"), on, how)
+            .select(*[F.col(f"_l.`{c}`") for c in left.columns], *[F.col(f"_r.`{c}`") for c in cols]))
+
+
 def words_sql(col: str) -> str:
     """SQL for the array of words ``[^\\x20\\x09-\\x0D]+`` of a string column."""
     t = f"trim(BOTH {_WS_SQL} FROM coalesce({col}, ''))"
@@ -57,11 +64,7 @@ def running_before(df: DataFrame, order: list[str], value: str, out: str,
     offsets = totals.select("_pid", *keys, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_o"))
     inside = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     mine = ranged.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    if keys:
-        same = [mine["_pid"] == offsets["_pid"], *[mine[k].eqNullSafe(offsets[k]) for k in keys]]
-        j = mine.join(offsets, same, "left").select(*[mine[c] for c in mine.columns if c != "_pid"], offsets["_o"])
-    else:
-        j = mine.join(offsets, "_pid", "left").drop("_pid")     # one offset row per partition
+    j = join_keys(mine, offsets, ["_pid", *keys], ["_o"], "left").drop("_pid")     # one offset row per partition and key
     return j.withColumn(out, F.col("_in") + F.col("_o")).drop("_in", "_o")
 
 
