@@ -14,7 +14,7 @@ from ledgerscope.llm.common import table, written
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that pass the base rules and the cascade."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.passing(docs)
 
 
 def line_dedup(spark, docs, sf_dir):

@@ -123,3 +123,12 @@ def judge(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None,
     order = [x["rule"] for x in plan_cascade(docs, rules, text, sample_rows)]
     out = cascade(features(docs, text), [Rule("base", "base_failed"), *order])
     return out.withColumn("kept", F.col("rejected_by").isNull())
+
+
+def passing(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
+    """The input rows that are kept, with the input's columns. The row number in
+    the condition keeps the optimiser from moving the filter below the features,
+    where it would repeat their expressions for every rule that reads them."""
+    judged = judge(docs, text, rules).withColumn("_q_row", F.monotonically_increasing_id())
+    names = [c for c in docs.columns if c not in [*FEATURES, "rejected_by", "kept"] and not c.startswith("_q_")]
+    return judged.where("kept AND _q_row >= 0").select(*names)
