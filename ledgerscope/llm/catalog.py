@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_quality", "q_linededup", "q_neardup", "q_mixing", "q_packing"]
+_MODULES = ["q_quality", "q_linededup", "q_neardup", "q_mixing", "q_packing", "q_chat", "q_fingerprint"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
