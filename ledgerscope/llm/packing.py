@@ -39,44 +39,80 @@ from .common import running_before, written
 
 CAPACITY = 4096
 END_ID = 1
-BLOCK_CHARS = 2_000_000       # text per block in a task
-CACHED_WORDS = 200_000        # words whose ids a Python worker remembers
+BLOCK_CHARS = 6_000_000       # text per block in a task
+CACHED_WORDS = 1_000_000      # words whose ids a Python worker remembers
 
 _TOKENIZERS: dict = {}
 
 
 def _tokenizer(name: str):
+    """(tokenizer, known words, which ids end a word) of this worker."""
     if name not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
         path = name
         if not os.path.isabs(name):
             import public_tokenizers
             path = public_tokenizers.path(name)
-        _TOKENIZERS[name] = (Tokenizer.from_file(path), {})
+        tok = Tokenizer.from_file(path)
+        ends = np.zeros(tok.get_vocab_size() + 1, bool)
+        ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+        _TOKENIZERS[name] = (tok, {}, ends)
     return _TOKENIZERS[name]
 
 
+def _learn(words: list[str], tok, known: dict, ends: np.ndarray) -> None:
+    """Ids of new words. Words of letters only are one run to the tokenizer, so
+    many are encoded as one text and told apart by the ids that end a word;
+    should their number not agree, and for all other words, one by one."""
+    plain, others = [], []
+    for w in words:
+        (plain if w.isalpha() else others).append(w)
+    for lo in range(0, len(plain), 4096):
+        part = plain[lo:lo + 4096]
+        ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        cut = np.flatnonzero(ends[ids]) + 1
+        if len(cut) == len(part) and cut[-1] == len(ids):
+            raw, at = ids.tobytes(), 0
+            for w, c in zip(part, cut.tolist()):
+                known[w] = raw[4 * at:4 * c]
+                at = c
+        else:
+            others += part
+    for w, e in zip(others, tok.encode_batch_fast(others, add_special_tokens=False)):
+        known[w] = np.array(e.ids, dtype=np.uint32).tobytes()
+
+
 def token_ids(texts: list[str], name: str) -> list[np.ndarray]:
     """Ids of each text, as the tokenizer gives for the whole text. Its tokens
     never cross a space or line break (both are white space to it and dropped),
-    so each distinct word of the block is encoded once."""
-    tok, known = _tokenizer(name)
+    nor from a letter to a full stop or comma, so each distinct word of the
+    block is encoded once; ASCII words are looked up in lower case, as the
+    tokenizer lowers them anyway."""
+    tok, known, ends = _tokenizer(name)
     parts = [t.replace("\n", " ").split(" ") for t in texts]
     n = np.fromiter(map(len, parts), np.int64, len(parts))
     codes, uniq = pd.factorize(np.array([w for p in parts for w in p], dtype=object))
+    heads, tails = [], []
+    for w in uniq.tolist():
+        tail = w[-1:]
+        if tail in (".", ",") and w[:-1].isalpha():
+            w = w[:-1]
+        else:
+            tail = ""
+        heads.append(w.lower() if w.isascii() and w.isalpha() else w)
+        tails.append(tail)
     if len(known) > CACHED_WORDS:
         known.clear()
-    new = [w for w in uniq if w not in known]
-    for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-        known[w] = np.array(e.ids, dtype=np.uint32)
-    ids = [known[w] for w in uniq]
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    _learn(list({k for k in heads if k not in known} | {k for k in ("", ".", ",") if k not in known}), tok, known, ends)
+    ids = [known[a] + known[b] for a, b in zip(heads, tails)]
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), np.uint32)
     first = np.cumsum(size) - size
     each = size[codes]
-    ends = np.cumsum(each)
-    out = flat[np.repeat(first[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-    cut = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(n)))]
+    ends_at = np.cumsum(each)
+    out = flat[np.repeat(first[codes] - (ends_at - each), each) + np.arange(ends_at[-1] if len(ends_at) else 0)]
+    cut = np.concatenate(([0], ends_at))[np.concatenate(([0], np.cumsum(n)))]
     return [out[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
