@@ -136,7 +136,7 @@ def amount_summary(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         _cnt(F.col("amount") == 0).alias("zero_amount_count"))
     if not keys:
         return side_by_side(basic.drop("_g"), q.drop("_g"))
-    return basic.join(q, grouped)     # one row per group on both sides
+    return basic.join(q, grouped, "left")     # a group without any amount has no quantiles
 
 
 def balance_patterns(df: DataFrame) -> DataFrame:

@@ -149,7 +149,9 @@ def validate(df: DataFrame) -> DataFrame:
     errs.append(f"""CASE WHEN {raw('step')} IS NOT NULL AND NOT ({_finite_sql(sd)} AND {sd} = floor({sd}))
                      THEN concat('invalid step: ', {shown('step')}, ' (must be an integer)')
                      WHEN {raw('step')} IS NOT NULL AND {sd} < 1
-                     THEN concat('invalid step: ', CAST({raw('step')} AS string), ' (must be >= 1)') END""")
+                     THEN concat('invalid step: ', CAST({raw('step')} AS string), ' (must be >= 1)')
+                     WHEN {raw('step')} IS NOT NULL AND {sd} > 2147483647
+                     THEN concat('invalid step: ', CAST({raw('step')} AS string), ' (must be <= 2147483647)') END""")
     tn = f"upper(trim(CAST({raw('type')} AS string)))"
     types = ", ".join(f"'{t}'" for t in X.VALID_TYPES)
     errs.append(f"CASE WHEN {raw('type')} IS NOT NULL AND NOT {tn} IN ({types}) THEN concat("
@@ -162,7 +164,7 @@ def validate(df: DataFrame) -> DataFrame:
                          THEN concat('invalid {f}: ', {shown(f)}, ' (must be >= 0)') END""")
     out = df.selectExpr("*", f"filter(array({', '.join(errs)}), x -> x IS NOT NULL) AS errors")
     clean = ["size(errors) = 0 AS is_valid",
-             f"CASE WHEN size(errors) = 0 THEN CAST({sd} AS int) END AS clean_step",
+             f"CASE WHEN size(errors) = 0 THEN try_cast({sd} AS int) END AS clean_step",
              f"CASE WHEN size(errors) = 0 THEN {tn} END AS clean_type"]
     for f in ["amount"] + BALANCE_FIELDS:
         clean.append(f"CASE WHEN size(errors) = 0 THEN {dbl(f)} END AS clean_{f}")

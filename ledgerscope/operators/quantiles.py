@@ -61,7 +61,6 @@ def _refine(base, stats, keys, probs, names, buckets, with_count):
     state = (state.withColumn("_below", F.lit(0).cast("long"))
                   .withColumn("_val", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")))
                   .checkpoint())
-    bk = F.lit(float(buckets))
     while True:
         active = state.where(F.col("_val").isNull())
         if active.limit(1).count() == 0:
@@ -69,9 +68,7 @@ def _refine(base, stats, keys, probs, names, buckets, with_count):
         brackets = active.select(*keys, "_lo", "_hi").distinct()
         rows = (base.join(brackets, keys)
                 .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-                .withColumn("_b", F.least(F.lit(buckets - 1),
-                                          F.floor((F.col("_v") - F.col("_lo")) /
-                                                  (F.col("_hi") - F.col("_lo")) * bk).cast("int"))))
+                .withColumn("_b", _bucket(buckets)))
         hist = rows.groupBy(*keys, "_lo", "_hi", "_b").agg(
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
         w = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -98,12 +95,22 @@ def _refine(base, stats, keys, probs, names, buckets, with_count):
         pos = (F.col("_n") - 1) * F.lit(float(p))
         frac = pos - F.floor(pos)
         a, b = F.col(f"`{2 * i}`"), F.col(f"`{2 * i + 1}`")
-        cols.append((a + frac * (b - a)).alias(n))
+        # equal neighbours need no interpolation (and infinite ones allow none)
+        cols.append(F.when((a == b) | (frac == 0), a).otherwise(a + frac * (b - a)).alias(n))
     if with_count:
         cols.append(F.col("_n"))
     return out.select(*cols)
 
 
+def _bucket(buckets: int):
+    """Bucket of ``_v`` in its bracket. An infinite end is a bucket of its own
+    first, so that the next bracket is finite; halves keep the width finite."""
+    v, lo, hi, inf = F.col("_v"), F.col("_lo"), F.col("_hi"), float("inf")
+    part = F.least(F.lit(buckets - 1), F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * F.lit(float(buckets))).cast("int"))
+    open_end = (lo == F.lit(-inf)) | (hi == F.lit(inf))
+    return F.when(v == F.lit(-inf), 0).when(v == F.lit(inf), buckets - 1).when(open_end, 1).otherwise(part)
+
+
 def _check_prob(p: float) -> None:
     if not (0.0 <= p <= 1.0) or math.isnan(p):
         raise ValueError(f"probability out of range: {p}")

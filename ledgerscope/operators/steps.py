@@ -50,7 +50,7 @@ def step_table(features: DataFrame, max_rows_per_step: int | None = None,
         agg = features.groupBy("step").agg(*aggs, F.median("amount").alias("median_amount"))
     else:   # a hot step: exact median by range refinement, never one task per step
         agg = features.groupBy("step").agg(*aggs).join(
-            exact_quantiles(features, ["step"], "amount", [0.5], ["median_amount"], max_group_rows=0), "step")
+            exact_quantiles(features, ["step"], "amount", [0.5], ["median_amount"], max_group_rows=0), "step", "left")
     agg = (agg.withColumn("gt_fraud_rate", F.col("gt_fraud_count") / F.col("transaction_count"))
               .withColumn("hour_of_day", X.hour_of_day())
               .withColumn("day_index", X.day_index()))

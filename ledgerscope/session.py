@@ -27,7 +27,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     """A local session for tests and the bench (UI off, UTC, AQE on)."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", "16g"))
+         .config("spark.driver.memory", os.environ.get("LEDGERSCOPE_DRIVER_MEMORY", "8g")))
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -76,7 +76,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     A cluster names it in ``spark.checkpoint.dir``; we read it from the session
-    and only set our own (a scratch folder) where it is unset, as in tests.
+    and only set our own (a scratch folder) where it is unset and the master is
+    local, as in tests; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -84,6 +85,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="ledgerscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
