@@ -39,7 +39,7 @@ from .common import running_before, written
 
 CAPACITY = 4096
 END_ID = 1
-BLOCK_CHARS = 12_000_000      # text per block in a task
+BLOCK_CHARS = 8_000_000      # text per block in a task
 CACHED_WORDS = 1_000_000      # words whose ids a Python worker remembers
 
 _TOKENIZERS: dict = {}
