@@ -28,18 +28,6 @@ def c(name) -> Column:
     return F.col(name) if isinstance(name, str) else name
 
 
-def cents(amount) -> Column:
-    """Money as whole cents (long): sums of cents are exact, so totals do not
-    depend on how rows are partitioned or ordered."""
-    if isinstance(amount, str):
-        return F.expr(f"cast(round({q(amount)} * 100) as bigint)")
-    return F.round(amount * 100).cast("long")
-
-
-def from_cents(total: Column) -> Column:
-    return total / F.lit(100.0)
-
-
 def flag(cond: Column) -> Column:
     """Boolean -> 0/1 int (null stays null)."""
     return cond.cast("int")

@@ -1,7 +1,7 @@
 """Strictly-prior history per key.
 
-Money totals are summed as whole cents (exact), so a total does not change
-with the partitioning or the order rows arrive in.
+Totals are double sums of the amounts as they are, whatever their decimals or
+size; the order rows are added in shows past the 15th digit only.
 
 "Prior" means rows of the same key at an earlier time step; rows of the same
 step never see each other. Two plans are offered:
@@ -32,7 +32,7 @@ def per_key_step(df: DataFrame, key: str, time: str, amount: str, counterparty:
     """A17 (+W2): per (key, step) count, total, max and, if a counterparty is
     given, how many counterparties were first seen by the key at that step."""
     per = df.groupBy(key, time).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(X.cents(amount)).alias("_sum"), F.max(amount).alias("_max"))
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col(amount).cast("double")).alias("_sum"), F.max(amount).alias("_max"))
     if counterparty is None:
         return per
     # W2 without a row-level window: the first step of each (key, counterparty)
@@ -50,7 +50,7 @@ def prior_history_table(df: DataFrame, key: str = "nameDest", time: str = "step"
     per = per_key_step(df, key, time, amount, counterparty)
     w = _prior(Window.partitionBy(key).orderBy(time))
     cnt = F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long")
-    tot = X.from_cents(F.coalesce(F.sum("_sum").over(w), F.lit(0)))
+    tot = F.coalesce(F.sum("_sum").over(w), F.lit(0.0))
     cols = [F.col(key), F.col(time),
             cnt.alias(f"{prefix}_txn_count")]
     if counterparty is not None:
@@ -88,7 +88,7 @@ def _prior_history_range(df, key, time, amount, counterparty, prefix):
     if counterparty is not None:
         out = out.withColumn(f"{prefix}_unique_origin_count",
                              F.coalesce(F.sum("_new").over(w), F.lit(0)).cast("long")).drop("_new")
-    out = (out.withColumn(f"{prefix}_total_amount", X.from_cents(F.coalesce(F.sum(X.cents(amount)).over(w), F.lit(0))))
+    out = (out.withColumn(f"{prefix}_total_amount", F.coalesce(F.sum(F.col(amount).cast("double")).over(w), F.lit(0.0)))
               .withColumn(f"{prefix}_max_amount", F.coalesce(F.max(amount).over(w), F.lit(0.0))))
     return out.withColumn(
         f"{prefix}_avg_amount",

@@ -222,9 +222,9 @@ def hourly_profile(steps: DataFrame) -> DataFrame:
                  .withColumn("fraud_rate_pct", F.round(F.col("total_fraud") / F.col("total_txn") * 100, 4)))
 
 
-def naive_spikes(steps: DataFrame, sample: int = 30):
+def naive_spikes(steps: DataFrame):
     """T1 + K3: steps above mean + 2*std (strict) for fraud rate and volume.
-    Returns (summary, first ``sample`` flagged steps per kind). The thresholds
+    Returns (summary, flagged steps ranked per kind). The thresholds
     are windows over the whole per-step table (one row per step, bounded)."""
     allw = Window.partitionBy()
     fr_t = F.avg("fraud_rate_pct").over(allw) + 2 * F.stddev_samp("fraud_rate_pct").over(allw)
@@ -242,8 +242,7 @@ def naive_spikes(steps: DataFrame, sample: int = 30):
                           F.when(F.col("vol_spike"), F.lit("volume")))).alias("kind"), "step"
     ).where(F.col("kind").isNotNull())
     w = Window.partitionBy("kind").orderBy("step")
-    samples = kinds.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= sample)
-    return summary, samples
+    return summary, kinds.withColumn("rank", F.row_number().over(w))
 
 
 def entity_reuse(df: DataFrame) -> DataFrame:

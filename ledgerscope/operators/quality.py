@@ -123,7 +123,8 @@ def _finite_sql(x: str) -> str:
 def validate(df: DataFrame) -> DataFrame:
     """Q-10: every problem of every request row, as ``errors: array<string>``,
     plus the cleaned typed fields ``clean_*`` (null where invalid) and
-    ``is_valid``. Rules: the 7 required fields present; step an integer >= 1;
+    ``is_valid``. Rules: the 7 required fields present; step >= 1, as text a whole
+    number ('5', not '5.0'), as a number its whole part (5.7 is 5);
     type, after trim + upper, one of the 5 types; amount and balances finite
     and >= 0; optional history defaulted to 0. Pure SQL expressions, no UDF."""
     cols = set(df.columns)
@@ -145,12 +146,13 @@ def validate(df: DataFrame) -> DataFrame:
     missing = ", ".join(f"CASE WHEN {raw(f)} IS NULL THEN '{f}' END" for f in REQUIRED_FIELDS)
     miss = f"filter(array({missing}), x -> x IS NOT NULL)"
     errs = [f"CASE WHEN size({miss}) > 0 THEN concat('missing required field(s): ', array_join({miss}, ', ')) END"]
-    sd = dbl("step")
-    errs.append(f"""CASE WHEN {raw('step')} IS NOT NULL AND NOT ({_finite_sql(sd)} AND {sd} = floor({sd}))
+    sd = f"floor({dbl('step')})"
+    whole = "trim(`step`) rlike '^[+-]?[0-9]+$'" if is_str("step") else _finite_sql(dbl("step"))
+    errs.append(f"""CASE WHEN {raw('step')} IS NOT NULL AND NOT ({whole})
                      THEN concat('invalid step: ', {shown('step')}, ' (must be an integer)')
                      WHEN {raw('step')} IS NOT NULL AND {sd} < 1
                      THEN concat('invalid step: ', CAST({raw('step')} AS string), ' (must be >= 1)')
-                     WHEN {raw('step')} IS NOT NULL AND {sd} > 2147483647
+                     WHEN {raw('step')} IS NOT NULL AND {dbl('step')} > 2147483647
                      THEN concat('invalid step: ', CAST({raw('step')} AS string), ' (must be <= 2147483647)') END""")
     tn = f"upper(trim(CAST({raw('type')} AS string)))"
     types = ", ".join(f"'{t}'" for t in X.VALID_TYPES)

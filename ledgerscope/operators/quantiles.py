@@ -1,114 +1,52 @@
 """Exact grouped quantiles with linear interpolation (pandas/NumPy 'linear',
 DuckDB ``quantile_cont``, Spark ``percentile``).
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one task
-during the final merge. That is fine for bounded groups, so it is used when the
-largest group is size-checked below ``max_group_rows``. Past that bound the
-value at each target rank is found by range refinement: each pass counts the
-rows of the current bracket into ``buckets`` value buckets (a map-side
-aggregation, so a hot group never sits in one task), keeps the bucket holding
-the target rank, and stops once a bracket holds a single distinct value. The
-bracket tables (groups x targets rows) are checkpointed between passes, and so
-are the rows still inside an open bracket: only the first pass reads the whole
-input.
+Spark's exact ``percentile`` keeps every distinct value of a group in one task.
+Here one path serves every size: rows collapse to one count per (group, value),
+exact running totals over range partitions give each value its ranks, and one
+conditional aggregate per group picks the values at the target ranks. No group
+sits in one task, however many rows it holds, and infinities are plain values.
+
+Null and NaN values have no rank; a group without values has no row.
 """
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
+from .cumulative import running_totals
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    names: list[str] | None = None, max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
-                    buckets: int = 1024, with_count: bool = False) -> DataFrame:
-    keys = list(keys)
+                    names: list[str] | None = None, with_count: bool = False) -> DataFrame:
     names = names or [f"q{i}" for i in range(len(probs))]
     for p in probs:
         _check_prob(p)
-    if not keys:   # one global group: give it a constant key, drop it after
-        out = exact_quantiles(df.withColumn("_g", F.lit(0)), ["_g"], value, probs, names,
-                              max_group_rows, buckets, with_count)
-        return out.drop("_g")
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v"))
-    stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                    F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    stats = stats.checkpoint()
-    biggest = stats.agg(F.max("_n")).first()[0] or 0
-    if biggest <= max_group_rows:
-        aggs = [F.percentile("_v", F.lit(p)).alias(n) for p, n in zip(probs, names)]
-        if with_count:
-            aggs.append(F.count(F.lit(1)).alias("_n"))
-        return base.groupBy(*keys).agg(*aggs)
-    return _refine(base, stats, keys, probs, names, buckets, with_count)
-
-
-def _refine(base, stats, keys, probs, names, buckets, with_count):
-    targets = []
+    by = list(keys) or ["_g"]       # no keys: one global group under a constant key
+    base = df if keys else df.withColumn("_g", F.lit(0))
+    counts = (base.select(*by, F.col(value).cast("double").alias("_v"))
+              .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+              .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    cum = running_totals(counts, by, "_v", ["_c"])
+    n = cum.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    # the global total is one row; the size of a per-group table is Spark's to judge
+    ranked = cum.join(n if keys else F.broadcast(n), by)
+    picks = []
     for i, p in enumerate(probs):
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        r_lo = F.floor(pos).cast("long")
-        r_hi = F.least(r_lo + 1, F.col("_n") - 1)
-        targets.append(stats.select(*keys, F.lit(2 * i).alias("_t"), r_lo.alias("_r"), "_lo", "_hi"))
-        targets.append(stats.select(*keys, F.lit(2 * i + 1).alias("_t"), r_hi.alias("_r"), "_lo", "_hi"))
-    state = targets[0]
-    for t in targets[1:]:
-        state = state.unionByName(t)
-    state = (state.withColumn("_below", F.lit(0).cast("long"))
-                  .withColumn("_val", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")))
-                  .checkpoint())
-    while True:
-        active = state.where(F.col("_val").isNull())
-        if active.limit(1).count() == 0:
-            break
-        brackets = active.select(*keys, "_lo", "_hi").distinct()
-        rows = (base.join(brackets, keys)
-                .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-                .withColumn("_b", _bucket(buckets)))
-        hist = rows.groupBy(*keys, "_lo", "_hi", "_b").agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
-        w = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("_cum", F.sum("_c").over(w))
-        start = F.col("_below") + F.col("_cum") - F.col("_c")
-        picked = (active.join(hist, keys + ["_lo", "_hi"])
-                  .where((start <= F.col("_r")) & (F.col("_r") < start + F.col("_c")))
-                  .select(*keys, "_t", "_r", F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"),
-                          start.alias("_below"),
-                          F.when(F.col("_mn") == F.col("_mx"), F.col("_mn")).alias("_val")))
-        state = state.where(F.col("_val").isNotNull()).unionByName(picked).checkpoint()
-        # Only rows inside a still-open bracket matter from now on: keep those
-        # (a semi join, so a row in several brackets is kept once). Each pass
-        # shrinks the candidates by about ``buckets``, so only the first pass
-        # scans the whole input.
-        nxt = state.where(F.col("_val").isNull()).select(*keys, "_lo", "_hi").distinct().alias("k")
-        cond = [F.col(f"b.{k}") == F.col(f"k.{k}") for k in keys] + [
-            F.col("b._v") >= F.col("k._lo"), F.col("b._v") <= F.col("k._hi")]
-        base = base.alias("b").join(nxt, cond, "left_semi").select(*keys, "_v").checkpoint()
-    vals = state.groupBy(*keys).pivot("_t", list(range(2 * len(probs)))).agg(F.first("_val"))
-    out = vals.join(stats.select(*keys, "_n"), keys)
+        low = F.floor((F.col("_n") - 1) * F.lit(float(p)))
+        for side, rank in (("a", low), ("b", F.least(low + 1, F.col("_n") - 1))):
+            picks.append(F.min(F.when(F.col("cum__c") > rank, F.col("_v"))).alias(f"_{side}{i}"))
+    out = ranked.groupBy(*by, "_n").agg(*picks)
     cols = [F.col(k) for k in keys]
-    for i, (p, n) in enumerate(zip(probs, names)):
+    for i, (p, name) in enumerate(zip(probs, names)):
         pos = (F.col("_n") - 1) * F.lit(float(p))
         frac = pos - F.floor(pos)
-        a, b = F.col(f"`{2 * i}`"), F.col(f"`{2 * i + 1}`")
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
         # equal neighbours need no interpolation (and infinite ones allow none)
-        cols.append(F.when((a == b) | (frac == 0), a).otherwise(a + frac * (b - a)).alias(n))
-    if with_count:
-        cols.append(F.col("_n"))
-    return out.select(*cols)
-
-
-def _bucket(buckets: int):
-    """Bucket of ``_v`` in its bracket. An infinite end is a bucket of its own
-    first, so that the next bracket is finite; halves keep the width finite."""
-    v, lo, hi, inf = F.col("_v"), F.col("_lo"), F.col("_hi"), float("inf")
-    part = F.least(F.lit(buckets - 1), F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * F.lit(float(buckets))).cast("int"))
-    open_end = (lo == F.lit(-inf)) | (hi == F.lit(inf))
-    return F.when(v == F.lit(-inf), 0).when(v == F.lit(inf), buckets - 1).when(open_end, 1).otherwise(part)
+        cols.append(F.when((a == b) | (frac == 0), a).otherwise(a + frac * (b - a)).alias(name))
+    return out.select(*cols, *([F.col("_n")] if with_count else []))
 
 
 def _check_prob(p: float) -> None:

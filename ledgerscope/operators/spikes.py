@@ -81,13 +81,13 @@ def _one_decimal(x):
     return F.format_number(x, 1)
 
 
-def root_cause_batch(steps: DataFrame, flagged: DataFrame, top_n: int) -> DataFrame:
-    """R1 + R4: for the first ``top_n`` flagged steps (by step), compare three
+def root_cause_batch(steps: DataFrame, flagged: DataFrame) -> DataFrame:
+    """R1 + R4: for every flagged step (``rank`` by step), compare three
     counts with their same-hour baselines; ratio >= 1.5 is a driver, the
     strongest (ties: factor order) is named in a sentence. Baselines that are
     null or <= 0 are skipped."""
-    firsts = flagged.select("step").distinct().orderBy("step").limit(top_n)
-    rows = steps.join(firsts, "step")
+    ranked = flagged.select("step").distinct().withColumn("rank", F.row_number().over(Window.orderBy("step")))
+    rows = steps.join(ranked, "step")
     factors = [("transfer_count", "hist_avg_transfer_count_same_hour", "TRANSFER", 0),
                ("cash_out_count", "hist_avg_cash_out_count_same_hour", "CASH_OUT", 1),
                ("high_amount_count", "hist_avg_high_amount_count_same_hour", "high-amount", 2)]
@@ -113,7 +113,7 @@ def root_cause_batch(steps: DataFrame, flagged: DataFrame, top_n: int) -> DataFr
         F.lit(" actual vs. "), _one_decimal(top["baseline"]), F.lit(" expected)."))
     sentence = F.regexp_replace(sentence, ",(?=\\d{3})", "")   # plain numbers, no thousands separators
     return rows.select(
-        "step", "hour_of_day", "day_index", "transaction_count",
+        "step", "rank", "hour_of_day", "day_index", "transaction_count",
         F.round("txn_count_vs_hour_baseline_ratio", 3).alias("txn_count_vs_baseline"),
         "transfer_count", F.round("transfer_count_vs_hour_baseline_ratio", 3).alias("transfer_count_vs_baseline"),
         "cash_out_count", F.round("cash_out_count_vs_hour_baseline_ratio", 3).alias("cash_out_count_vs_baseline"),

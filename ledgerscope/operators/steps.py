@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .quantiles import DEFAULT_MAX_GROUP_ROWS, exact_quantiles
+from .quantiles import exact_quantiles
 
 
 def _same_hour_prior():
@@ -27,16 +27,10 @@ def baseline_ratio(x: Column, base: Column) -> Column:
     return F.coalesce(F.when(base != 0, x / base), F.lit(1.0))
 
 
-def max_group_rows(df: DataFrame, keys: list[str]) -> int:
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
-def step_table(features: DataFrame, max_rows_per_step: int | None = None,
-               bound: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+def step_table(features: DataFrame) -> DataFrame:
     """A21 + W4 + W5 + W6. ``features`` needs step, amount, is_transfer,
-    is_cash_out, high_amount_indicator and isFraud."""
-    if max_rows_per_step is None:
-        max_rows_per_step = max_group_rows(features.select("step"), ["step"])
+    is_cash_out, high_amount_indicator and isFraud. A step without any amount
+    keeps its row, with a null median."""
     aggs = [
         F.count(F.lit(1)).alias("transaction_count"),
         F.sum("is_transfer").cast("long").alias("transfer_count"),
@@ -46,11 +40,8 @@ def step_table(features: DataFrame, max_rows_per_step: int | None = None,
         F.sum("high_amount_indicator").cast("long").alias("high_amount_count"),
         F.sum("isFraud").cast("long").alias("gt_fraud_count"),
     ]
-    if max_rows_per_step <= bound:
-        agg = features.groupBy("step").agg(*aggs, F.median("amount").alias("median_amount"))
-    else:   # a hot step: exact median by range refinement, never one task per step
-        agg = features.groupBy("step").agg(*aggs).join(
-            exact_quantiles(features, ["step"], "amount", [0.5], ["median_amount"], max_group_rows=0), "step", "left")
+    agg = features.groupBy("step").agg(*aggs).join(
+        exact_quantiles(features, ["step"], "amount", [0.5], ["median_amount"]), "step", "left")
     agg = (agg.withColumn("gt_fraud_rate", F.col("gt_fraud_count") / F.col("transaction_count"))
               .withColumn("hour_of_day", X.hour_of_day())
               .withColumn("day_index", X.day_index()))

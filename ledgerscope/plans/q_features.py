@@ -14,7 +14,7 @@ DEST_HISTORY_SQL = with_ledger("""
 h AS (
   SELECT a.event_id, a.step, a.nameDest, a.amount,
          count(b.event_id) AS n, count(DISTINCT b.nameOrig) AS u,
-         coalesce(sum(cast(round(b.amount * 100) AS BIGINT)), 0) / 100.0 AS tot, coalesce(max(b.amount), 0) AS mx
+         coalesce(sum(b.amount), 0) AS tot, coalesce(max(b.amount), 0) AS mx
   FROM ledger a LEFT JOIN ledger b ON a.nameDest = b.nameDest AND b.step < a.step
   GROUP BY a.event_id, a.step, a.nameDest, a.amount
 )""") + """
@@ -59,12 +59,12 @@ WITH sl AS (
     l.l_extendedprice AS amount, concat('C', cast(o.o_custkey AS varchar)) AS nameOrig,
     concat('S', cast(l.l_suppkey AS varchar)) AS nameDest
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
-ps AS (SELECT nameDest, step, count(*) AS n, sum(cast(round(amount * 100) AS BIGINT)) AS c, max(amount) AS mx
+ps AS (SELECT nameDest, step, count(*) AS n, sum(amount) AS c, max(amount) AS mx
        FROM sl GROUP BY nameDest, step),
 fs AS (SELECT nameDest, min(step) AS step FROM sl GROUP BY nameDest, nameOrig),
 nu AS (SELECT nameDest, step, count(*) AS u FROM fs GROUP BY nameDest, step),
 h AS (
-  SELECT a.nameDest, a.step, coalesce(sum(b.n), 0) AS n, coalesce(sum(b.c), 0) / 100.0 AS tot,
+  SELECT a.nameDest, a.step, coalesce(sum(b.n), 0) AS n, coalesce(sum(b.c), 0) AS tot,
          coalesce(max(b.mx), 0) AS mx,
          (SELECT count(*) FROM fs WHERE fs.nameDest = a.nameDest AND fs.step < a.step) AS u
   FROM ps a LEFT JOIN ps b ON a.nameDest = b.nameDest AND b.step < a.step GROUP BY a.nameDest, a.step)
@@ -92,7 +92,7 @@ def supplier_history(spark, sf_dir):
 FEATURE_CTES = """
 h AS (
   SELECT a.event_id, count(b.event_id) AS n, count(DISTINCT b.nameOrig) AS u,
-         coalesce(sum(cast(round(b.amount * 100) AS BIGINT)), 0) / 100.0 AS tot, coalesce(max(b.amount), 0) AS mx
+         coalesce(sum(b.amount), 0) AS tot, coalesce(max(b.amount), 0) AS mx
   FROM ledger a LEFT JOIN ledger b ON a.nameDest = b.nameDest AND b.step < a.step
   GROUP BY a.event_id
 ),

@@ -14,7 +14,7 @@ SCORE_SQL = "least(1.0, amount / 500.0)"
 M_CTE = f"""m AS (
   SELECT step, type, isFraud, {SCORE_SQL} AS score,
     CASE WHEN step BETWEEN 1 AND 504 THEN 'train' WHEN step BETWEEN 505 AND 611 THEN 'val'
-         WHEN step BETWEEN 612 AND 720 THEN 'test' END AS split
+         WHEN step >= 612 THEN 'test' END AS split
   FROM ledger WHERE type IN ('TRANSFER', 'CASH_OUT'))"""
 
 

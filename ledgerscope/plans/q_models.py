@@ -2,7 +2,8 @@
 oracle; the surrounding logic is checked through the linear-score queries)."""
 from __future__ import annotations
 
-from pyspark.sql import Window
+import random
+
 from pyspark.sql import functions as F
 
 from ..operators import decide as D
@@ -12,12 +13,12 @@ from ..operators import metrics as M
 from ..operators import spikes as SP
 from ..operators import splits as S
 from ..operators import train as TR
-from ..operators.combine import side_by_side
+from ..operators.cumulative import running_totals
 from ..operators.iforest import IsolationForestJob
 from ..session import ensure_checkpoint_dir
 from .catalog import features_table, ledger, register, steps_table
 from .q_decide import frozen_stats
-from .q_quality import ledger_requests
+from .q_quality import as_requests
 
 _RUNS: dict = {}
 HISTORY_FIELDS = ["hist_dest_txn_count", "hist_dest_unique_origin_count", "hist_dest_total_amount",
@@ -166,43 +167,40 @@ def model_spike_eval(spark, sf_dir):
 
 
 @register("permutation_importance")
-def permutation_importance(spark, sf_dir, sample_size=20000, repeats=5):
+def permutation_importance(spark, sf_dir, repeats=5):
     """Drop in validation PR-AUC when one feature is shuffled, mean of 5
-    repeats, on at most 20,000 seeded validation rows. One job keyed by
-    (feature, repeat): every copy of the sample shuffles one column by joining
-    a seeded row order back to the row ids (copies are bounded by the sample)."""
+    repeats, over all validation rows. The rows get one seeded random order by
+    running totals over range partitions; a shuffle is a seeded shift along it
+    (each row takes the feature of the row ``shift`` places on), so a copy
+    costs one narrow row per validation row and no window of its own."""
     run = model_run(spark, sf_dir)
     model = run.models[run.selected]
-    sample = (run.val.select("event_id", TR.LABEL, *TR.FEATURES)
-              .orderBy(F.xxhash64(F.lit(TR.SEED), "event_id")).limit(sample_size)).cache()
-    base = M.ranking_metrics(M.curve(TR.score(model, sample), TR.LABEL, "pred_prob")).first()["pr_auc"]
-    keys = F.explode(F.array(*[F.struct(F.lit(f).alias("pf"), F.lit(r).alias("rep"))
-                               for f in TR.FEATURES for r in range(repeats)])).alias("k")
-    copies = sample.select("*", keys).select("*", "k.pf", "k.rep").drop("k")
-    w_id = Window.partitionBy("pf", "rep").orderBy("event_id")
-    w_rand = Window.partitionBy("pf", "rep").orderBy(F.xxhash64(F.lit(TR.SEED), "rep", "pf", "event_id"))
-    copies = copies.withColumn("_pos", F.row_number().over(w_id)).withColumn("_to", F.row_number().over(w_rand))
-    donor = copies.select("pf", "rep", F.col("_to").alias("_pos"),
-                          *[F.col(f).alias(f"_d_{f}") for f in TR.FEATURES])
-    shuffled = copies.join(donor, ["pf", "rep", "_pos"])
+    order = F.struct(F.xxhash64(F.lit(TR.SEED), "event_id"), "event_id").alias("_o")
+    rows = (running_totals(run.val.select(order, F.lit(1).alias("_one"), TR.LABEL, *TR.FEATURES), [], "_o", ["_one"])
+            .withColumn("_i", F.col("cum__one") - 1).drop("_o", "_one", "cum__one").checkpoint())
+    n = rows.count()
+    base = M.ranking_metrics(M.curve(TR.score(model, rows), TR.LABEL, "pred_prob")).first()["pr_auc"]
+    rng = random.Random(TR.SEED)
+    moves = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("pf"), F.lit(r).alias("rep"), F.col(f).cast("double").alias("v"),
+                 F.pmod(F.col("_i") - F.lit(rng.randrange(1, max(n, 2))), F.lit(max(n, 1))).alias("_i"))
+        for f in TR.FEATURES for r in range(repeats)])).alias("m")
+    moved = rows.select(moves).select("m.*").join(rows, "_i")
     for f in TR.FEATURES:
-        shuffled = shuffled.withColumn(f, F.when(F.col("pf") == f, F.col(f"_d_{f}")).otherwise(F.col(f)))
-    shuffled = shuffled.drop(*[f"_d_{f}" for f in TR.FEATURES])
-    cv = M.curve(TR.score(model, shuffled), TR.LABEL, "pred_prob", keys=["pf", "rep"])
+        moved = moved.withColumn(f, F.when(F.col("pf") == f, F.col("v")).otherwise(F.col(f)))
+    cv = M.curve(TR.score(model, moved.drop("_i", "v")), TR.LABEL, "pred_prob", keys=["pf", "rep"])
     ap = M.ranking_metrics(cv, keys=["pf", "rep"])
     return (ap.groupBy(F.col("pf").alias("feature"))
               .agg(F.round(F.lit(base) - F.avg("pr_auc"), 6).alias("pr_auc_drop"))
-              .withColumn("sample_size", F.lit(sample.count())))
+              .withColumn("sample_size", F.lit(n)))
 
 
 @register("contribution_importance")
-def contribution_importance(spark, sf_dir, sample_size=3000):
-    """Mean absolute contribution per feature over at most 3,000 seeded
-    test rows."""
+def contribution_importance(spark, sf_dir):
+    """Mean absolute contribution per feature over all test rows."""
     run = model_run(spark, sf_dir)
     model = run.models[run.selected]
-    sample = run.test.orderBy(F.xxhash64(F.lit(TR.SEED), "event_id")).limit(sample_size)
-    out, _ = EX.contributions(spark, run.selected, model, TR.score(model, sample), ensure_checkpoint_dir(spark))
+    out, _ = EX.contributions(spark, run.selected, model, TR.score(model, run.test), ensure_checkpoint_dir(spark))
     cols = [F.round(F.avg(F.abs(f"c_{f}")), 6).alias(f) for f in TR.FEATURES]
     row = out.agg(*cols)
     return row.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("mean_abs_contribution"))
@@ -245,6 +243,5 @@ def model_decisions(spark, sf_dir):
 
     # the caller supplies destination history, as a feature store would: here
     # the ledger's own strictly-prior history (W1) for each request
-    hist = features_table(spark, sf_dir).select("event_id", *HISTORY_FIELDS)
-    requests = ledger_requests(spark, sf_dir).join(hist, "event_id", "left")
+    requests = as_requests(features_table(spark, sf_dir), HISTORY_FIELDS)
     return D.decide(requests, frozen_stats(spark, sf_dir), modes, score_fn, spikes, contrib_fn=contrib_fn)

@@ -279,9 +279,9 @@ def naive_spike_summary(spark, sf_dir):
 SELECT kind, step, rank FROM (
   SELECT kind, step, row_number() OVER (PARTITION BY kind ORDER BY step) AS rank FROM (
     SELECT 'fraud_rate' AS kind, step FROM ps, th WHERE fraud_rate_pct > fr_t
-    UNION ALL SELECT 'volume', step FROM ps, th WHERE txn_count > vol_t)) WHERE rank <= 30""")
+    UNION ALL SELECT 'volume', step FROM ps, th WHERE txn_count > vol_t))""")
 def naive_spike_steps(spark, sf_dir):
-    """K3: first 30 flagged steps per kind."""
+    """K3: the flagged steps per kind, ranked by step."""
     return P.naive_spikes(_per_step(spark, sf_dir))[1]
 
 

@@ -110,12 +110,15 @@ def label_reconciliation(spark, sf_dir):
 def ledger_requests(spark, sf_dir):
     """The ledger presented as scoring requests: loosely typed (strings),
     type in lower case with padding, as a client might send it."""
-    led = ledger(spark, sf_dir)
+    return as_requests(ledger(spark, sf_dir))
+
+
+def as_requests(led, extra=()):
     return led.select(
         "event_id", F.col("step").cast("string").alias("step"),
         F.concat(F.lit(" "), F.lower("type"), F.lit(" ")).alias("type"),
         F.col("amount").cast("string").alias("amount"),
-        *[F.col(c) for c in Q.BALANCE_FIELDS], "nameOrig", "nameDest")
+        *[F.col(c) for c in Q.BALANCE_FIELDS], "nameOrig", "nameDest", *extra)
 
 
 def events_requests(spark, sf_dir):

@@ -115,14 +115,14 @@ FROM (SELECT step, gt_fraud_spike = 1 AS y, stat_method_pred = 1 AS p FROM ext)
 @register("spike_detector_eval", with_features(EXT_CTES) + _eval_sql(False) + "\nUNION ALL\n" + _eval_sql(True))
 def spike_detector_eval(spark, sf_dir):
     """T5: the z-score detector against ground-truth spikes, all steps and test window."""
-    e = extended_steps(spark, sf_dir).cache()
+    e = extended_steps(spark, sf_dir)
     return SP.evaluate_detector(e, "statistical_zscore", "stat_method_pred").unionByName(
         SP.evaluate_detector(e, "statistical_zscore", "stat_method_pred", TEST))
 
 
-def _root_cause_sql(flag_sql, top_n):
+def _root_cause_sql(flag_sql):
     return with_features(EXT_CTES, f"""
-pick AS (SELECT step FROM ext WHERE {flag_sql} ORDER BY step LIMIT {top_n}),
+pick AS (SELECT step, row_number() OVER (ORDER BY step) AS rank FROM ext WHERE {flag_sql}),
 fa AS (
   SELECT e.step, f.label, f.o, f.actual, f.baseline, f.actual / f.baseline AS ratio
   FROM ext e JOIN pick USING (step),
@@ -132,7 +132,7 @@ fa AS (
     f(label, o, actual, baseline)
   WHERE f.baseline IS NOT NULL AND f.baseline > 0 AND f.actual / f.baseline >= 1.5),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY ratio DESC, o) AS rn FROM fa) WHERE rn = 1)""") + """
-SELECT e.step, e.hour_of_day, cast(floor(e.step / 24.0) AS INT) AS day_index, e.transaction_count,
+SELECT e.step, pick.rank AS rank, e.hour_of_day, cast(floor(e.step / 24.0) AS INT) AS day_index, e.transaction_count,
   round(e.transaction_count / nullif(e.hist_avg_txn_count_same_hour, 0), 3) AS txn_count_vs_baseline_raw,
   e.transfer_count, round(e.transfer_count_vs_hour_baseline_ratio, 3) AS transfer_count_vs_baseline,
   e.cash_out_count, round(e.cash_out_count_vs_hour_baseline_ratio, 3) AS cash_out_count_vs_baseline,
@@ -156,23 +156,23 @@ def _fix_rc_sql(sql):
 
 
 @register("root_cause_test_spikes", _fix_rc_sql(_root_cause_sql(
-    f"gt_fraud_spike = 1 AND step BETWEEN {TEST[0]} AND {TEST[1]}", 10)))
+    f"gt_fraud_spike = 1 AND step BETWEEN {TEST[0]} AND {TEST[1]}")))
 def root_cause_test_spikes(spark, sf_dir):
-    """R1 + R4: root cause of the first 10 ground-truth spikes in the test window."""
-    e = extended_steps(spark, sf_dir).cache()
+    """R1 + R4: root cause of the ground-truth spikes in the test window."""
+    e = extended_steps(spark, sf_dir)
     flagged = e.where((F.col("gt_fraud_spike") == 1) & F.col("step").between(*TEST))
-    return SP.root_cause_batch(e, flagged, 10)
+    return SP.root_cause_batch(e, flagged)
 
 
-@register("root_cause_stat_flags", _fix_rc_sql(_root_cause_sql("stat_method_pred = 1", 5)))
+@register("root_cause_stat_flags", _fix_rc_sql(_root_cause_sql("stat_method_pred = 1")))
 def root_cause_stat_flags(spark, sf_dir):
-    """R1 + R4: root cause of the first 5 z-score flags."""
-    e = extended_steps(spark, sf_dir).cache()
-    return SP.root_cause_batch(e, e.where(F.col("stat_method_pred") == 1), 5)
+    """R1 + R4: root cause of the z-score flags."""
+    e = extended_steps(spark, sf_dir)
+    return SP.root_cause_batch(e, e.where(F.col("stat_method_pred") == 1))
 
 
 def iforest_steps(spark, sf_dir, n_trees=200):
-    e = extended_steps(spark, sf_dir).cache()
+    e = extended_steps(spark, sf_dir)
     job = IsolationForestJob(SP.PREDICTIVE_SPIKE_FEATURES, n_trees=n_trees, seed=42)
     nodes = job.fit(e.where(F.col("step").between(*S.DEFAULT_SPLIT.train)))
     return job.transform(e, nodes)
@@ -189,6 +189,6 @@ def iforest_scores(spark, sf_dir):
 @register("iforest_eval")
 def iforest_eval(spark, sf_dir):
     """T5 for the isolation forest, all steps and test window."""
-    out = iforest_steps(spark, sf_dir).cache()
+    out = iforest_steps(spark, sf_dir)
     return SP.evaluate_detector(out, "isolation_forest", "iso_method_pred").unionByName(
         SP.evaluate_detector(out, "isolation_forest", "iso_method_pred", TEST))

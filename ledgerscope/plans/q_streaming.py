@@ -24,15 +24,19 @@ from . import q_decide as _qd  # noqa: F401
 RISK_SQL = ORACLES["risk_decisions_linear"]
 
 
+#: So a history run has several micro-batches and carries state between them.
+FILES_PER_BATCH = 2
+
+
 def _scratch(spark):
     base = ensure_checkpoint_dir(spark)
     d = os.path.join(base, f"stream-{uuid.uuid4().hex}")
     return d, os.path.join(d, "source"), os.path.join(d, "sink"), os.path.join(d, "ckpt")
 
 
-def _write_source(df, path, by="step", files=8):
-    """Lay the rows down as files in time order."""
-    df.repartitionByRange(files, by).sortWithinPartitions(by).write.mode("overwrite").parquet(path)
+def _write_source(df, path, by):
+    """Lay the rows down as files in time order, as many as Spark makes of them."""
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
 
 
 @register("dest_history_stream", DEST_HISTORY_SQL)
@@ -40,8 +44,9 @@ def dest_history_stream(spark, sf_dir):
     """ST3: strictly-prior destination history computed by the streaming job."""
     _, src, sink, ck = _scratch(spark)
     led = ledger(spark, sf_dir).select("event_id", "step", "nameDest", "nameOrig", "amount")
-    _write_source(led, src)
-    out = SJ.stream_dest_history(spark, src, led.schema, sink, ck)
+    # ranges of (step, id) end inside steps: the rows of one step come in two files
+    _write_source(led, src, ["step", "event_id"])
+    out = SJ.stream_dest_history(spark, src, led.schema, sink, ck, max_files_per_trigger=FILES_PER_BATCH)
     out = (out.withColumn("destination_is_new", (F.col("hist_dest_txn_count") == 0).cast("int"))
               .withColumn("amount_to_dest_avg_ratio", F.least(F.lit(1000.0), F.when(
                   F.col("hist_dest_avg_amount") > 0, F.col("amount") / F.col("hist_dest_avg_amount")).otherwise(1.0))))
@@ -60,7 +65,7 @@ def step_counts_stream(spark, sf_dir):
     ev = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("event_id", F.col("ts").cast("timestamp")
                                                                             .alias("ts"))
     rows = ledger(spark, sf_dir).select("event_id", "type", "amount", "isFraud").join(ev, "event_id")
-    _write_source(rows, src, by="ts")
+    _write_source(rows, src, ["ts"])
     out = SJ.stream_step_counts(spark, src, rows.schema, sink, ck, EVENTS_EPOCH_S)
     return out.select("step", "transaction_count", "transfer_count", "cash_out_count",
                       r("total_amount", 4).alias("total_amount"), r("average_amount").alias("average_amount"),
@@ -73,7 +78,7 @@ def risk_decisions_stream(spark, sf_dir):
     streaming job (equals risk_decisions_linear)."""
     _, src, sink, ck = _scratch(spark)
     req = ledger_requests(spark, sf_dir)
-    _write_source(req, src, by="event_id")
+    _write_source(req, src, ["event_id"])
 
     def score_fn(df):
         return df.withColumn("pred_prob", F.least(F.lit(1.0), F.col("amount") / 500.0))

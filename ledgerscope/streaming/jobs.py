@@ -92,77 +92,110 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _with_history(rows: DataFrame, totals: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    """``rows`` with their strictly-prior history: the totals of the steps closed
+    before plus what earlier steps among ``rows`` add. ``pairs``: the
+    (destination, origin) pairs first seen among ``rows``, with their first step."""
+    hist = H.prior_history_table(rows, counterparty=None)
+    new_per = pairs.groupBy("nameDest", "step").agg(F.count(F.lit(1)).alias("_new"))
+    w = Window.partitionBy("nameDest").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    u = (hist.select("nameDest", "step").join(new_per, ["nameDest", "step"], "left").fillna(0, subset=["_new"])
+             .select("nameDest", "step", F.coalesce(F.sum("_new").over(w), F.lit(0)).alias("_u")))
+    h = hist.join(u, ["nameDest", "step"])
+    if totals is None:
+        h = h.select("*", *[F.lit(0).alias(c) for c in ("t_n", "t_sum", "t_max", "t_u")])
+    else:
+        h = h.join(totals, "nameDest", "left").fillna(0, subset=["t_n", "t_sum", "t_max", "t_u"])
+    n = F.col("hist_dest_txn_count") + F.col("t_n")
+    total = F.col("hist_dest_total_amount") + F.col("t_sum")
+    h = h.select("nameDest", "step", n.cast("long").alias("hist_dest_txn_count"),
+                 (F.col("_u") + F.col("t_u")).cast("long").alias("hist_dest_unique_origin_count"),
+                 total.alias("hist_dest_total_amount"),
+                 F.greatest("hist_dest_max_amount", F.col("t_max").cast("double")).alias("hist_dest_max_amount"),
+                 F.when(n > 0, total / n).otherwise(F.lit(0.0)).alias("hist_dest_avg_amount"))
+    return rows.join(h, ["nameDest", "step"], "left")
+
+
 def stream_dest_history(spark: SparkSession, source_dir: str, schema, out_dir: str, ckpt_dir: str,
                         max_files_per_trigger: int | None = None) -> DataFrame:
     """ST3: strictly-prior destination history on a stream.
 
+    The highest step seen is open: its rows are held as state, since more of
+    them may come, and written out when a row of a later step closes it. A row
+    of a closed step, or without a step, is late: it goes to ``late`` under the
+    state folder and changes no history. The result is the sink's rows plus the
+    rows of the open step, whose history is already settled (all earlier steps
+    are closed).
+
     State lives in tables under the checkpoint folder, keyed by batch id:
-    ``totals`` (per destination: rows, cents, max, distinct origins over all
-    processed steps; one version per batch) and ``seen`` (the (destination,
-    origin) pairs first seen in each batch; append-only). A batch's rows get
-    the latest totals plus the history of earlier steps inside the batch.
-    Rows at or below the last processed step are late and dropped (counted in
-    ``meta.late_rows``). A retried batch rewrites the same versions.
+    ``rows`` (the batch's rows and the held ones, marked open or not),
+    ``totals`` (per destination over all closed steps: rows, sum, max, distinct
+    origins; one version per batch) and ``seen`` (the (destination, origin)
+    pairs first seen in each batch; append-only, so a hot destination's origins
+    are never one state value). A retried batch rewrites the same versions.
     """
     state = os.path.join(ckpt_dir, "dest_state")
 
-    def sink(batch: DataFrame, batch_id: int):
+    def at(name: str, batch_id: int) -> str:
+        return os.path.join(state, name, f"batch_id={batch_id}")
+
+    def save(df: DataFrame, path: str) -> None:
+        df.write.mode("overwrite").parquet(path)
+
+    def before(batch_id: int | None = None):
+        """The last version's meta row, before ``batch_id`` if given."""
         meta = _read_or_none(spark, os.path.join(state, "meta"))
-        prev = meta.where(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).first() if meta else None
-        frontier = prev["frontier"] if prev else None
-        rows = batch if frontier is None else batch.where(F.col("step") > F.lit(frontier))
-        late = 0 if frontier is None else batch.where(F.col("step") <= F.lit(frontier)).count()
-        tot = None
-        if prev is not None:
-            tot = spark.read.parquet(os.path.join(state, "totals", f"batch_id={prev['batch_id']}"))
+        if meta is not None and batch_id is not None:
+            meta = meta.where(F.col("batch_id") < batch_id)
+        return None if meta is None else meta.orderBy(F.desc("batch_id")).first()
+
+    def known(prev):
+        """Totals and seen pairs as of a version."""
+        if prev is None:
+            return None, None
         seen = _read_or_none(spark, os.path.join(state, "seen"))
         if seen is not None:
-            seen = seen.where(F.col("batch_id") < batch_id).select("nameDest", "nameOrig")
+            seen = seen.where(F.col("batch_id") <= prev["batch_id"]).select("nameDest", "nameOrig")
+        return spark.read.parquet(at("totals", prev["batch_id"])), seen
 
-        # in-batch history without the counterparty, then distinct origins separately
-        hist = H.prior_history_table(rows, counterparty=None)
+    def first_seen(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
         pairs = rows.groupBy("nameDest", "nameOrig").agg(F.min("step").alias("step"))
-        if seen is not None:
-            pairs = pairs.join(seen, ["nameDest", "nameOrig"], "left_anti")
-        new_per = pairs.groupBy("nameDest", "step").agg(F.count(F.lit(1)).alias("_new"))
-        w = Window.partitionBy("nameDest").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-        u = (rows.select("nameDest", "step").distinct().join(new_per, ["nameDest", "step"], "left")
-                 .fillna(0, subset=["_new"]).withColumn("_u", F.coalesce(F.sum("_new").over(w), F.lit(0)))
-                 .drop("_new"))
-        h = hist.join(u, ["nameDest", "step"], "left")
-        if tot is None:
-            tot = spark.createDataFrame([], "nameDest string, t_n long, t_cents long, t_max double, t_u long")
-        h = h.join(tot, "nameDest", "left")
-        n = F.col("hist_dest_txn_count") + F.coalesce("t_n", F.lit(0))
-        cents = F.round(F.col("hist_dest_total_amount") * 100).cast("long") + F.coalesce("t_cents", F.lit(0))
-        h = h.select("nameDest", "step", n.alias("hist_dest_txn_count"),
-                     (F.col("_u") + F.coalesce("t_u", F.lit(0))).cast("long").alias("hist_dest_unique_origin_count"),
-                     (cents / 100.0).alias("hist_dest_total_amount"),
-                     F.greatest(F.col("hist_dest_max_amount"), F.coalesce("t_max", F.lit(0.0)))
-                     .alias("hist_dest_max_amount"))
-        h = h.withColumn("hist_dest_avg_amount", F.when(F.col("hist_dest_txn_count") > 0,
-                                                        F.col("hist_dest_total_amount") / F.col("hist_dest_txn_count"))
-                         .otherwise(F.lit(0.0)))
-        rows.join(h, ["nameDest", "step"], "left").write.mode("overwrite").parquet(
-            os.path.join(out_dir, f"batch_id={batch_id}"))
-
-        # next state version
-        b = rows.groupBy("nameDest").agg(F.count(F.lit(1)).alias("b_n"),
-                                         F.sum(F.round(F.col("amount") * 100).cast("long")).alias("b_cents"),
-                                         F.max("amount").alias("b_max"))
-        b = b.join(pairs.groupBy("nameDest").agg(F.count(F.lit(1)).alias("b_u")), "nameDest", "left")
-        nt = tot.join(b, "nameDest", "full").select(
-            "nameDest", (F.coalesce("t_n", F.lit(0)) + F.coalesce("b_n", F.lit(0))).alias("t_n"),
-            (F.coalesce("t_cents", F.lit(0)) + F.coalesce("b_cents", F.lit(0))).alias("t_cents"),
-            F.greatest(F.coalesce("t_max", F.lit(0.0)), F.coalesce("b_max", F.lit(0.0))).alias("t_max"),
-            (F.coalesce("t_u", F.lit(0)) + F.coalesce("b_u", F.lit(0))).alias("t_u"))
-        nt.write.mode("overwrite").parquet(os.path.join(state, "totals", f"batch_id={batch_id}"))
-        pairs.select("nameDest", "nameOrig").write.mode("overwrite").parquet(
-            os.path.join(state, "seen", f"batch_id={batch_id}"))
-        mx = rows.agg(F.max("step")).first()[0]
-        front = max([x for x in (frontier, mx) if x is not None], default=None)
-        spark.createDataFrame([(front, late)], "frontier int, late_rows long").write.mode("overwrite").parquet(
-            os.path.join(state, "meta", f"batch_id={batch_id}"))
+        if seen is None:
+            return pairs
+        same = (pairs["nameDest"].eqNullSafe(seen["nameDest"])) & (pairs["nameOrig"].eqNullSafe(seen["nameOrig"]))
+        return pairs.join(seen, same, "left_anti")
+
+    def held(prev) -> DataFrame:
+        return spark.read.schema(schema).parquet(at("open", prev["batch_id"]))
+
+    def sink(batch: DataFrame, batch_id: int):
+        prev = before(batch_id)
+        frontier = prev["frontier"] if prev else None
+        fits = F.col("step").isNotNull() if frontier is None else F.coalesce(F.col("step") >= frontier, F.lit(False))
+        save(batch.where(~fits), at("late", batch_id))
+        rows = batch.where(fits)
+        if prev is not None:
+            rows = rows.unionByName(held(prev))
+        save(rows, at("rows", batch_id))
+        rows = spark.read.schema(schema).parquet(at("rows", batch_id))
+        top = rows.agg(F.max("step")).first()[0]
+        save(rows.where(F.col("step") == top), at("open", batch_id))
+        closed = rows.where(F.col("step") < top)
+        totals, seen = known(prev)
+        save(first_seen(closed, seen), at("seen", batch_id))
+        pairs = spark.read.parquet(at("seen", batch_id))
+        save(_with_history(closed, totals, pairs), os.path.join(out_dir, f"batch_id={batch_id}"))
+
+        per = closed.groupBy("nameDest").agg(F.count(F.lit(1)).alias("t_n"), F.sum(F.col("amount").cast("double")).alias("t_sum"),
+                                             F.max(F.col("amount").cast("double")).alias("t_max"), F.lit(0).cast("long").alias("t_u"))
+        per = per.unionByName(pairs.groupBy("nameDest").agg(F.count(F.lit(1)).alias("t_u")), allowMissingColumns=True)
+        if totals is not None:
+            per = per.unionByName(totals)
+        save(per.groupBy("nameDest").agg(
+            F.coalesce(F.sum("t_n"), F.lit(0)).alias("t_n"), F.coalesce(F.sum("t_sum"), F.lit(0.0)).alias("t_sum"),
+            F.coalesce(F.max("t_max"), F.lit(0.0)).alias("t_max"), F.coalesce(F.sum("t_u"), F.lit(0)).alias("t_u")),
+            at("totals", batch_id))
+        save(spark.createDataFrame([(frontier if top is None else top,)], "frontier int"), at("meta", batch_id))
 
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -170,4 +203,10 @@ def stream_dest_history(spark: SparkSession, source_dir: str, schema, out_dir: s
     src = reader.parquet(source_dir)
     _run(src.writeStream.foreachBatch(sink).option("checkpointLocation", os.path.join(ckpt_dir, "history")),
          "st3_history")
-    return spark.read.parquet(out_dir).drop("batch_id")
+    last = before()
+    if last is None:        # an empty source
+        return _with_history(spark.createDataFrame([], schema), None, first_seen(spark.createDataFrame([], schema), None))
+    totals, seen = known(last)
+    rows = held(last)
+    settled = _with_history(rows, totals, first_seen(rows, seen))
+    return spark.read.parquet(out_dir).drop("batch_id").unionByName(settled)

@@ -92,7 +92,7 @@ def test_batch_root_cause_sentence(spark):
           .withColumn("cash_out_count_vs_hour_baseline_ratio", F.lit(1.0))
           .withColumn("high_amount_count_vs_hour_baseline_ratio", F.lit(1.0))
           .withColumn("predicted_high_risk_count_vs_hour_baseline_ratio", F.lit(1.0)))
-    r = SP.root_cause_batch(t, t.where("step = 5"), 1).first()
+    r = SP.root_cause_batch(t, t.where("step = 5")).first()
     assert r.step == 5 and "TRANSFER transactions were 5.0x" in r.explanation
 
 
