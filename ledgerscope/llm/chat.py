@@ -51,9 +51,9 @@ def format_windows(turns: DataFrame, new: int = 512, history: int = 256, tokens:
     points of ``text`` under the loss mask, end exclusive)."""
     t = turns.selectExpr("conv_id", "turn", "coalesce(role, '') as role", "coalesce(text, '') as text")
     t = t.withColumn("t", F.expr(tokens))
-    t = t.selectExpr("conv_id", "turn", "role", "text", "t",
-                     f"replace({escaped('role')}, '\\n', '{NEWLINE}') as r", f"{escaped('text')} as x")
     t = running_before(t, ["turn", "role", "text"], "t", "s", keys=["conv_id"])
+    # escaped behind the range shuffle: its sampling pass would do the work twice
+    t = t.selectExpr("conv_id", "role", "s", "t", f"replace({escaped('role')}, '\\n', '{NEWLINE}') as r", f"{escaped('text')} as x")
     t = t.withColumn("cell", F.expr(f"s div {new}"))
     t = t.withColumn("window", F.expr(f"2 * cell + CASE WHEN 4 * t > {new} AND s + t > (cell + 1) * {new} THEN 1 ELSE 0 END"))
     t = written(t.selectExpr("conv_id", "window", "s", "t", "r", "x", "role = 'assistant' as target",
