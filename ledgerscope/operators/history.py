@@ -115,8 +115,16 @@ def type_expanding_mean(df: DataFrame, key: str = "type", time: str = "step",
                       F.when(n > 0, s / n).alias("hist_type_avg_amount"))
 
 
+#: Rows of (type, step, mean) up to which the table is broadcast, about 30 MB.
+BROADCAST_ROWS = 1_000_000
+
+
 def with_type_avg_ratio(df: DataFrame) -> DataFrame:
-    """J2 + P15. The (type, step) table has at most 5 x #steps rows."""
-    hist = type_expanding_mean(df).select("type", "step", "hist_type_avg_amount")
+    """J2 + P15. The (type, step) table has one row per type and step: counted
+    and broadcast, so the ledger is not shuffled on a few thousand keys. A table
+    past the bound is left to Spark's own choice of join."""
+    hist = type_expanding_mean(df).select("type", "step", "hist_type_avg_amount").checkpoint()
+    if hist.count() <= BROADCAST_ROWS:
+        hist = F.broadcast(hist)
     out = df.join(hist, ["type", "step"], "left")
     return out.withColumn("amount_to_type_avg_ratio", X.amount_to_type_avg_ratio()).drop("hist_type_avg_amount")
