@@ -4,8 +4,10 @@ A window ``partitionBy(key).orderBy(x)`` sends every row of a key to one task.
 Here the rows are range-partitioned on (keys, order), each range partition
 computes its own running sums, and the totals of earlier partitions of the same
 key are added as offsets. The offset table has at most #partitions + #keys
-rows, so broadcasting it is bounded by the partition count. The
-range-partitioned input is checkpointed so both uses see the same partition ids.
+rows. Without keys it is broadcast, as the partition count bounds it; with keys
+Spark judges its size, and the join and the running sums share one exchange.
+The range-partitioned input is checkpointed so both uses see the same partition
+ids; totals per key come from it as well, not from a second pass over the input.
 """
 from __future__ import annotations
 
@@ -14,10 +16,12 @@ from pyspark.sql import functions as F
 
 
 def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str],
-                   descending: bool = False, num_partitions: int | None = None) -> DataFrame:
+                   descending: bool = False, num_partitions: int | None = None,
+                   totals: bool = False) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows of the same keys whose ``order``
     is at or before the current row (ascending, or descending if asked).
-    ``df`` must have one row per (keys, order)."""
+    ``totals`` also adds ``all_<c>``, the sum over all rows of the keys, and
+    leaves out rows with a null key. ``df`` must have one row per (keys, order)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     o = F.col(order).desc() if descending else F.col(order).asc()
@@ -27,9 +31,10 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str],
     tot = ranged.groupBy("_pid", *keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     wk = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_t_{c}").over(wk), F.lit(0)).alias(f"_o_{c}")
-                                       for c in sums])
+                                       for c in sums],
+                      *[F.sum(f"_t_{c}").over(Window.partitionBy(*keys)).alias(f"all_{c}") for c in sums if totals])
     wi = Window.partitionBy("_pid", *keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(offs), ["_pid", *keys], "left")
+    out = ranged.join(offs if keys else F.broadcast(offs), ["_pid", *keys], "inner" if totals else "left")
     for c in sums:
         out = out.withColumn(f"cum_{c}", F.sum(c).over(wi) + F.col(f"_o_{c}"))
     return out.drop("_pid", *[f"_o_{c}" for c in sums])

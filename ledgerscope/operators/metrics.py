@@ -37,17 +37,8 @@ def curve(df: DataFrame, label: str = "isFraud", score: str = "score",
     precision and recall."""
     keys = list(keys or [])
     st = score_table(df, label, score, keys)
-    cum = running_totals(st, keys, "score", ["pos", "neg"], descending=True)
-    if keys:
-        tot = st.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-        cum = cum.join(F.broadcast(tot), keys)          # one row per key
-    else:
-        # one global total: a partial aggregate fetched as two scalars, never a
-        # window without a partition key (that would put every score in one task)
-        t = st.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-        cum = (cum.withColumn("P", F.lit(t["P"]).cast("long"))
-                  .withColumn("N", F.lit(t["N"]).cast("long")))
-    return (cum.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
+    cum = running_totals(st, keys, "score", ["pos", "neg"], descending=True, totals=True)
+    return (cum.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "all_pos": "P", "all_neg": "N"})
                .withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
                .withColumn("recall", _safe_div(F.col("tp"), F.col("P"))))
 

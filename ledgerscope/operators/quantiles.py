@@ -29,10 +29,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     counts = (base.select(*by, F.col(value).cast("double").alias("_v"))
               .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
               .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    cum = running_totals(counts, by, "_v", ["_c"])
-    n = cum.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    # the global total is one row; the size of a per-group table is Spark's to judge
-    ranked = cum.join(n if keys else F.broadcast(n), by)
+    ranked = running_totals(counts, by, "_v", ["_c"], totals=True).withColumnRenamed("all__c", "_n")
     picks = []
     for i, p in enumerate(probs):
         low = F.floor((F.col("_n") - 1) * F.lit(float(p)))
