@@ -116,6 +116,12 @@ def _with_history(rows: DataFrame, totals: DataFrame | None, pairs: DataFrame) -
     return rows.join(h, ["nameDest", "step"], "left")
 
 
+def late_rows(spark: SparkSession, schema, ckpt_dir: str) -> DataFrame:
+    """The rows a history run put apart: of a closed step, or without a step."""
+    late = os.path.join(ckpt_dir, "dest_state", "late")
+    return spark.read.schema(schema).parquet(late).drop("batch_id") if _exists(spark, late) else spark.createDataFrame([], schema)
+
+
 def stream_dest_history(spark: SparkSession, source_dir: str, schema, out_dir: str, ckpt_dir: str,
                         max_files_per_trigger: int | None = None) -> DataFrame:
     """ST3: strictly-prior destination history on a stream.

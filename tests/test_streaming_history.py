@@ -2,9 +2,11 @@
 import os
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerscope.operators import history as H
+from ledgerscope.plans import q_streaming as Q
 from ledgerscope.session import ensure_checkpoint_dir
 from ledgerscope.streaming import jobs as SJ
 
@@ -50,3 +52,42 @@ def test_history_totals_keep_small_and_large_amounts(spark):
     df = spark.createDataFrame([(1, 1, "M", "a", 0.004), (2, 2, "M", "a", 0.004), (3, 3, "M", "a", 1e18), (4, 4, "M", "a", 1.0)], SCHEMA)
     got = {r.event_id: r.hist_dest_total_amount for r in H.prior_history(df).collect()}
     assert got == {1: 0.0, 2: 0.004, 3: 0.008, 4: 1e18}
+
+
+def _ledger(spark, n):
+    """n rows; those of the first steps are slow to write."""
+    return spark.range(n).select(
+        F.col("id").alias("event_id"), F.expr("cast(id div 10 as int)").alias("step"), F.expr("concat('M', id % 3)").alias("nameDest"),
+        F.expr(f"if(id < {n // 4}, repeat(sha2(cast(id as string), 512), 2000), 'a')").alias("nameOrig"), F.lit(1.0).alias("amount"))
+
+
+def test_files_written_in_parallel_come_in_step_order(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = _ledger(spark, 800)
+        base = os.path.join(ensure_checkpoint_dir(spark), f"st3-{uuid.uuid4().hex}")
+        src = os.path.join(base, "src")
+        Q._write_source(df, src, ["step", "event_id"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = sorted(f for f in os.listdir(src.removeprefix("file:")) if f.startswith("part-"))
+    assert len(parts) >= 32
+    assert parts == sorted(parts, key=lambda f: os.stat(os.path.join(src.removeprefix("file:"), f)).st_mtime_ns)
+    out = SJ.stream_dest_history(spark, src, df.schema, os.path.join(base, "out"), os.path.join(base, "ck"), 8)
+    assert SJ.late_rows(spark, df.schema, os.path.join(base, "ck")).count() == 0 and out.count() == 800
+
+
+def test_history_query_ends_on_late_rows_and_keeps_rows_without_a_step(spark, monkeypatch):
+    led = spark.createDataFrame([(i, i if i < 6 else None, "M", "a", 1.0) for i in range(1, 8)], SCHEMA)
+    monkeypatch.setattr(Q, "ledger", lambda *a: led)
+    got = {r.event_id: r.hist_dest_txn_count for r in Q.dest_history_stream(spark, "").collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: 3, 5: 4, 6: 0, 7: 0}
+
+    def backwards(df, path, by):
+        for i in (5, 4, 3, 2, 1):
+            df.where(F.col("step") == i).coalesce(1).write.mode("append").parquet(path)
+    monkeypatch.setattr(Q, "_write_source", backwards)
+    with pytest.raises(RuntimeError, match="closed"):
+        Q.dest_history_stream(spark, "")
