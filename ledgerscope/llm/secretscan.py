@@ -9,9 +9,11 @@ the text it comes from, so that spans in any layer are spans of the text: an
 escape maps to its own characters, base64 and compressed content to its run.
 
 Codecs: percent escapes (UTF-8), ``\\u``/``\\U``/``\\x`` escapes and numeric
-character references, base64 of printable text, base64 of gzip, zlib or bzip2.
-Compressed content of over ``MAX_INFLATED`` bytes (a guard against bombs) is
-not unpacked but counted in n_oversize.
+character references, base64 of text, base64 of gzip, zlib or bzip2 (all
+members, in any nesting). Content of over ``MAX_INFLATED`` characters (a guard
+against bombs) is unpacked as a stream and scanned in pieces that end where no
+pattern goes on; its first and last piece stand for it in the layer.
+n_oversize counts the pieces that had no such end and were cut with an overlap.
 
 Defined results: null text is empty; no spans give empty strings; repeated
 rows get equal results; an empty table stays empty; other columns are ignored.
@@ -21,7 +23,9 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
+import itertools
 import re
 import zlib
 from collections import deque
@@ -41,6 +45,10 @@ MAX_INFLATED = 16_000_000
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 CODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+CODECS = {"url": URL, "code": CODE, "base64": BASE64}
+#: Ends of pieces that no pattern crosses.
+SAFE = re.compile(r"[^\w+/=.%\\&#;:\"'\s-]|[ .:;\"'][A-Za-z0-9+/_=-]{0,15}\r?\n(?=.)")
+PIECE, OVERLAP, HEAD = 1_000_000, 65_536, 512
 ENCODED = re.compile(r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|&#[xX0-9]|[A-Za-z0-9+/_-]{16}")
 
 
@@ -55,48 +63,142 @@ def scan(s: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _readable(b: bytes) -> str | None:
-    try:
-        s = b.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return s if s and all(c.isprintable() or c in "\t\r\n" for c in s) else None
+def _inflated(parts):
+    """Byte pieces out of compressed ones: member after member, then what follows the last."""
+    make = d = None
+    for p in parts:
+        while p or (d is not None and make is bz2.BZ2Decompressor and not d.needs_input):
+            if d is None:
+                make = _packing(p)
+                if make is None:
+                    yield p
+                    break
+                d = make()
+            try:
+                out = d.decompress(p, PIECE)
+            except (zlib.error, OSError, EOFError):
+                return
+            if out:
+                yield out
+            if d.eof:
+                p, d = d.unused_data.lstrip(b"\0"), None
+            else:
+                p = b"" if make is bz2.BZ2Decompressor else d.unconsumed_tail
+    if d is not None and make is not bz2.BZ2Decompressor:
+        try:
+            yield d.flush()
+        except zlib.error:
+            return
 
 
-def _unpacked(run: str, over: list) -> str | None:
-    """Text inside a base64 run, through compression if there is any."""
-    core = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(core) % 4 == 1:
-        return None
-    try:
-        b = base64.b64decode(core + "=" * (-len(core) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    for magic, make in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor),
-                        (b"\x78", zlib.decompressobj)):
+def _packing(b: bytes):
+    """The decompressor that takes these bytes, if there is one."""
+    for magic, make in ((b"\x1f\x8b", _gzip), (b"BZh", bz2.BZ2Decompressor), (b"\x78", zlib.decompressobj)):
         if b.startswith(magic):
             try:
-                flat = make().decompress(b, MAX_INFLATED + 1)
+                make().decompress(b, 1)
+                return make
             except (zlib.error, OSError, EOFError):
                 continue
-            if len(flat) > MAX_INFLATED:
-                over.append(1)
-                return None
-            if (s := _readable(flat)) is not None:
-                return s
-    return _readable(b)
+    return None
 
 
-def _url(run: str) -> list[tuple[str, int, int]] | None:
-    """Characters of a run with the part of the run that each comes from."""
+def _gzip():
+    return zlib.decompressobj(31)
+
+
+def _peeled(b: bytes):
+    """(byte pieces, whether they were compressed) with all compressed layers taken off."""
+    parts, head, heads = iter([b]), b[:HEAD], set()
+    while _packing(head) is not None and head not in heads:        # a layer may hold itself
+        heads.add(head)
+        parts, head = _inflated(parts), b""
+        for p in parts:
+            head += p
+            if len(head) >= HEAD:
+                break
+        parts, head = itertools.chain([head], parts), head[:HEAD]
+    return parts, bool(heads), head
+
+
+def _charset(head: bytes) -> str:
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    half = len(head) // 2
+    if half > 3 and head[1::2].count(0) > 0.6 * half and head[::2].count(0) < 0.2 * half:
+        return "utf-16-le"
+    if half > 3 and head[::2].count(0) > 0.6 * half and head[1::2].count(0) < 0.2 * half:
+        return "utf-16-be"
+    return "utf-8"
+
+
+def _texts(parts, head: bytes):
+    dec = codecs.getincrementaldecoder(_charset(head))("replace")
+    for p in parts:
+        yield dec.decode(p)
+    yield dec.decode(b"", True)
+
+
+def _plain(s: str) -> bool:
+    """Mostly printable, so text and not just any bytes."""
+    return bool(s) and sum(c.isprintable() and c != "\ufffd" or c in "\t\r\n" for c in s) >= 0.9 * len(s)
+
+
+def _unpacked(run: str, kinds: set, over: list) -> str | None:
+    """Text inside a base64 run, through compression if there is any; of text
+    over ``MAX_INFLATED`` the first and last piece, with the kinds found in it."""
+    core = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
+    core = core[:-1] if len(core) % 4 == 1 else core
     try:
-        s = bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
+        b = base64.b64decode(core + "=" * (-len(core) % 4), validate=True)
+    except (binascii.Error, ValueError):
         return None
+    try:
+        s = b.decode("utf-8")
+        if s and all(c.isprintable() or c in "\t\r\n" for c in s):
+            return s
+    except UnicodeDecodeError:
+        pass
+    parts, packed, head = _peeled(b)
+    texts, got, n = _texts(parts, head), [], 0
+    for s in texts:
+        got.append(s)
+        n += len(s)
+        if n > MAX_INFLATED:
+            return _in_pieces(itertools.chain(got, texts), kinds, over)
+    s = "".join(got)
+    # other bytes stay as they are, unless there is something to find in them
+    return s if s and (packed or _plain(s) or scan(s) or ENCODED.search(s)) else None
+
+
+def _in_pieces(texts, kinds: set, over: list) -> str:
+    first, buf = None, ""
+
+    def take(piece):
+        _, spans, n = secrets(piece)
+        kinds.update(k for _, k, _ in spans)
+        over.extend([1] * n)
+
+    for s in texts:
+        buf += s
+        while len(buf) > 2 * PIECE:
+            cut = max((m.end() for m in SAFE.finditer(buf, PIECE, 2 * PIECE)), default=0)
+            keep = cut
+            if not cut:
+                over.append(1)
+                cut, keep = 2 * PIECE, 2 * PIECE - OVERLAP
+            take(buf[:cut])
+            first, buf = first or buf[:cut], buf[keep:]
+    take(buf)
+    return f"{first or ''}\n\n{buf}"
+
+
+def _url(run: str) -> list[tuple[str, int, int]]:
+    """Characters of a run with the part of the run that each comes from."""
     out, at = [], 0
-    for c in s:
-        n = 3 * len(c.encode("utf-8"))
-        out.append((c, at, at + n))
+    for c in bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape"):
+        n = 3 * len(c.encode("utf-8", "surrogateescape"))
+        out.append(("\ufffd" if "\ud800" <= c < "\ue000" else c, at, at + n))
         at += n
     return out
 
@@ -108,24 +210,25 @@ def _code(run: str) -> str | None:
     return chr(n) if 0 < n < 0x110000 and not 0xD800 <= n < 0xE000 else None
 
 
-def _apply(codec: str, s: str, lo: np.ndarray, hi: np.ndarray, over: list):
+def _apply(codec: str, s: str, lo: np.ndarray, hi: np.ndarray, found: set, over: list):
     """The layer that results from decoding every run of one codec, or None."""
     text, los, his, last = [], [], [], 0
-    for m in {"url": URL, "code": CODE, "base64": BASE64}[codec].finditer(s):
+    for m in CODECS[codec].finditer(s):
         a, b = m.span()
         if codec == "url":
             chars = _url(m.group())
-            if chars is None:
-                continue
-            new, parts = "".join(c for c, _, _ in chars), [(a + x, a + y) for _, x, y in chars]
+            new = "".join(c for c, _, _ in chars)
+            nlo, nhi = lo[[a + x for _, x, _ in chars]], hi[[a + y - 1 for _, _, y in chars]]
         else:
-            new = _code(m.group()) if codec == "code" else _unpacked(m.group(), over)
+            kinds: set = set()
+            new = _code(m.group()) if codec == "code" else _unpacked(m.group(), kinds, over)
             if new is None:
                 continue
-            parts = [(a, b)] * len(new)
+            nlo, nhi = np.full(len(new), lo[a]), np.full(len(new), hi[b - 1])
+            found |= {(int(lo[a]), k, int(hi[b - 1])) for k in kinds}
         text += [s[last:a], new]
-        los += [lo[last:a], lo[[x for x, _ in parts]]]
-        his += [hi[last:a], hi[[y - 1 for _, y in parts]]]
+        los += [lo[last:a], nlo]
+        his += [hi[last:a], nhi]
         last = b
     if not text:
         return None
@@ -133,13 +236,13 @@ def _apply(codec: str, s: str, lo: np.ndarray, hi: np.ndarray, over: list):
 
 
 def decoded_spans(s: str, at: int) -> tuple[set, int]:
-    """Spans in all layers below the line ``s`` that starts at ``at``, and the oversize layers."""
+    """Spans in all layers below the lines ``s`` that starts at ``at``, and the pieces cut with an overlap."""
     idx = np.arange(at, at + len(s))
     work, seen, found, over = deque([(s, idx, idx + 1)]), {s}, set(), []
     while work:
         cur, lo, hi = work.popleft()
-        for codec in ("url", "code", "base64"):
-            layer = _apply(codec, cur, lo, hi, over)
+        for codec in CODECS:
+            layer = _apply(codec, cur, lo, hi, found, over)
             if layer is None or layer[0] in seen:
                 continue
             new, nlo, nhi = layer
@@ -150,7 +253,7 @@ def decoded_spans(s: str, at: int) -> tuple[set, int]:
 
 
 def secrets(text: str) -> tuple[list, list, int]:
-    """(base spans, all spans, oversize layers) of a text."""
+    """(base spans, all spans, pieces cut with an overlap) of a text."""
     base = scan(text)
     found, over = set(base), 0
     if ENCODED.search(text):

@@ -1,6 +1,7 @@
 """Small cases of the training-data operators: nulls, empty texts, repeated
 rows, ties, clashing columns, empty tables, and brute-force comparisons."""
 import base64
+import bz2
 import collections
 import gzip
 import random
@@ -178,6 +179,25 @@ def test_secrets_through_layers(docs, none):
     assert secretscan.secret_spans(docs).count() == 9 and secretscan.secret_spans(none).count() == 0
 
 
+def _b64(b, wrap=0):
+    t = base64.b64encode(b).decode()
+    return "\n".join(t[i:i + wrap] for i in range(0, len(t), wrap)) if wrap else t
+
+
+def test_secrets_in_nested_packing():
+    inner = b"my secret: abcdefgh123"
+    gz = gzip.compress
+    for b in (gz(gz(inner)), gz(zlib.compress(inner)), gz(bz2.compress(inner)), gz(b"first") + gz(inner), bz2.compress(b"first") + bz2.compress(inner),
+              gz(b"nothing in here " * 2) + zlib.compress(inner), gz(_b64(gz(inner)).encode())):
+        run = _b64(b)
+        assert (3, 0, 3 + len(run)) in secretscan.secrets("é, " + run)[1]
+    words = b"lorem ipsum, dolor\n" * 600_000
+    for b in (words + inner + words, inner + words, words + inner, words + _b64(gz(inner)).encode() + b"\n" + words):
+        run = _b64(gz(b, 1))
+        _, spans, over = secretscan.secrets(run)
+        assert spans == [(0, 0, len(run))] and over == 0
+
+
 def test_licenses(spark, none):
     d = spark.createDataFrame([(1, "x\nReleased under the MIT licence.\nReleased under the MIT License."), (2, None), (3, "")], "doc_id long, text string")
     got = [(r.doc_id, r.unit, r.unit_no, r.license) for r in license.license_matches(d).collect()]
