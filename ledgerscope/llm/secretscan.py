@@ -45,7 +45,9 @@ MAX_INFLATED = 16_000_000
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 CODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-CODECS = {"url": URL, "code": CODE, "base64": BASE64}
+#: Base64 over line breaks; no dashes in a row, as around PEM blocks.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_])(?:[A-Za-z0-9+/_]|-(?!-)){16,}+(?:\r?\n[ \t]*(?:[A-Za-z0-9+/_]|-(?!-))++(?![^\s=]))+={0,2}")
+CODECS = {"url": URL, "code": CODE, "base64": BASE64, "wrapped": WRAPPED}
 #: Ends of pieces that no pattern crosses.
 SAFE = re.compile(r"[^\w+/=.%\\&#;:\"'\s-]|[ .:;\"'][A-Za-z0-9+/_=-]{0,15}\r?\n(?=.)")
 PIECE, OVERLAP, HEAD = 1_000_000, 65_536, 512
@@ -252,13 +254,29 @@ def decoded_spans(s: str, at: int) -> tuple[set, int]:
     return found, len(over)
 
 
+def _lines(text: str):
+    """Lines, those of a wrapped base64 run together."""
+    at = 0
+    for m in WRAPPED.finditer(text):
+        start = text.rfind("\n", at, m.start()) + 1 or at
+        end = text.find("\n", m.end())
+        if start > at:
+            yield from text[at:start - 1].split("\n")
+        if end < 0:
+            yield text[start:]
+            return
+        yield text[start:end]
+        at = end + 1
+    yield from text[at:].split("\n")
+
+
 def secrets(text: str) -> tuple[list, list, int]:
     """(base spans, all spans, pieces cut with an overlap) of a text."""
     base = scan(text)
     found, over = set(base), 0
     if ENCODED.search(text):
         at = 0
-        for line in text.split("\n"):
+        for line in _lines(text):
             if ENCODED.search(line):
                 more, n = decoded_spans(line, at)
                 found |= more

@@ -198,6 +198,18 @@ def test_secrets_in_nested_packing():
         assert spans == [(0, 0, len(run))] and over == 0
 
 
+def test_secrets_in_wrapped_and_odd_text():
+    inner = "x" * 50 + " my secret: abcdefgh123 " + "some more words to come " * 9
+    for text in (_b64(inner.encode(), 64), _b64(inner.encode(), 76).replace("\n", "\r\n"), _b64(gzip.compress(inner.encode()), 64),
+                 _b64(_b64(inner.encode(), 64).encode()), "-----BEGIN CERTIFICATE-----\n" + _b64(inner.encode(), 64) + "\n-----END CERTIFICATE-----",
+                 _b64("secret: abcdefgh\u00a0\f\u3000\ufeff\0 end".encode()), _b64(inner.encode("utf-16")), _b64(inner.encode("utf-16-le")),
+                 _b64(bytes(range(128, 256)) + inner.encode()), "%ff%73ecret: abcdefgh123"):
+        assert any(k == 0 for _, k, _ in set(secretscan.secrets(text)[1]) - set(secretscan.scan(text))), text
+    text = "first line\n" + _b64(inner.encode(), 64) + "\nlast line"
+    assert (11, 0, len(text) - 10) in secretscan.secrets(text)[1]
+    assert "\n".join(secretscan._lines(text)) == text
+
+
 def test_licenses(spark, none):
     d = spark.createDataFrame([(1, "x\nReleased under the MIT licence.\nReleased under the MIT License."), (2, None), (3, "")], "doc_id long, text string")
     got = [(r.doc_id, r.unit, r.unit_no, r.license) for r in license.license_matches(d).collect()]
