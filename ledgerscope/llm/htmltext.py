@@ -10,13 +10,14 @@ are valid; those that occur once on each of their pages nest by their paths and
 are the template. What lies between its tokens are slots.
 
 A slot's role comes from its path (navigation, header, footer, aside, form,
-advert, notice, comment and the like are not text) and from the host's pages:
-the main slot is the template element whose own text, less that of links, is
-longest over all pages; ``article`` and ``main`` elements come first. Texts of
-valid classes are template, not content, except inside the main slot, where
-articles may well share a passage. A page without its host's main slot, and a
-host with too few pages to show a template, keep all slots whose path is not
-excluded.
+advert, notice, comment and the like are not text; names count as class tokens,
+not on what wraps the page's only ``article`` or ``main``) and from the host's
+pages: an ``article`` or ``main`` element whose own text, less that of links, is
+longest over all pages is the main slot. A host without one keeps every slot
+that has text of its own, in page order; texts of valid classes are template
+there, unless their slot also holds other text (pages may share a passage). A
+page without its host's main slot, and a host with too few pages to show a
+template, keep all slots whose path is not excluded.
 
 Defined results: null html is an empty page and gives an empty text; null url
 is a host of its own; repeated rows are separate pages with equal results; an
@@ -37,26 +38,34 @@ from .common import join_keys, written
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden|style|type)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: HTML element kinds.
-RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "select", "button", "title", "math", "canvas"}
+RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "select", "title", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"html", "head", "body", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
          "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "li", "main", "menu",
          "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption"}
 CLOSED_BY = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"},
              "th": {"td", "th", "p"}}
-EXCLUDED_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "address"}
+EXCLUDED_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head"}
 EXCLUDED_NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|foot|header|masthead|banner|ads?|advert\w*|sponsor\w*|promo\w*|"
     r"cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|"
     r"comments?|respond|replies|disqus|widget|toolbar|pagination|pager|skip|hidden|copyright|legal)(?=$|[\s_-])", re.I)
+#: Parts of a class token that say something about a wrapper's contents, as in with-sidebar.
+MODIFIERS = {"with", "without", "has", "have", "no", "not", "enabled", "disabled", "on", "off", "layout"}
 HEADER_IN = {"article", "main"}
 
 
+def _excluded_name(names: str) -> bool:
+    return any(EXCLUDED_NAMES.search(t) and MODIFIERS.isdisjoint(re.split("[_-]", t.lower())) for t in names.split())
+
+
 def blocks(page: str) -> list[tuple[str, str, int, bool]]:
     """Text blocks of a page in order: (path, text, characters in links,
     excluded by its path). Path elements are joined by '/'."""
-    stack: list[tuple[str, str, bool]] = []
-    out: list[tuple[str, str, int, bool]] = []
+    stack: list[tuple[str, str, bool, int]] = []     # tag, name, excluded by tag or style, number if excluded by name
+    out: list[tuple[str, str, int, bool, tuple]] = []
+    holds: list[tuple] = []                         # per article or main: the elements around it that are excluded by name
+    opened = 0
     buf: list[str] = []
     linked = in_link = 0
     skip = None
@@ -65,7 +74,7 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
         nonlocal linked
         text = " ".join("".join(buf).split())
         if text:
-            out.append(("/".join(s[1] for s in stack), text, linked, any(s[2] for s in stack)))
+            out.append(("/".join(s[1] for s in stack), text, linked, any(s[2] for s in stack), tuple(s[3] for s in stack if s[3])))
         buf.clear()
         linked = 0
 
@@ -109,11 +118,16 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
         name = tag + "".join(f".{a[k].strip().lower()}" for k in ("class", "id", "role") if a.get(k)).replace("/", " ")
         inside = any(s[0] in HEADER_IN for s in stack)
         bad = ((tag in EXCLUDED_TAGS and not (tag == "header" and inside)) or a.get("aria-hidden") == "true"
-               or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
-               or (tag not in ("html", "body", "article", "main") and any(EXCLUDED_NAMES.search(a.get(k, "")) for k in ("class", "id", "role"))))
-        stack.append((tag, name, bad))
+               or bool(re.search(r"display\s*:\s*none", a.get("style", ""))))
+        named = any(_excluded_name(a.get(k, "")) for k in ("class", "id", "role"))
+        if tag in HEADER_IN and not named and not bad and not any(s[2] for s in stack):
+            holds.append(tuple(s[3] for s in stack if s[3]))
+        opened += 1
+        stack.append((tag, name, bad, opened if named and tag not in ("html", "body", "article", "main") else 0))
     flush()
-    return out
+    # where every article or main lies inside excluded names, those are wrappers
+    wrappers = set() if () in holds else {x for h in holds for x in h}
+    return [(path, text, n, bad or any(x not in wrappers for x in by_name)) for path, text, n, bad, by_name in out]
 
 
 def _without_raw(page: str) -> str:
@@ -121,7 +135,7 @@ def _without_raw(page: str) -> str:
     return RAW_ELEMENT.sub(" ", page)
 
 
-RAW_ELEMENT = re.compile(r"<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+RAW_ELEMENT = re.compile(r"<svg\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 
 
 def _hash(s: str, seed: int = 0) -> int:
@@ -168,7 +182,9 @@ def _observe(batches):
 
 
 def templates(pages: DataFrame, min_pages: int = 3, share: float = 0.5) -> DataFrame:
-    """host, main (path of the main slot or null), texts (hashes of template
+    """host, main (path of the main slot, null on a host without ``article`` or
+    ``main``), slots (paths of its slots with text of their own), links (paths
+    of those without), texts (hashes of template
     texts with their path): one row per host with a template. ``pages``: page, host, html."""
     seen = pages.mapInPandas(_observe, "host string, kind string, token string, pages long, v1 long, v2 long, once long, chars long")
     tok = written(seen.groupBy("host", "kind", "token").agg(
@@ -190,12 +206,15 @@ def templates(pages: DataFrame, min_pages: int = 3, share: float = 0.5) -> DataF
     named = F.expr("regexp_extract(token, '([^/]+)$', 1) RLIKE '^(article|main)([.]|$)'")
     main = top.groupBy("host").agg(F.max(F.struct(named.alias("named"), (F.col("chars") + F.col("more")).alias("c"), F.col("size"),
                                                   F.col("token").alias("token"))).alias("m")).select(
-        "host", F.when(F.col("m.c") > 0, F.col("m.token")).alias("main"))
+        "host", F.when(F.expr("m.named AND m.c > 0"), F.col("m.token")).alias("main"))
     texts = tok.where("kind = 't'").groupBy("host").agg(F.collect_set("token").alias("texts"))
+    slots = top.groupBy("host").agg(F.collect_set(F.expr("CASE WHEN chars + more > 0 THEN token END")).alias("slots"),
+                                    F.collect_set(F.expr("CASE WHEN chars + more = 0 THEN token END")).alias("links"))
+    main = join_keys(main, slots, ["host"], ["slots", "links"])
     return join_keys(main, texts, ["host"], ["texts"], "left")
 
 
-def main_text(page: str, main: str | None, texts) -> str:
+def main_text(page: str, main: str | None, slots, links, texts) -> str:
     """The page's main text, given its host's template."""
     found = blocks(_without_raw(page))
     if main is not None and any((p + "/").startswith(main + "/") for p, _, _, _ in found):
@@ -206,12 +225,25 @@ def main_text(page: str, main: str | None, texts) -> str:
     if named:
         return " ".join(named)
     known = set(texts) if texts is not None else set()
-    return " ".join(t for p, t, _, bad in found if not bad and f"{p}\n{_hash(t):x}" not in known)
+    full = set(slots) if slots is not None else set()
+    bare = set(links) if links is not None else set()
+
+    def slot(path: str) -> str:
+        return next((x for x in reversed(_prefixes(path)) if x in full or x in bare), "")
+
+    # every content slot in page order; a slot of template texts only, or of links only, is none
+    own = [(slot(p), p, t, f"{p}\n{_hash(t):x}" in known) for p, t, _, bad in found if not bad]
+    varied = {s for s, p, _, template in own if not template and s and p != "html/body"} - {"html", "html/body"}
+    return " ".join(t for s, p, t, template in own
+                    if (s not in bare or HEADING.match(p.rsplit("/", 1)[-1])) and (not template or s in varied))
+
+
+HEADING = re.compile(r"h[1-6](?:\.|$)")
 
 
 def _extract(batches):
     for pdf in batches:
-        text = [main_text(h, m, x) for h, m, x in zip(pdf["html"].fillna(""), pdf["main"], pdf["texts"])]
+        text = [main_text(h, *x) for h, *x in zip(pdf["html"].fillna(""), pdf["main"], pdf["slots"], pdf["links"], pdf["texts"])]
         yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
 
@@ -221,6 +253,6 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                      F.regexp_extract(F.lower(F.coalesce(F.col(url), F.lit(""))), "^[a-z]+://([^/?#:]+)", 1).alias("host"))
     known = written(templates(p.select(F.concat_ws(" ", "page_id", "url").alias("page"), "host", "html")), "templates")
     known = known.withColumn("main", F.when(F.col("main") != "", F.col("main")))
-    d = join_keys(p, known, ["host"], ["main", "texts"], "left")
-    out = d.select("page_id", "url", "html", "main", "texts").mapInPandas(_extract, "page_id string, url string, text string, n_chars long")
+    d = join_keys(p, known, ["host"], ["main", "slots", "links", "texts"], "left")
+    out = d.select("page_id", "url", "html", "main", "slots", "links", "texts").mapInPandas(_extract, "page_id string, url string, text string, n_chars long")
     return out.withColumn("page_id", F.col("page_id").cast(pages.schema[page_id].dataType))

@@ -222,3 +222,18 @@ def test_html(spark):
     d = spark.createDataFrame([(i, "http://h/x", page.format(i)) for i in range(5)] + [(9, None, None)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in htmltext.extract(d).collect()}
     assert got[2] == "T2 one & two 2 three four" and got[9] == "" and htmltext.extract(d.limit(0)).count() == 0
+
+
+def test_html_drops_nothing_else(spark):
+    def texts(pattern):
+        d = spark.createDataFrame([(i, "http://h/x", pattern.format(i)) for i in range(5)], "page_id long, url string, html string")
+        return {r.page_id: r.text for r in htmltext.extract(d).collect()}[2]
+    page = "<html><body><div class='nav'><a href=x>menu</a></div>{}<div class='ad'>buy {{0}}</div></body></html>"
+    for names in ("layout with-sidebar", "post share-enabled", "content no-comments", "sidebar"):
+        assert texts(page.format(f"<div class='{names}'><article><p>one {{0}}</article></div>")) == "one 2"
+    assert texts(page.format("<div class='post share-enabled'><p>one {0}</div>")) == "one 2"
+    assert texts(page.format("<article><p>one {0} <svg width='1' /> two<p>three <math><mi>x{0}</mi></math><address>street {0}</address><button>go {0}</button></article>")
+                 ) == "one 2 two three x2 street 2 go 2"
+    assert texts(page.format("<h1>T{0}</h1><div class='lead'>lead {0}</div><div class='top'>Site</div><div class='more'><a href=y>see {0}</a></div>"
+                             "<div class='body'><p>body {0} text<p>shared</div>")) == "T2 lead 2 body 2 text shared"
+    assert texts(page.format("<article><p>one {0}</article><div id='comments'><article class='c'>said {0}</article></div>")) == "one 2"
