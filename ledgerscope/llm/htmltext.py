@@ -1,20 +1,20 @@
-"""HTML extraction (7): main text by equivalence classes of template tokens.
+"""HTML extraction (7): main text by tag and name lists and the host's tokens.
 
 A page is a sequence of tokens: its block elements, each named by its path of
 block elements with class, id and role, and its text blocks. Per host, tokens
 with the same occurrence vector (how often on which page) form an equivalence
 class. The vector is never built: two 64-bit hashes of (page, count) are
 xor-ed over the pages, so a class is a group of equal sums, whatever the host's
-size. Classes of at least ``min_pages`` pages and ``share`` of the host's pages
-are valid; those that occur once on each of their pages nest by their paths and
-are the template. What lies between its tokens are slots.
+size; its size only breaks ties. Tokens of at least ``min_pages`` pages and
+``share`` of the host's pages are template tokens; elements that occur once on
+each of their pages are the slots.
 
 A slot's role comes from its path (navigation, header, footer, aside, form,
 advert, notice, comment and the like are not text; names count as class tokens,
 not on what wraps the page's only ``article`` or ``main``) and from the host's
 pages: an ``article`` or ``main`` element whose own text, less that of links, is
 longest over all pages is the main slot. A host without one keeps every slot
-that has text of its own, in page order; texts of valid classes are template
+that has text of its own, in page order; template texts are left out
 there, unless their slot also holds other text (pages may share a passage). A
 page without its host's main slot, and a host with too few pages to show a
 template, keep all slots whose path is not excluded.
