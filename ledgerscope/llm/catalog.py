@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ["q_quality", "q_linededup", "q_neardup", "q_mixing", "q_packing", "q_chat", "q_fingerprint",
-            "q_secretscan", "q_license", "q_htmltext", "q_decontam"]
+            "q_secretscan", "q_license", "q_htmltext", "q_decontam",
+            "q_repair"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
