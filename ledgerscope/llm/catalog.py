@@ -6,7 +6,7 @@ import importlib
 
 _MODULES = ["q_quality", "q_linededup", "q_neardup", "q_mixing", "q_packing", "q_chat", "q_fingerprint",
             "q_secretscan", "q_license", "q_htmltext", "q_decontam",
-            "q_repair"]
+            "q_repair", "q_aligned"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
