@@ -49,7 +49,7 @@ from .common import written
 
 RADIX = 16
 FAN = 64
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 BLOCK_DOCS = 20_000
 SLICE = 1_000_000
 #: Bits of an id and of a document's number within its block in a record.
