@@ -236,16 +236,16 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                          "illegal + coalesce(_cut, 0) as illegal", "cost", "audit")
 
     def each(batches):
+        names, block = ["conv_id", "at", "edit", "initial", "pos"], []
         for pdf in batches:
             for conv, audit, lead in zip(pdf["conv_id"], pdf["audit"], pdf["lead"]):
-                block = []
                 for at, (row, letter, initial) in enumerate(edits(audit, {int(lead)} if lead == lead and lead is not None else set())):
                     block.append((conv, at, letter, initial, row))
                     if len(block) == 10_000:
-                        yield pd.DataFrame(block, columns=["conv_id", "at", "edit", "initial", "pos"])
+                        yield pd.DataFrame(block, columns=names)
                         block = []
-                if block:
-                    yield pd.DataFrame(block, columns=["conv_id", "at", "edit", "initial", "pos"])
+        if block:
+            yield pd.DataFrame(block, columns=names)
 
     # the only row that can be kept as s is the first that stays: find it by its rank in the audit
     stays = solved.selectExpr("conv_id", "audit", "length(regexp_extract(audit, '^(D*)K', 1)) as _d", "audit rlike '^D*K' as _k")
