@@ -1,7 +1,7 @@
 """Strictly-prior history per key.
 
-Totals are double sums of the amounts as they are, whatever their decimals or
-size; the order rows are added in shows past the 15th digit only.
+Totals are exact sums (``exact``), so neither the order of the rows nor the
+number of partitions shows in them.
 
 "Prior" means rows of the same key at an earlier time step; rows of the same
 step never see each other. Two plans are offered:
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import exact
 
 
 def _prior(w):
@@ -31,8 +32,8 @@ def _prior(w):
 def per_key_step(df: DataFrame, key: str, time: str, amount: str, counterparty: str | None) -> DataFrame:
     """A17 (+W2): per (key, step) count, total, max and, if a counterparty is
     given, how many counterparties were first seen by the key at that step."""
-    per = df.groupBy(key, time).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col(amount).cast("double")).alias("_sum"), F.max(amount).alias("_max"))
+    rows = df.select("*", *exact.parts(amount, "_sum"))
+    per = rows.groupBy(key, time).agg(F.count(F.lit(1)).alias("_n"), *exact.sums("_sum"), F.max(amount).alias("_max"))
     if counterparty is None:
         return per
     # W2 without a row-level window: the first step of each (key, counterparty)
@@ -50,15 +51,14 @@ def prior_history_table(df: DataFrame, key: str = "nameDest", time: str = "step"
     per = per_key_step(df, key, time, amount, counterparty)
     w = _prior(Window.partitionBy(key).orderBy(time))
     cnt = F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long")
-    tot = F.coalesce(F.sum("_sum").over(w), F.lit(0.0))
-    cols = [F.col(key), F.col(time),
+    cols = [F.col(key), F.col(time), *exact.sums("_sum", w),
             cnt.alias(f"{prefix}_txn_count")]
     if counterparty is not None:
         cols.append(F.coalesce(F.sum("_new").over(w), F.lit(0)).cast("long")
                     .alias(f"{prefix}_unique_origin_count"))
-    cols += [tot.alias(f"{prefix}_total_amount"),
-             F.coalesce(F.max("_max").over(w), F.lit(0.0)).alias(f"{prefix}_max_amount")]
-    out = per.select(*cols)
+    cols += [F.coalesce(F.max("_max").over(w), F.lit(0.0)).alias(f"{prefix}_max_amount")]
+    kept = [c for c in (f"{prefix}_txn_count", f"{prefix}_unique_origin_count") if counterparty is not None or not c.endswith("origin_count")]
+    out = per.select(*cols).select(key, time, *kept, exact.total_of("_sum").alias(f"{prefix}_total_amount"), f"{prefix}_max_amount")
     return out.withColumn(
         f"{prefix}_avg_amount",
         F.when(F.col(f"{prefix}_txn_count") > 0,
@@ -88,8 +88,9 @@ def _prior_history_range(df, key, time, amount, counterparty, prefix):
     if counterparty is not None:
         out = out.withColumn(f"{prefix}_unique_origin_count",
                              F.coalesce(F.sum("_new").over(w), F.lit(0)).cast("long")).drop("_new")
-    out = (out.withColumn(f"{prefix}_total_amount", F.coalesce(F.sum(F.col(amount).cast("double")).over(w), F.lit(0.0)))
-              .withColumn(f"{prefix}_max_amount", F.coalesce(F.max(amount).over(w), F.lit(0.0))))
+    out = out.select("*", *exact.parts(amount, "_p")).select(*[c for c in out.columns], *exact.sums("_p", w),
+                                                             F.coalesce(F.max(amount).over(w), F.lit(0.0)).alias(f"{prefix}_max_amount"))
+    out = out.withColumn(f"{prefix}_total_amount", exact.total_of("_p")).drop(*exact.columns("_p"))
     return out.withColumn(
         f"{prefix}_avg_amount",
         F.when(F.col(f"{prefix}_txn_count") > 0,
@@ -107,12 +108,12 @@ def type_expanding_mean(df: DataFrame, key: str = "type", time: str = "step",
                         amount: str = "amount") -> DataFrame:
     """A18 + W3: per (type, step) mean amount over strictly earlier steps of the
     same type (null when there is none). One row per (type, step)."""
-    per = df.groupBy(key, time).agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_sum"))
+    per = (df.select(key, time, *exact.parts(amount, "_sum"))
+           .groupBy(key, time).agg(F.count(F.lit(1)).alias("_n"), *exact.sums("_sum")))
     w = _prior(Window.partitionBy(key).orderBy(time))
-    n = F.sum("_n").over(w)
-    s = F.sum("_sum").over(w)
-    return per.select(key, time, n.cast("long").alias("hist_type_txn_count"),
-                      F.when(n > 0, s / n).alias("hist_type_avg_amount"))
+    per = per.select(key, time, F.sum("_n").over(w).cast("long").alias("hist_type_txn_count"), *exact.sums("_sum", w))
+    n = F.col("hist_type_txn_count")
+    return per.select(key, time, n, F.when(n > 0, exact.total_of("_sum") / n).alias("hist_type_avg_amount"))
 
 
 #: Rows of (type, step, mean) up to which the table is broadcast, about 30 MB.

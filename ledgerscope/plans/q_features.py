@@ -14,7 +14,7 @@ DEST_HISTORY_SQL = with_ledger("""
 h AS (
   SELECT a.event_id, a.step, a.nameDest, a.amount,
          count(b.event_id) AS n, count(DISTINCT b.nameOrig) AS u,
-         coalesce(sum(b.amount), 0) AS tot, coalesce(max(b.amount), 0) AS mx
+         cast(coalesce(sum(cast(b.amount AS decimal(28,9))), 0) AS DOUBLE) AS tot, coalesce(max(b.amount), 0) AS mx
   FROM ledger a LEFT JOIN ledger b ON a.nameDest = b.nameDest AND b.step < a.step
   GROUP BY a.event_id, a.step, a.nameDest, a.amount
 )""") + """
@@ -92,13 +92,13 @@ def supplier_history(spark, sf_dir):
 FEATURE_CTES = """
 h AS (
   SELECT a.event_id, count(b.event_id) AS n, count(DISTINCT b.nameOrig) AS u,
-         coalesce(sum(b.amount), 0) AS tot, coalesce(max(b.amount), 0) AS mx
+         cast(coalesce(sum(cast(b.amount AS decimal(28,9))), 0) AS DOUBLE) AS tot, coalesce(max(b.amount), 0) AS mx
   FROM ledger a LEFT JOIN ledger b ON a.nameDest = b.nameDest AND b.step < a.step
   GROUP BY a.event_id
 ),
-ts AS (SELECT type, step, count(*) AS n, sum(amount) AS s FROM ledger GROUP BY type, step),
+ts AS (SELECT type, step, count(*) AS n, sum(cast(amount AS decimal(28,9))) AS s FROM ledger GROUP BY type, step),
 th AS (
-  SELECT a.type, a.step, sum(b.n) AS n, sum(b.s) AS s
+  SELECT a.type, a.step, sum(b.n) AS n, cast(sum(b.s) AS DOUBLE) AS s
   FROM ts a LEFT JOIN ts b ON a.type = b.type AND b.step < a.step GROUP BY a.type, a.step
 ),
 cut AS (SELECT cast(floor(max(step) * 0.8) AS int) AS c FROM ledger),

@@ -55,3 +55,32 @@ def test_type_expanding_mean(spark):
                                "type string, step int, amount double")
     got = {r.step: r.hist_type_avg_amount for r in H.type_expanding_mean(df).collect()}
     assert got == {1: None, 2: 20.0, 4: 140.0 / 3}
+
+
+def test_exact_totals_do_not_depend_on_partitions(spark, sf_dir):
+    """Equal rows for every layout, and the right sums for small, large and odd amounts."""
+    import decimal
+    import random
+
+    from ledgerscope.sources.ledger import events_ledger
+    cols = ["event_id", "hist_dest_total_amount", "hist_dest_avg_amount"]
+    led = events_ledger(spark, sf_dir).withColumn("nameDest", F.lit("D")).withColumn("amount", F.col("amount") / 7)
+    one, many = (H.prior_history(led.repartition(n, "event_id")).select(*cols) for n in (1, 13))
+    assert one.exceptAll(many).count() == 0
+    spread = H.prior_history(led, method="range").select(*cols)
+    assert one.exceptAll(spread).count() == 0
+
+    rnd = random.Random(5)
+    amounts = [0.004, 1e18, -2.5, 0.1, 0.2, 1e-9, 123456789.123456789, 0.0] + [round(rnd.uniform(-1e6, 1e6), 2) for _ in range(50)]
+    rows = [("D", i, "O", a) for i, a in enumerate(amounts)]
+    got = {r.step: r.hist_dest_total_amount for r in H.prior_history(
+        spark.createDataFrame(rows, "nameDest string, step int, nameOrig string, amount double")).collect()}
+    nine = decimal.Decimal("1e-9")
+    for i in range(len(amounts)):
+        want = float(sum((decimal.Decimal(repr(a)).quantize(nine) for a in amounts[:i]), decimal.Decimal(0)))
+        assert abs(got[i] - want) <= 4e-16 * abs(want) + 1e-12, i
+
+    odd = [("E", 1, "O", 1e30), ("E", 2, "O", 1.0), ("E", 3, "O", None), ("E", 4, "O", float("inf")), ("E", 5, "O", 1.0)]
+    got = [r.hist_dest_total_amount for r in H.prior_history(
+        spark.createDataFrame(odd, "nameDest string, step int, nameOrig string, amount double")).orderBy("step").collect()]
+    assert got == [0.0, 1e30, 1e30, 1e30, float("inf")]
