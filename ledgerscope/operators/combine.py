@@ -27,3 +27,10 @@ def side_by_side(*rows: DataFrame) -> DataFrame:
     u = reduce(lambda a, b: a.unionByName(b), parts)
     folded = u.agg(*[F.first(f"_s{j}", ignorenulls=True).alias(f"_s{j}") for j in range(len(rows))])
     return folded.select(*[f"_s{j}.*" for j in range(len(rows))])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right`` where all keys are equal, null with null."""
+    on = F.expr(" AND ".join(f"_l.`{k}` <=> _r.`{k}`" for k in keys))
+    return (left.alias("_l").join(right.alias("_r"), on, how)
+            .select(*[F.col(f"_l.`{c}`") for c in left.columns], *[F.col(f"_r.`{c}`") for c in right.columns if c not in keys]))

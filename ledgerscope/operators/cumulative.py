@@ -14,14 +14,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .combine import join_null_safe
+
 
 def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str],
                    descending: bool = False, num_partitions: int | None = None,
                    totals: bool = False) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows of the same keys whose ``order``
     is at or before the current row (ascending, or descending if asked).
-    ``totals`` also adds ``all_<c>``, the sum over all rows of the keys, and
-    leaves out rows with a null key. ``df`` must have one row per (keys, order)."""
+    ``totals`` also adds ``all_<c>``, the sum over all rows of the keys. A null
+    key is a key of its own. ``df`` must have one row per (keys, order)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     o = F.col(order).desc() if descending else F.col(order).asc()
@@ -34,7 +36,10 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: list[str],
                                        for c in sums],
                       *[F.sum(f"_t_{c}").over(Window.partitionBy(*keys)).alias(f"all_{c}") for c in sums if totals])
     wi = Window.partitionBy("_pid", *keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(offs if keys else F.broadcast(offs), ["_pid", *keys], "inner" if totals else "left")
+    if keys:
+        out = join_null_safe(ranged, offs, ["_pid", *keys], "inner" if totals else "left")
+    else:
+        out = ranged.join(F.broadcast(offs), "_pid", "inner" if totals else "left")
     for c in sums:
         out = out.withColumn(f"cum_{c}", F.sum(c).over(wi) + F.col(f"_o_{c}"))
     return out.drop("_pid", *[f"_o_{c}" for c in sums])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
-from .combine import side_by_side
+from .combine import join_null_safe, side_by_side
 from .quantiles import exact_quantiles
 
 
@@ -136,7 +136,7 @@ def amount_summary(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         _cnt(F.col("amount") == 0).alias("zero_amount_count"))
     if not keys:
         return side_by_side(basic.drop("_g"), q.drop("_g"))
-    return basic.join(q, grouped, "left")     # a group without any amount has no quantiles
+    return join_null_safe(basic, q, grouped, "left")     # a group without any amount has no quantiles
 
 
 def balance_patterns(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .combine import join_null_safe
 from .quantiles import exact_quantiles
 
 
@@ -40,8 +41,8 @@ def step_table(features: DataFrame) -> DataFrame:
         F.sum("high_amount_indicator").cast("long").alias("high_amount_count"),
         F.sum("isFraud").cast("long").alias("gt_fraud_count"),
     ]
-    agg = features.groupBy("step").agg(*aggs).join(
-        exact_quantiles(features, ["step"], "amount", [0.5], ["median_amount"]), "step", "left")
+    agg = join_null_safe(features.groupBy("step").agg(*aggs),
+                         exact_quantiles(features, ["step"], "amount", [0.5], ["median_amount"]), ["step"], "left")
     agg = (agg.withColumn("gt_fraud_rate", F.col("gt_fraud_count") / F.col("transaction_count"))
               .withColumn("hour_of_day", X.hour_of_day())
               .withColumn("day_index", X.day_index()))

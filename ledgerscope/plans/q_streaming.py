@@ -10,10 +10,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..operators import decide as D
 from ..session import ensure_checkpoint_dir
 from ..sources.ledger import EVENTS_EPOCH_S
 from ..streaming import jobs as SJ
+from ..streaming import keyed_history as KH
 from .catalog import ledger, r, register
 from .q_decide import frozen_stats
 from .q_features import DEST_HISTORY_SQL, _dest_history_out
@@ -72,6 +74,23 @@ def dest_history_stream(spark, sf_dir):
     return _dest_history_out(out)
 
 
+@register("dest_history_keyed", DEST_HISTORY_SQL)
+def dest_history_keyed(spark, sf_dir):
+    """ST3: the same history by keyed state, event-time timers and a watermark."""
+    _, src, sink, ck = _scratch(spark)
+    led = ledger(spark, sf_dir).select("event_id", "step", "nameDest", "nameOrig", "amount")
+    _write_source(led, src, ["step", "event_id"])
+    out = KH.stream_keyed_history(spark, src, led.schema, sink, ck, FILES_PER_BATCH)
+    late = KH.late_rows(led, out)
+    n_late = late.where("step IS NOT NULL").count()
+    if n_late:
+        raise RuntimeError(f"dest_history_keyed: {n_late} rows came after their step was closed")
+    # nothing comes before a row without a step
+    out = out.unionByName(late.select("*", *[F.lit(0).cast(out.schema[c].dataType).alias(c) for c in out.columns if c.startswith("hist_")]))
+    return _dest_history_out(out.withColumn("destination_is_new", X.destination_is_new())
+                             .withColumn("amount_to_dest_avg_ratio", X.amount_to_dest_avg_ratio()))
+
+
 @register("step_counts_stream", with_ledger() + """
 SELECT step, count(*) AS transaction_count, cast(sum(CASE WHEN type = 'TRANSFER' THEN 1 ELSE 0 END) AS BIGINT)
   AS transfer_count, cast(sum(CASE WHEN type = 'CASH_OUT' THEN 1 ELSE 0 END) AS BIGINT) AS cash_out_count,

@@ -37,3 +37,14 @@ def test_running_totals_across_range_partitions(spark):
     assert len(out) == 500
     for r in out:
         assert r.cum_c == sum(c for k, x, c in rows if k == r.k and x >= r.x)
+
+
+def test_null_keys_are_groups_of_their_own(spark):
+    from ledgerscope.operators import profile, steps
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
+    assert {r.g: r.q0 for r in exact_quantiles(df, ["g"], "v", [0.5]).collect()} == {None: 2.0, "a": 5.0}
+    rows = [(None, 10.0, None), (None, 30.0, None), (1, 7.0, 0)]
+    led = spark.createDataFrame([(s, a, f, 0, 0, 0) for s, a, f in rows],
+                                "step int, amount double, isFraud int, is_transfer int, is_cash_out int, high_amount_indicator int")
+    assert {r.isFraud: r.median for r in profile.amount_summary(led, ["isFraud"]).collect()} == {None: 20.0, 0: 7.0}
+    assert {r.step: r.median_amount for r in steps.step_table(led).collect()} == {None: 20.0, 1: 7.0}
