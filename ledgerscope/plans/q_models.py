@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decide as D
 from ..operators import explain as EX
-from ..operators import features as FE
+from ..operators import leafwise as LW
 from ..operators import metrics as M
 from ..operators import spikes as SP
 from ..operators import splits as S
@@ -68,6 +68,51 @@ def model_comparison(spark, sf_dir):
         F.array_position(F.array(*[F.lit(n) for n in run.names]), F.col("model")))
 
 
+_LEAFWISE: dict = {}
+#: Rounds of the registered queries: a tree takes about 20 passes, half a second each
+#: on a local session whatever the table's size; ``leafwise.fit`` itself defaults to 500.
+LEAFWISE_ROUNDS, LEAFWISE_PATIENCE = 8, 30
+
+
+def leafwise_run(spark, sf_dir):
+    """(model, validation average precision by round), fitted once per session
+    and table folder on the training split, positives weighted n_neg / n_pos."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LEAFWISE:
+        uni = S.with_split(S.modelling_universe(features_table(spark, sf_dir))).where(F.col("split").isNotNull())
+        train = TR.with_weights(uni.where(F.col("split") == "train"), "pos_ratio")
+        _LEAFWISE[key] = (*LW.fit(train, uni.where(F.col("split") == "val"), TR.FEATURES, TR.LABEL, rounds=LEAFWISE_ROUNDS,
+                                  patience=LEAFWISE_PATIENCE), uni)
+    return _LEAFWISE[key]
+
+
+@register("leafwise_rounds")
+def leafwise_rounds(spark, sf_dir):
+    """M8: validation average precision after every round of leaf-wise boosting,
+    the round that is kept and the patience left at each."""
+    model, curve, _ = leafwise_run(spark, sf_dir)
+    best, rows = 0, []
+    for r, ap in enumerate(curve):
+        best = r if ap > curve[best] else best
+        rows.append((r + 1, float(ap), r + 1 == len(model.trees), LEAFWISE_PATIENCE - (r - best)))
+    return spark.createDataFrame(rows, "round int, val_pr_auc double, kept boolean, patience_left int")
+
+
+@register("leafwise_evaluation")
+def leafwise_evaluation(spark, sf_dir):
+    """M8: the leaf-wise model at its best round on validation and test."""
+    model, _, uni = leafwise_run(spark, sf_dir)
+    scored = model.score(uni.where(F.col("split").isin("val", "test")).select("split", TR.LABEL, *TR.FEATURES))
+    return M.evaluate(scored, 0.5, score="pred_prob", keys=["split"]).withColumn("n_trees", F.lit(len(model.trees)))
+
+
+@register("leafwise_importances")
+def leafwise_importances(spark, sf_dir):
+    """M15 + K6 for the leaf-wise model: share of the total gain, descending."""
+    model = leafwise_run(spark, sf_dir)[0]
+    return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(model.importances())], "feature string, importance double, rank int")
+
+
 def _selected_scores(spark, sf_dir, part):
     run = model_run(spark, sf_dir)
     return TR.score(run.models[run.selected], getattr(run, part))
