@@ -13,7 +13,7 @@ from ..operators import rootcause as RC
 from ..operators.train import FEATURES
 from .catalog import features_table, ledger, r, register, written_table
 from .q_features import with_features
-from .q_quality import ledger_requests
+from .q_quality import FAULTY_CTE, faulty_requests, ledger_requests
 from .q_spikes import EXT_CTES, TEST, extended_steps
 from .sql import with_ledger
 
@@ -235,3 +235,27 @@ def risk_decisions_linear(spark, sf_dir):
     return d.select("event_id", "status", "risk_score", "risk_band", "recommended_action", "mode", "threshold_used",
                     "alert", F.size("top_reasons").alias("n_reasons"),
                     F.col("spike_context.is_spike").alias("is_spike"))
+
+
+@register("risk_decisions_faulty", with_features(EXT_CTES, FAULTY_CTE, """
+fd AS (SELECT faults.*, least(1.0, amount / 500.0) AS sc, coalesce(e.stat_method_pred = 1, false) AS spike,
+         CASE WHEN errs IS NOT NULL THEN 'invalid_input' WHEN k = 9 THEN 'degraded' ELSE 'ok' END AS status
+       FROM faults LEFT JOIN ext e USING (step))""") + f"""
+SELECT event_id, status, CASE WHEN status = 'ok' THEN round(sc, 6) END AS risk_score,
+  CASE WHEN status = 'ok' THEN CASE WHEN sc >= 0.43 THEN 'HIGH' WHEN sc >= 0.17 THEN 'MEDIUM' ELSE 'LOW' END END AS risk_band,
+  CASE WHEN status = 'ok' THEN CASE WHEN sc >= 0.17 OR spike THEN 'REVIEW' ELSE 'ALLOW' END
+       WHEN status = 'degraded' THEN 'MANUAL_REVIEW' END AS recommended_action,
+  CASE WHEN k = 9 THEN 'TURBO' WHEN k = 11 THEN 'HIGH_RECALL' ELSE 'BALANCED' END AS mode,
+  CASE WHEN status = 'ok' THEN sc >= CASE WHEN k = 11 THEN {dict(D.DEFAULT_MODES)["HIGH_RECALL"]} ELSE 0.43 END END AS alert,
+  CASE WHEN errs IS NOT NULL THEN 'Transaction failed validation: ' || errs
+       WHEN k = 9 THEN 'Unknown operating mode ''TURBO''. Valid modes: [''BALANCED'', ''HIGH_PRECISION'', ''HIGH_RECALL'']' END AS message,
+  CASE WHEN status != 'ok' THEN 'MANUAL_REVIEW' END AS fallback
+FROM fd""")
+def risk_decisions_faulty(spark, sf_dir):
+    """Decisions on requests with missing, negative, non-finite,
+    unknown and oversized values and modes: status, action, message, fallback."""
+    def score_fn(df):
+        return df.withColumn("pred_prob", F.least(F.lit(1.0), F.col("amount") / 500.0))
+
+    d = D.decide(faulty_requests(spark, sf_dir), frozen_stats(spark, sf_dir), D.modes_table(spark), score_fn, extended_steps(spark, sf_dir))
+    return d.select("event_id", "status", "risk_score", "risk_band", "recommended_action", "mode", "alert", "message", "fallback")

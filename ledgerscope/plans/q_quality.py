@@ -1,10 +1,13 @@
 """B4 queries: the data-quality suite."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
 from ..operators import quality as Q
+from ..session import ensure_checkpoint_dir
 from ..sources.ledger import RAW_COLUMNS
 from .catalog import features_table, ledger, r, register, steps_table
 from .q_features import STEP_CTES, with_features
@@ -159,3 +162,45 @@ SELECT event_id, len(errs) = 0 AS is_valid, cast(len(errs) AS INT) AS n_errors,
 def validate_events_as_requests(spark, sf_dir):
     """Q-10 on raw events sent as requests: every error of every row listed."""
     return _validation_out(Q.validate(events_requests(spark, sf_dir)))
+
+
+#: One request in twelve each: as it is, or with one of these faults (two for 10).
+_FAULTY = ["as is", "no step", "negative amount", "amount not a number", "unknown type", "step 0", "huge step", "broken step",
+           "amount is text", "unknown mode", "no type, negative balance", "another mode"]
+
+
+def faulty_requests(spark, sf_dir):
+    """The ledger's requests, most of them made faulty by their id."""
+    req = ledger_requests(spark, sf_dir)
+    k = F.col("event_id") % len(_FAULTY)
+    step = F.when(k == 5, "0").when(k == 6, "99999999999").when(k == 7, "2.5").when(k != 1, F.col("step"))
+    amount = F.when(k == 2, F.concat(F.lit("-"), "amount")).when(k == 3, "nan").when(k == 8, "12 rupees").otherwise(F.col("amount"))
+    kind = F.when(k == 4, "gift").when(k != 10, F.col("type"))
+    return (req.withColumn("step", step).withColumn("amount", amount).withColumn("type", kind)
+            .withColumn("newbalanceOrig", F.when(k == 10, F.lit(-1.0)).otherwise(F.col("newbalanceOrig")))
+            .withColumn("mode", F.when(k == 9, "TURBO").when(k == 11, "HIGH_RECALL").otherwise("BALANCED")))
+
+
+FAULTY_CTE = """
+faulty AS (SELECT l.*, event_id % 12 AS k FROM ledger l),
+faults AS (SELECT *, CASE k
+    WHEN 1 THEN 'missing required field(s): step'
+    WHEN 2 THEN 'invalid amount: ''-' || amount || ''' (must be >= 0)'
+    WHEN 3 THEN 'invalid amount: ''nan'' (must be a finite number)'
+    WHEN 4 THEN 'unknown transaction type: ''gift'' (must be one of [''CASH_IN'', ''CASH_OUT'', ''DEBIT'', ''PAYMENT'', ''TRANSFER''])'
+    WHEN 5 THEN 'invalid step: 0 (must be >= 1)'
+    WHEN 6 THEN 'invalid step: 99999999999 (must be <= 2147483647)'
+    WHEN 7 THEN 'invalid step: ''2.5'' (must be an integer)'
+    WHEN 8 THEN 'invalid amount: ''12 rupees'' (must be a finite number)'
+    WHEN 10 THEN 'missing required field(s): type; invalid newbalanceOrig: -1.0 (must be >= 0)' END AS errs FROM faulty)"""
+
+
+@register("request_quarantine", with_ledger(FAULTY_CTE) + """
+SELECT event_id, errs IS NULL AS is_valid, coalesce(errs, '') AS errors, count(*) FILTER (errs IS NULL) OVER () AS n_valid,
+  count(*) FILTER (errs IS NOT NULL) OVER () AS n_refused FROM faults""")
+def request_quarantine(spark, sf_dir):
+    """Q-10: valid and refused requests from one scan, with the observed counts."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/requests-{uuid.uuid4().hex}"
+    valid, refused, n = Q.quarantine(faulty_requests(spark, sf_dir), path)
+    return valid.unionByName(refused).select("event_id", "is_valid", F.array_join("errors", "; ").alias("errors"),
+                                             F.lit(n["valid"]).alias("n_valid"), F.lit(n["refused"]).alias("n_refused"))
