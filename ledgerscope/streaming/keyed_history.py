@@ -71,29 +71,37 @@ class DestinationHistory(StatefulProcessor):
             settled = _due(pdf["step"].astype("int64")) <= watermark
             ready.append(pdf[settled])
             later.append(pdf[~settled])
-        later = pd.concat(later)
+        ready, later = pd.concat(ready), pd.concat(later)
+        if len(ready):          # input comes before the timers, so rows that wait and are settled by now go first
+            ready = pd.concat([self._settled(watermark), ready[self.held.names]])
         if len(later):
             self.waiting.appendList(self._tuples(later))
             for step in later["step"].unique():
                 self.handle.registerTimer(_due(int(step)))
-        yield from self._out(pd.concat(ready))
+        yield from self._out(ready)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        watermark = timerValues.getCurrentWatermarkInMs()
+        yield from self._out(self._settled(timerValues.getCurrentWatermarkInMs()))
+
+    def _settled(self, watermark):
+        """Takes the settled rows out of the waiting ones."""
         rows = pd.DataFrame(list(self.waiting.get()), columns=self.held.names)
         settled = _due(rows["step"].astype("int64")) <= watermark
         if settled.all():
             self.waiting.clear()
         elif settled.any():
             self.waiting.put(self._tuples(rows[~settled]))
-        yield from self._out(rows[settled])
+        return rows[settled]
 
     def close(self):
         pass
 
     def _tuples(self, pdf):
+        """Rows for the state; a column with nulls comes as doubles, also of whole numbers."""
+        whole = [isinstance(f.dataType, (T.IntegerType, T.LongType)) for f in self.held.fields]
         values = pdf[self.held.names].astype(object)
-        return [tuple(None if pd.isna(v) else v for v in r) for r in values.itertuples(index=False, name=None)]
+        return [tuple(None if pd.isna(v) else int(v) if w else v for v, w in zip(r, whole))
+                for r in values.itertuples(index=False, name=None)]
 
     def _out(self, rows):
         """Settled rows, step by step: all see the totals before their step."""
@@ -116,7 +124,7 @@ class DestinationHistory(StatefulProcessor):
             yield out
             fresh = 0
             for origin in part["nameOrig"].unique():
-                origin = (None if pd.isna(origin) else origin,)
+                origin = ("" if pd.isna(origin) else "=" + origin,)       # a state key is never null
                 if not self.seen.containsKey(origin):
                     self.seen.updateValue(origin, (step,))
                     fresh += 1
