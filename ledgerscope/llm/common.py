@@ -34,6 +34,17 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], cols: list[str
             .select(*[F.col(f"_l.`{c}`") for c in left.columns], *[F.col(f"_r.`{c}`") for c in cols]))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def words_sql(col: str) -> str:
     """SQL for the array of words ``[^\\x20\\x09-\\x0D]+`` of a string column."""
     t = f"trim(BOTH {_WS_SQL} FROM coalesce({col}, ''))"

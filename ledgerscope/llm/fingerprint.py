@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_before
+from .common import free_names, running_before
 
 MIN_ID = -(2 ** 63)
 
@@ -64,26 +64,28 @@ def with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rows:
     hash), after the last the first. Texts are shuffled once, by blocks of about
     ``rows`` rows; the first row of a block also goes to the block before. The
     block borders (at most ``most`` ids) come from a running count over the ids."""
-    keyed = docs.drop("next_text").withColumn("_k", F.coalesce(F.col(doc_id).cast("long"), F.lit(MIN_ID)))
-    ids = keyed.select("_k", F.lit(1).cast("long").alias("_one"))
+    docs = docs.drop("next_text")
+    k, b, at, lines = free_names(docs, "_k", "_b", "_at", "_borders")
+    keyed = docs.withColumn(k, F.coalesce(F.col(doc_id).cast("long"), F.lit(MIN_ID)))
+    ids = keyed.select(F.col(k).alias("_k"), F.lit(1).cast("long").alias("_one"))
     n = ids.count()
     step = max(rows, -(-n // most))
     ranked = running_before(ids, ["_k"], "_one", "_r")
     borders = sorted({r[0] for r in ranked.where(F.col("_r") % step == 0).select("_k").collect()}) or [0]
-    keyed = keyed.withColumn("_borders", F.expr(f"cast(split('{','.join(map(str, borders))}', ',') as array<bigint>)"))
+    keyed = keyed.withColumn(lines, F.expr(f"cast(split('{','.join(map(str, borders))}', ',') as array<bigint>)"))
     # binary search for the last border at or before the key
-    keyed = keyed.withColumn("_b", F.expr(
+    keyed = keyed.withColumn(b, F.expr(
         f"aggregate(sequence(1, {len(borders).bit_length() + 1}), named_struct('lo', 0, 'hi', {len(borders)}), (a, x) -> "
-        f"CASE WHEN a.hi - a.lo <= 1 THEN a WHEN _borders[(a.lo + a.hi) div 2] <= _k "
+        f"CASE WHEN a.hi - a.lo <= 1 THEN a WHEN {lines}[(a.lo + a.hi) div 2] <= {k} "
         f"THEN named_struct('lo', cast((a.lo + a.hi) div 2 as int), 'hi', a.hi) "
         f"ELSE named_struct('lo', a.lo, 'hi', cast((a.lo + a.hi) div 2 as int)) END, a -> a.lo)"))
     last = len(borders) - 1
-    at = ("named_struct('b', _b, 'wrap', 0, 'copy', false)",
-          f"named_struct('b', if(_b = 0, {last}, _b - 1), 'wrap', if(_b = 0, 1, 0), 'copy', true)")
-    keyed = keyed.withColumn("_at", F.explode(F.expr(f"if(_k = _borders[_b], array({', '.join(at)}), array({at[0]}))"))).drop("_borders", "_b")
-    w = Window.partitionBy("_at.b").orderBy("_at.wrap", "_k", F.xxhash64(text), "_at.copy")
-    out = keyed.withColumn("next_text", F.lead(F.coalesce(text, F.lit(""))).over(w)).where("NOT _at.copy")
-    return out.drop("_k", "_at")
+    rows_at = (f"named_struct('b', {b}, 'wrap', 0, 'copy', false)",
+               f"named_struct('b', if({b} = 0, {last}, {b} - 1), 'wrap', if({b} = 0, 1, 0), 'copy', true)")
+    keyed = keyed.withColumn(at, F.explode(F.expr(f"if({k} = {lines}[{b}], array({', '.join(rows_at)}), array({rows_at[0]}))"))).drop(lines, b)
+    w = Window.partitionBy(f"{at}.b").orderBy(f"{at}.wrap", k, F.xxhash64(text), f"{at}.copy")
+    out = keyed.withColumn("next_text", F.lead(F.coalesce(text, F.lit(""))).over(w)).where(f"NOT {at}.copy")
+    return out.drop(k, at)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

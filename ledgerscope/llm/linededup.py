@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import not_blank_sql, running_before, words_sql, written
+from .common import free_names, not_blank_sql, running_before, words_sql, written
 
 
 def _line_arrays(docs: DataFrame, text: str, doc_id: str, t: int) -> DataFrame:
@@ -103,17 +103,18 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     """The input with ``text`` less its deleted lines, plus n_lines (lines of
     the input text) and n_deleted."""
     docs = docs.drop("n_lines", "n_deleted")
+    t, drop, lines, new_text, n = free_names(docs, "_t", "_gone", "_l", "_new", "_nl")
     gone = (repeated_lines(docs, text, doc_id, min_words)
-            .groupBy("_id", "_th").agg(F.collect_set("idx").alias("_gone")))
+            .groupBy("_id", "_th").agg(F.collect_set("idx").alias(drop)))
     j = docs.alias("d").join(gone.alias("g"), (F.col(f"d.{doc_id}").eqNullSafe(F.col("g._id")))
                              & (F.xxhash64(f"d.{text}") == F.col("g._th")), "left")
     cols = [F.col(f"d.`{c}`") for c in docs.columns if c != text]
-    j = j.select(*cols, F.col(f"d.`{text}`").alias("_t"), "g._gone")
-    j = j.withColumn("_l", F.split("_t", "\n"))
-    kept = ("array_join(transform(array_except(sequence(0, size(_l) - 1), _gone), i -> _l[i]), '\\n')")
-    j = j.select("*", F.when(F.col("_gone").isNull(), F.col("_t")).otherwise(F.expr(kept)).alias("_new"),
-                 F.coalesce(F.size("_l"), F.lit(0)).alias("_nl"))
-    new = {text: F.col("_new").alias(text)}
+    j = j.select(*cols, F.col(f"d.`{text}`").alias(t), f"g.{drop}")
+    j = j.withColumn(lines, F.split(t, "\n"))
+    kept = f"array_join(transform(array_except(sequence(0, size({lines}) - 1), {drop}), i -> {lines}[i]), '\\n')"
+    j = j.select("*", F.when(F.col(drop).isNull(), F.col(t)).otherwise(F.expr(kept)).alias(new_text),
+                 F.coalesce(F.size(lines), F.lit(0)).alias(n))
+    new = {text: F.col(new_text).alias(text)}
     return j.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns],
-                    F.greatest(F.col("_nl"), F.lit(0)).cast("long").alias("n_lines"),
-                    F.coalesce(F.expr("CASE WHEN _gone is null THEN 0 ELSE size(_gone) END"), F.lit(0)).cast("long").alias("n_deleted"))
+                    F.greatest(F.col(n), F.lit(0)).cast("long").alias("n_lines"),
+                    F.coalesce(F.expr(f"CASE WHEN {drop} is null THEN 0 ELSE size({drop}) END"), F.lit(0)).cast("long").alias("n_deleted"))

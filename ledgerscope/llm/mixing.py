@@ -85,11 +85,12 @@ def mix(docs: DataFrame, tree: dict[str, str], weights: dict[str, dict], share:
     The budget is ``share`` of all tokens."""
     names = list(tree)
     added = [*names, "mix_tokens", "epoch", "mix_order"]
-    base = docs.select(*[c for c in docs.columns if c not in added or c in names],
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    base = docs.select(F.struct(*kept).alias("_row"), F.col(doc_id).alias("_id"),
                        *[F.expr(e).alias(f"_m_{n}") for n, e in tree.items()],
                        F.expr(f"cast(ceil(coalesce(octet_length(`{text}`), 0) / 4) as bigint)").alias("mix_tokens"))
     keys = [f"_m_{n}" for n in names]
-    narrow = written(base.select(F.col(doc_id).alias("_id"), *keys, "mix_tokens"), "mix")
+    narrow = written(base.select("_id", *keys, "mix_tokens"), "mix")
     leaves = written(narrow.groupBy(*keys).agg(F.sum("mix_tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     plan = leaf_budgets(leaves, keys, {f"_m_{k}": v for k, v in weights.items()}, int(total * share), max_epochs)
@@ -113,8 +114,7 @@ def mix(docs: DataFrame, tree: dict[str, str], weights: dict[str, dict], share:
     cut = cut.select(*keys, F.coalesce("cut", F.expr(f"shiftleft(part, {60 - RANGES}) - 1")).alias("cut"))
     final = written(join_keys(plan, cut, keys, ["cut"], "left").fillna(-1, ["cut"]).select(*keys, "full", "cut"), "cuts")
     out = join_keys(base, final, keys, ["full", "cut"])
-    n = F.col("full") + F.when(order_hash(seed, "full", doc_id) <= F.col("cut"), 1).otherwise(0)
+    n = F.col("full") + F.when(order_hash(seed, "full", "_id") <= F.col("cut"), 1).otherwise(0)
     out = out.withColumn("_n", n).where("_n > 0").withColumn("epoch", F.explode(F.expr("sequence(0, _n - 1)")))
-    out = out.withColumn("mix_order", order_hash(seed, "epoch", doc_id))
-    kept = [c for c in docs.columns if c not in added]
-    return out.select(*kept, *[F.col(f"_m_{n}").alias(n) for n in names], "mix_tokens", "epoch", "mix_order")
+    out = out.withColumn("mix_order", order_hash(seed, "epoch", "_id"))
+    return out.select("_row.*", *[F.col(f"_m_{n}").alias(n) for n in names], "mix_tokens", "epoch", "mix_order")
