@@ -8,7 +8,7 @@ from .catalog import register
 from .common import table
 
 _TREE = r"""{n}p as (select doc_id, list_transform(string_split({c}, chr(10)), lambda p: sha256(p)) as pd,
-    list_distinct(flatten(list_transform(string_split({c}, chr(10)), lambda p: list_transform(range(0, len(string_split(p, ' ')), 4),
+    list_distinct(flatten(list_transform(string_split({c}, chr(10)), lambda p: list_transform(range(0, greatest(len(string_split(p, ' ')) - 3, 1)),
       lambda i: array_to_string(list_slice(string_split(p, ' '), i + 1, i + 4), ' ') || chr(10) || least(4, len(string_split(p, ' ')) - i))))) as tw from e),
 {n} as (select doc_id, tw, sha256(len(pd) || ':' || array_to_string(list_transform(list_filter(string_split(array_to_string(
     list_transform(pd, lambda d: d || case when d[-1] in ('0', '1') then '|' else ' ' end), ''), '|'), lambda s: s <> ''),
