@@ -7,6 +7,10 @@ are not taken up again, so cycles end). Every new layer is scanned with the
 base patterns. A layer carries, for each of its characters, the code points of
 the text it comes from, so that spans in any layer are spans of the text: an
 escape maps to its own characters, base64 and compressed content to its run.
+An escape character that is itself escaped, at any depth (``%252541``), is
+taken off in one step, so such nests cost as much as their length; the layers
+between hold no more than shorter beginnings of what the last one holds. Of the
+layers seen only digests are kept.
 
 Codecs: percent escapes (UTF-8), ``\\u``/``\\U``/``\\x`` escapes and numeric
 character references, base64 of text, base64 of gzip, zlib or bzip2 (all
@@ -42,8 +46,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")           # leftmost maximal runs: shorter ones never match
 MAX_INFLATED = 16_000_000
 
-URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-CODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+#: An escape whose escape character is itself escaped, any number of times, is one escape.
+URL = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+URL_ITEM = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+CODE = re.compile(r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}"
+                  r"|\\(?:u005[cC]|x5[cC]|U0000005[cC])*(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})"
+                  r"|&(?:#0{0,5}38;|#[xX]0{0,4}26;)*(?:#[0-9]{1,7};|#[xX][0-9A-Fa-f]{1,6};)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over line breaks; no dashes in a row, as around PEM blocks.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_])(?:[A-Za-z0-9+/_]|-(?!-)){16,}+(?:\r?\n[ \t]*(?:[A-Za-z0-9+/_]|-(?!-))++(?![^\s=]))+={0,2}")
@@ -197,17 +205,19 @@ def _in_pieces(texts, kinds: set, over: list) -> str:
 
 def _url(run: str) -> list[tuple[str, int, int]]:
     """Characters of a run with the part of the run that each comes from."""
+    items = list(URL_ITEM.finditer(run))
     out, at = [], 0
-    for c in bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape"):
-        n = 3 * len(c.encode("utf-8", "surrogateescape"))
-        out.append(("\ufffd" if "\ud800" <= c < "\ue000" else c, at, at + n))
+    for c in bytes(int(m.group(1), 16) for m in items).decode("utf-8", "surrogateescape"):
+        n = len(c.encode("utf-8", "surrogateescape"))
+        out.append(("\ufffd" if "\ud800" <= c < "\ue000" else c, items[at].start(), items[at + n - 1].end()))
         at += n
     return out
 
 
 def _code(run: str) -> str | None:
-    if len(run) == 12:                          # a surrogate pair
+    if run[6:7] == "\\":                         # a surrogate pair
         return chr(0x10000 + ((int(run[2:6], 16) - 0xD800) << 10) + int(run[8:], 16) - 0xDC00)
+    run = run[0] + run[run.rfind("#") if run[0] == "&" else max(run.rfind(c) for c in "uUx"):]
     n = int(run[2:], 16) if run[0] == "\\" else int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1])
     return chr(n) if 0 < n < 0x110000 and not 0xD800 <= n < 0xE000 else None
 
@@ -237,18 +247,22 @@ def _apply(codec: str, s: str, lo: np.ndarray, hi: np.ndarray, found: set, over:
     return "".join([*text, s[last:]]), np.concatenate([*los, lo[last:]]), np.concatenate([*his, hi[last:]])
 
 
+def _digest(s: str) -> bytes:
+    return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def decoded_spans(s: str, at: int) -> tuple[set, int]:
     """Spans in all layers below the lines ``s`` that starts at ``at``, and the pieces cut with an overlap."""
     idx = np.arange(at, at + len(s))
-    work, seen, found, over = deque([(s, idx, idx + 1)]), {s}, set(), []
+    work, seen, found, over = deque([(s, idx, idx + 1)]), {_digest(s)}, set(), []
     while work:
         cur, lo, hi = work.popleft()
         for codec in CODECS:
             layer = _apply(codec, cur, lo, hi, found, over)
-            if layer is None or layer[0] in seen:
+            if layer is None or (digest := _digest(layer[0])) in seen:
                 continue
             new, nlo, nhi = layer
-            seen.add(new)
+            seen.add(digest)
             found |= {(int(nlo[a]), k, int(nhi[b - 1])) for a, k, b in scan(new)}
             work.append((new, nlo, nhi))
     return found, len(over)
