@@ -1,23 +1,29 @@
-"""HTML extraction (7): main text by tag and name lists and the host's tokens.
+"""HTML extraction (7): equivalence classes of tokens per host, slots between them.
 
 A page is a sequence of tokens: its block elements, each named by its path of
-block elements with class, id and role, and its text blocks. Per host, tokens
+block elements with class, id and role and standing for its start and its end
+tag, and its text blocks, each named by its path and text. Per host, tokens
 with the same occurrence vector (how often on which page) form an equivalence
-class. The vector is never built: two 64-bit hashes of (page, count) are
-xor-ed over the pages, so a class is a group of equal sums, whatever the host's
-size; its size only breaks ties. Tokens of at least ``min_pages`` pages and
-``share`` of the host's pages are template tokens; elements that occur once on
-each of their pages are the slots.
-
-A slot's role comes from its path (navigation, header, footer, aside, form,
-advert, notice, comment and the like are not text; names count as class tokens,
-not on what wraps the page's only ``article`` or ``main``) and from the host's
-pages: an ``article`` or ``main`` element whose own text, less that of links, is
-longest over all pages is the main slot. A host without one keeps every slot
-that has text of its own, in page order; template texts are left out
-there, unless their slot also holds other text (pages may share a passage). A
-page without its host's main slot, and a host with too few pages to show a
-template, keep all slots whose path is not excluded.
+class. The vector is never built: both halves of a 64-bit hash of (page, count) are
+added up over the pages, so a class is a group of equal sums, whatever the host's
+size.
+
+A class is valid if it is on ``min_pages`` pages, in any share of the host's,
+and holds an element, so that its tokens nest: a text is of the template only
+if one of the elements around it is of its class, that is, the text is there
+exactly as often as that element on every page. A passage that some pages share
+is in no class of an element around it, so it stays. The elements of valid
+classes that occur once on each of their pages nest by their paths into the
+template; what lies in such an element and in none further in is its slot.
+
+What a slot holds is told by its tokens: template texts are left out, unless the
+slot also has other text on the page; a slot without text of its own on any page
+(links only) is left out but for headings. Tag and name lists are hints on top:
+navigation, header, footer, aside, form, advert, notice, comment and the like
+are not text (names count as class tokens, not on what wraps the page's only
+``article`` or ``main``), and an ``article`` or ``main`` slot, that with most own
+text on the host, goes before the others. What is in no slot, as on a host with
+too few pages to show a template, is kept unless a hint excludes it.
 
 Defined results: null html is an empty page and gives an empty text; null url
 is a host of its own; repeated rows are separate pages with equal results; an
@@ -131,19 +137,19 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
 
 
 def _without_raw(page: str) -> str:
-    """Raw elements end at their own end tag only, whatever their content looks like."""
-    return RAW_ELEMENT.sub(" ", page)
+    """Raw elements end at their own end tag only, whatever their content looks
+    like; what comments and attribute values say opens none."""
+    return MARKUP.sub(lambda m: " " if m.group("raw") else m.group(), page)
 
 
-RAW_ELEMENT = re.compile(r"<svg\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)"
+                    r"|(?P<raw><svg\b(?:=\s*+(?:\"[^\"]*\"|'[^']*')|/(?!>)|[^<>/])*+/>|<(?P<tag>script|style|noscript|template|textarea|svg|iframe|title)\b"
+                    r"(?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^<>])*+>.*?(?:</(?P=tag)\s*>|\Z))"
+                    r"|<[a-zA-Z/](?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^<>])*+>", re.S | re.I)
 
 
-def _hash(s: str, seed: int = 0) -> int:
-    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"), seed)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def _hash(s: str) -> int:
+    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
 
 
 def _prefixes(path: str) -> list[str]:
@@ -152,7 +158,7 @@ def _prefixes(path: str) -> list[str]:
 
 
 def _observe(batches):
-    """Per host and token of a batch: pages, xor of the occurrence hashes, pages
+    """Per host and token of a batch: pages, sums of the occurrence hashes, pages
     with one occurrence, own text less link text, kind ('p' path, 't' text)."""
     for pdf in batches:
         sums: dict = {}
@@ -171,47 +177,48 @@ def _observe(batches):
                 count[key] = count.get(key, 0) + 1
             for key, n in count.items():
                 s = sums.setdefault((host, *key), [0, 0, 0, 0, 0])
-                at = f"{pid}:{n}"
+                at = _hash(f"{pid}:{n}")
                 s[0] += 1
-                s[1] ^= _hash(at)
-                s[2] ^= _hash(at, 7)
+                s[1] += at & 0xFFFFFFFF
+                s[2] += at >> 32
                 s[3] += n == 1
                 s[4] += chars.get(key, 0)
-        rows = [(*k, v[0], _signed(v[1]), _signed(v[2]), v[3], v[4]) for k, v in sums.items()]
+        rows = [(*k, *v) for k, v in sums.items()]
         yield pd.DataFrame(rows, columns=["host", "kind", "token", "pages", "v1", "v2", "once", "chars"])
 
 
-def templates(pages: DataFrame, min_pages: int = 3, share: float = 0.5) -> DataFrame:
+def _around(path: str):
+    """Column of the paths of the elements around (and of) a path, the page itself ('') first."""
+    return F.expr(f"concat(array(''), transform(sequence(1, size(split({path}, '/'))), i -> array_join(slice(split({path}, '/'), 1, i), '/')))")
+
+
+def templates(pages: DataFrame, min_pages: int = 3) -> DataFrame:
     """host, main (path of the main slot, null on a host without ``article`` or
     ``main``), slots (paths of its slots with text of their own), links (paths
-    of those without), texts (hashes of template
-    texts with their path): one row per host with a template. ``pages``: page, host, html."""
+    of those without), texts (hashes of template texts with their path): one
+    row per host with a template. ``pages``: page, host, html."""
     seen = pages.mapInPandas(_observe, "host string, kind string, token string, pages long, v1 long, v2 long, once long, chars long")
     tok = written(seen.groupBy("host", "kind", "token").agg(
-        F.sum("pages").alias("pages"), F.expr("bit_xor(v1)").alias("v1"), F.expr("bit_xor(v2)").alias("v2"),
+        F.sum("pages").alias("pages"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"),
         F.sum("once").alias("once"), F.sum("chars").alias("chars")).where(F.col("pages") >= min_pages), "tokens")
-    host = tok.where("kind = 'p' AND token = ''").select("host", F.col("pages").alias("n"))
-    tok = join_keys(tok.where("token != ''"), host, ["host"], ["n"]).where(F.col("pages") >= share * F.col("n"))
-    # a class is all tokens of one occurrence vector; its size tells how much of the template moves together
-    size = tok.groupBy("host", "pages", "v1", "v2").agg(F.count("*").alias("size"))
-    tok = join_keys(tok, size, ["host", "pages", "v1", "v2"], ["size"])
-    # the chars of an element are its own text and that of the elements below it that are no slot of their own
-    top = tok.where("kind = 'p' AND once = pages")
-    inner = tok.where("kind = 'p' AND once < pages").select("host", "token", "chars")
-    below = (inner.alias("i").join(top.select("host", "token").alias("t"),
-                                   F.expr("i.host <=> t.host AND startswith(i.token, concat(t.token, '/'))"))
-             .groupBy("i.host", "i.token").agg(F.max(F.struct(F.length("t.token").alias("l"), F.col("t.token").alias("at"))).alias("o"), F.first("i.chars").alias("chars"))
-             .select("host", F.col("o.at").alias("token"), "chars").groupBy("host", "token").agg(F.sum("chars").alias("more")))
-    top = join_keys(top, below, ["host", "token"], ["more"], "left").fillna(0, ["more"])
-    named = F.expr("regexp_extract(token, '([^/]+)$', 1) RLIKE '^(article|main)([.]|$)'")
-    main = top.groupBy("host").agg(F.max(F.struct(named.alias("named"), (F.col("chars") + F.col("more")).alias("c"), F.col("size"),
-                                                  F.col("token").alias("token"))).alias("m")).select(
-        "host", F.when(F.expr("m.named AND m.c > 0"), F.col("m.token")).alias("main"))
-    texts = tok.where("kind = 't'").groupBy("host").agg(F.collect_set("token").alias("texts"))
-    slots = top.groupBy("host").agg(F.collect_set(F.expr("CASE WHEN chars + more > 0 THEN token END")).alias("slots"),
-                                    F.collect_set(F.expr("CASE WHEN chars + more = 0 THEN token END")).alias("links"))
-    main = join_keys(main, slots, ["host"], ["slots", "links"])
-    return join_keys(main, texts, ["host"], ["texts"], "left")
+    vector = ["pages", "v1", "v2"]
+    element = tok.where("kind = 'p'").withColumnRenamed("token", "at")
+    # texts of valid classes: an element around the text has the text's vector
+    inside = tok.where("kind = 't'").select("host", "token", *vector, F.explode(_around("substring_index(token, '\n', 1)")).alias("at"))
+    texts = (join_keys(inside, element, ["host", "at", *vector], []).groupBy("host").agg(F.collect_set("token").alias("texts")))
+    # an element that is not once on its pages is of the slot that is next around it
+    top = element.where("once = pages AND at != ''").select("host", "at", "chars")
+    inner = element.where("once < pages AND chars > 0").select("host", "chars", F.col("at").alias("token"), F.explode(_around("at")).alias("at"))
+    more = (join_keys(inner, top, ["host", "at"], []).groupBy("host", "token")
+            .agg(F.max(F.struct(F.length("at").alias("l"), F.col("at").alias("at"))).alias("o"), F.first("chars").alias("chars"))
+            .groupBy("host", F.col("o.at").alias("at")).agg(F.sum("chars").alias("more")))
+    top = join_keys(top, more, ["host", "at"], ["more"], "left").fillna(0, ["more"]).withColumn("own", F.col("chars") + F.col("more"))
+    named = F.expr("own > 0 AND regexp_extract(at, '([^/]+)$', 1) RLIKE '^(article|main)([.]|$)'")
+    slots = top.groupBy("host").agg(F.max(F.when(named, F.struct("own", "at"))).alias("m"),
+                                    F.collect_set(F.expr("CASE WHEN own > 0 THEN at END")).alias("slots"),
+                                    F.collect_set(F.expr("CASE WHEN own = 0 THEN at END")).alias("links"))
+    slots = slots.select("host", F.col("m.at").alias("main"), "slots", "links")
+    return join_keys(slots, texts, ["host"], ["texts"], "left")
 
 
 def main_text(page: str, main: str | None, slots, links, texts) -> str:
@@ -233,12 +240,14 @@ def main_text(page: str, main: str | None, slots, links, texts) -> str:
 
     # every content slot in page order; a slot of template texts only, or of links only, is none
     own = [(slot(p), p, t, f"{p}\n{_hash(t):x}" in known) for p, t, _, bad in found if not bad]
-    varied = {s for s, p, _, template in own if not template and s and p != "html/body"} - {"html", "html/body"}
+    varied = {s for s, _, _, template in own if not template and not ROOT.match(s)}
     return " ".join(t for s, p, t, template in own
-                    if (s not in bare or HEADING.match(p.rsplit("/", 1)[-1])) and (not template or s in varied))
+                    if (s not in bare or ROOT.match(s) or HEADING.match(p.rsplit("/", 1)[-1])) and (not template or s in varied))
 
 
 HEADING = re.compile(r"h[1-6](?:\.|$)")
+#: Paths that hold the whole page: no slot of their own.
+ROOT = re.compile(r"(?:html(?:\.[^/]*)?)?(?:/?body(?:\.[^/]*)?)?\Z")
 
 
 def _extract(batches):
