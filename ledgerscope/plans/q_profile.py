@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import profile as P
+from ..operators import sketches as SK
+from ..operators.combine import join_null_safe
 from ..sources.ledger import RAW_COLUMNS
 from .catalog import features_table, ledger, r, register
 from .q_features import with_features
@@ -366,3 +368,42 @@ def dest_history_histogram(spark, sf_dir):
     from ..operators import history as H
     feats = H.prior_history(ledger(spark, sf_dir))
     return _hist_out(P.class_histogram(feats, F.log1p("hist_dest_txn_count"), 40))
+
+
+_LEVELS = """l AS (
+  SELECT 'step' AS level, cast(step AS bigint) AS key, nameOrig, nameDest, amount FROM ledger
+  UNION ALL SELECT 'day', cast(floor((step - 1) / 24) AS bigint), nameOrig, nameDest, amount FROM ledger
+  UNION ALL SELECT 'all', NULL, nameOrig, nameDest, amount FROM ledger)"""
+
+
+@register("sketched_entities", with_ledger(_LEVELS) + """
+SELECT level, key, count(DISTINCT nameOrig) AS origins, count(DISTINCT nameDest) AS destinations, count(amount) AS amounts,
+  true AS origins_near, true AS destinations_near, true AS median_near FROM l GROUP BY level, key""")
+def sketched_entities(spark, sf_dir):
+    """A3, A8 by sketches: per step, united to days and to the whole ledger, and
+    whether the estimates are within their bounds of the exact figures beside
+    them (distinct counts by relative error, the median by its rank)."""
+    df = raw_ledger(spark, sf_dir).withColumn("day", F.expr("cast(floor((step - 1) / 24) AS bigint)")).withColumn("step", F.col("step").cast("long"))
+    steps = SK.step_sketches(df, ["nameOrig", "nameDest"], "amount", ("day", "step"))
+    days = SK.union(steps, ["day"])
+    levels = [("step", steps.withColumn("key", F.col("step"))), ("day", days.withColumn("key", F.col("day"))),
+              ("all", SK.union(days, []).withColumn("key", F.lit(None).cast("long")))]
+    near = None
+    for name, d in levels:
+        d = d.select(F.lit(name).alias("level"), "key", SK.distinct("nameOrig").alias("o"), SK.distinct("nameDest").alias("d"), SK.quantile("amount", 0.5).alias("m"))
+        near = d if near is None else near.unionByName(d)
+    at = F.expr("explode(array(named_struct('level', 'step', 'key', step), named_struct('level', 'day', 'key', day), named_struct('level', 'all', 'key', cast(null AS bigint))))")
+    rows = df.select("nameOrig", "nameDest", "amount", at.alias("at")).select("at.*", "nameOrig", "nameDest", "amount")
+    # the exact figures, for comparison only
+    origins = rows.groupBy("level", "key", "nameOrig").agg(F.lit(1).alias("one")).groupBy("level", "key").agg(F.count("nameOrig").alias("origins"))
+    dests = rows.groupBy("level", "key", "nameDest").agg(F.lit(1).alias("one")).groupBy("level", "key").agg(F.count("nameDest").alias("destinations"))
+    ranks = join_null_safe(rows.select("level", "key", "amount"), near, ["level", "key"], "inner").groupBy("level", "key").agg(
+        F.count("amount").alias("amounts"), F.count(F.expr("CASE WHEN amount <= m THEN 1 END")).alias("upto"),
+        F.count(F.expr("CASE WHEN amount < m THEN 1 END")).alias("below"))
+    out = near
+    for exact in (origins, dests, ranks):
+        out = join_null_safe(out, exact, ["level", "key"], "inner")
+    e = SK.distinct_error()
+    return out.select("level", "key", "origins", "destinations", "amounts", F.expr(f"abs(o - origins) <= {e} * origins").alias("origins_near"),
+                      F.expr(f"abs(d - destinations) <= {e} * destinations").alias("destinations_near"),
+                      F.expr("amounts = 0 OR (below <= 0.53 * amounts AND upto >= 0.47 * amounts)").alias("median_near"))
