@@ -2,7 +2,7 @@
 its queries) and returns the catalog module."""
 import importlib
 
-_MODULES = ["q_features", "q_profile", "q_metrics", "q_quality", "q_spikes", "q_decide", "q_models", "q_streaming"]
+_MODULES = ["q_features", "q_profile", "q_metrics", "q_quality", "q_spikes", "q_decide", "q_models", "q_artifacts", "q_streaming"]
 
 
 def load_all():

@@ -14,6 +14,7 @@ from ..functions import exprs as X
 from ..operators import decide as D
 from ..session import ensure_checkpoint_dir
 from ..sources.ledger import EVENTS_EPOCH_S
+from ..streaming import closed_steps as CS
 from ..streaming import jobs as SJ
 from ..streaming import keyed_history as KH
 from .catalog import ledger, r, register
@@ -110,6 +111,45 @@ def step_counts_stream(spark, sf_dir):
                       "gt_fraud_count")
 
 
+#: DEBIT rows reach the closed-window stream this many hours after their time.
+LATE_HOURS = 30
+
+
+@register("step_windows_stream", with_ledger() + """
+SELECT step, count(*) AS transaction_count, count(*) FILTER (type = 'TRANSFER') AS transfer_count,
+  count(*) FILTER (type = 'CASH_OUT') AS cash_out_count, cast(sum(isFraud) AS BIGINT) AS gt_fraud_count,
+  round(sum(amount), 4) AS total_amount, true AS once, true AS median_near
+FROM ledger GROUP BY step""")
+def step_windows_stream(spark, sf_dir):
+    """ST2: hours that come out once, when closed, and the rows that came later
+    than that. Which rows are late depends on the micro-batches; hours and late
+    rows together are the ledger's, and each hour's median is near that of its
+    own rows (by rank)."""
+    _, src, sink, ck = _scratch(spark)
+    rows = ledger(spark, sf_dir).select("event_id", F.timestamp_seconds((F.col("step").cast("long") - 1) * 3600 + EVENTS_EPOCH_S).alias("ts"),
+                                        "type", "amount", "isFraud")
+    arrives = F.when(F.col("type") == "DEBIT", F.col("ts") + F.expr(f"interval {LATE_HOURS} hours")).otherwise(F.col("ts"))
+    _write_source(rows.withColumn("arrives", arrives), src, ["arrives", "event_id"])
+    closed, late, still_open = CS.stream_closed_steps(spark, src, rows.schema, sink, ck, max_files_per_trigger=FILES_PER_BATCH)
+
+    def step(at):
+        return (F.floor((F.unix_seconds(at) - F.lit(EVENTS_EPOCH_S)) / 3600) + 1).cast("int").alias("step")
+
+    hours = closed.unionByName(still_open)
+    # the rows that each hour was made of, for comparison only
+    own = rows.join(late.select("event_id"), "event_id", "left_anti").join(hours.select("hour", "median_amount"), F.col("ts") == F.col("hour"))
+    m, n, e = F.col("median_amount"), F.count("amount"), 0.04      # three times the sketch's rank error
+    near = own.groupBy(step("ts")).agg(
+        ((F.count(F.when(F.col("amount") <= m, 1)) >= (0.5 - e) * n - 1) & (F.count(F.when(F.col("amount") < m, 1)) <= (0.5 + e) * n + 1)).alias("near"))
+    sums = ["transaction_count", "transfer_count", "cash_out_count", "gt_fraud_count", "total_amount"]
+    both = hours.select(step("hour"), *sums, F.lit(1).alias("windows")).unionByName(late.groupBy(step("ts")).agg(
+        F.count(F.lit(1)).alias("transaction_count"), F.count_if(F.col("type") == "TRANSFER").alias("transfer_count"),
+        F.count_if(F.col("type") == "CASH_OUT").alias("cash_out_count"), F.sum(F.col("isFraud").cast("long")).alias("gt_fraud_count"),
+        F.sum("amount").alias("total_amount"), F.lit(0).alias("windows")))
+    out = both.groupBy("step").agg(*[F.sum(c).alias(c) for c in sums], (F.sum("windows") <= 1).alias("once")).join(near, "step", "left")
+    return out.select("step", *sums[:-1], r("total_amount", 4).alias("total_amount"), "once", F.coalesce("near", F.lit(True)).alias("median_near"))
+
+
 @register("risk_decisions_stream", RISK_SQL)
 def risk_decisions_stream(spark, sf_dir):
     """ST1: banded decisions on the fixed linear score, computed by the

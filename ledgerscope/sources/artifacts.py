@@ -1,4 +1,4 @@
-"""Artifacts (S4-S8): engineered tables, frozen statistics, models, metadata
+"""Artifacts (S4-S8; S9 is in lookup.py): engineered tables, frozen statistics, models, metadata
 and scored predictions, written to a shared folder and read back.
 
 Paths must be on storage every executor sees (the cluster's shared folder).
@@ -9,7 +9,6 @@ import json
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def write_partitioned(df: DataFrame, path: str, column: str) -> None:
@@ -64,8 +63,3 @@ def read_metadata(spark: SparkSession, path: str) -> dict:
 def write_predictions(scored: DataFrame, path: str) -> None:
     """Scored rows keyed by split."""
     write_partitioned(scored, path, "split")
-
-
-def read_step(spark: SparkSession, path: str, step: int) -> DataFrame:
-    """One step's row; the filter is pushed to the parquet scan."""
-    return spark.read.parquet(path).where(F.col("step") == step)
