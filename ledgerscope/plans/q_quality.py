@@ -199,7 +199,7 @@ faults AS (SELECT *, CASE k
 SELECT event_id, errs IS NULL AS is_valid, coalesce(errs, '') AS errors, count(*) FILTER (errs IS NULL) OVER () AS n_valid,
   count(*) FILTER (errs IS NOT NULL) OVER () AS n_refused FROM faults""")
 def request_quarantine(spark, sf_dir):
-    """Q-10: valid and refused requests from one scan, with the observed counts."""
+    """Q-10: valid and refused requests from one scan, with their counts."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/requests-{uuid.uuid4().hex}"
     valid, refused, n = Q.quarantine(faulty_requests(spark, sf_dir), path)
     return valid.unionByName(refused).select("event_id", "is_valid", F.array_join("errors", "; ").alias("errors"),
