@@ -14,14 +14,17 @@ from ..functions import exprs as X
 from ..operators import decide as D
 from ..session import ensure_checkpoint_dir
 from ..sources.ledger import EVENTS_EPOCH_S
+from ..sources.published import publish_table
 from ..streaming import closed_steps as CS
 from ..streaming import jobs as SJ
 from ..streaming import keyed_history as KH
+from ..streaming import refreshed as RF
 from .catalog import ledger, r, register
 from .q_decide import frozen_stats
 from .q_features import DEST_HISTORY_SQL, _dest_history_out
 from .q_quality import ledger_requests
-from .q_spikes import extended_steps
+from .q_features import with_features
+from .q_spikes import EXT_CTES, extended_steps
 from .catalog import ORACLES
 from .sql import with_ledger
 from . import q_decide as _qd  # noqa: F401
@@ -166,3 +169,36 @@ def risk_decisions_stream(spark, sf_dir):
     return out.select("event_id", "status", "risk_score", "risk_band", "recommended_action", "mode",
                       "threshold_used", "alert", F.size(F.from_json("top_reasons", "array<string>")).alias("n_reasons"),
                       F.get_json_object("spike_context", "$.is_spike").cast("boolean").alias("is_spike"))
+
+
+#: Requests up to this step are decided before the spike table is first brought up to date.
+REFRESH_AFTER = 360
+
+
+@register("risk_decisions_refreshed", with_features(EXT_CTES) + f"""
+SELECT l.event_id, 'ok' AS status, round(least(1.0, l.amount / 500.0), 6) AS risk_score,
+  CASE WHEN least(1.0, l.amount / 500.0) >= 0.17 THEN 'REVIEW'
+       WHEN step > {REFRESH_AFTER} AND coalesce(e.stat_method_pred = 1, false) THEN 'REVIEW' ELSE 'ALLOW' END AS recommended_action,
+  step > {REFRESH_AFTER} AND coalesce(e.stat_method_pred = 1, false) AS is_spike,
+  step > {REFRESH_AFTER} AND e.step IS NULL AS outside, 1 AS frozen_version,
+  CASE WHEN step > {REFRESH_AFTER} THEN 1 END AS spikes_version
+FROM ledger l LEFT JOIN ext e USING (step)""")
+def risk_decisions_refreshed(spark, sf_dir):
+    """ST1: decisions of a stream whose spike table is published only after a
+    part of the requests: they are decided without it, the others with it."""
+    d, src, sink, ck = _scratch(spark)
+    frozen_root, spikes_root = os.path.join(d, "frozen"), os.path.join(d, "spikes")
+    publish_table(frozen_stats(spark, sf_dir), frozen_root)
+    req = ledger_requests(spark, sf_dir)
+    early = F.col("step").cast("int") <= REFRESH_AFTER
+
+    def score_fn(df):
+        return df.withColumn("pred_prob", F.least(F.lit(1.0), F.col("amount") / 500.0))
+
+    for part in (req.where(early), req.where(~F.coalesce(early, F.lit(False)))):
+        part.write.mode("append").parquet(src)
+        out = RF.stream_refreshed_decisions(spark, src, req.schema, sink, ck, frozen_root, spikes_root, D.modes_table(spark), score_fn)
+        publish_table(extended_steps(spark, sf_dir), spikes_root)
+    ctx = F.from_json("spike_context", "is_spike boolean, note string")
+    return out.select("event_id", "status", "risk_score", "recommended_action", F.coalesce(ctx["is_spike"], F.lit(False)).alias("is_spike"),
+                      ctx["note"].isNotNull().alias("outside"), "frozen_version", "spikes_version")

@@ -105,3 +105,22 @@ def latest(spark: SparkSession, root: str) -> Version:
         if said["parts"] == _sizes(spark, path) and set(said["parts"]) == set(PARTS):
             return Version(number, path, said["meta"])
     raise FileNotFoundError(f"no complete version under {root}")
+
+
+def publish_table(df: DataFrame, root: str) -> int:
+    """A new version of a lookup table; complete when its write is committed."""
+    spark, root = df.sparkSession, root.rstrip("/")
+    number = _claim(spark, root)
+    df.write.mode("overwrite").parquet(f"{root}/v={number}/table")
+    return number
+
+
+def complete_versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete versions of a lookup table, ascending."""
+    root = root.rstrip("/")
+    fs, jp = _fs(spark, root)
+    return [n for n in _numbers(spark, root) if fs.exists(jp(f"{root}/v={n}/table/_SUCCESS"))]
+
+
+def table_version(spark: SparkSession, root: str, number: int) -> DataFrame:
+    return spark.read.parquet(f"{root.rstrip('/')}/v={number}/table")

@@ -63,6 +63,18 @@ def test_parts_that_are_not_as_the_manifest_says_or_an_empty_manifest(spark, fit
     assert PB.latest(spark, root).meta == {"name": "a"}
 
 
+def test_models_score_in_a_session_that_has_split_requests(spark, fitted):
+    """Scored rows still serialise for a checkpoint after a quarantine."""
+    from ledgerscope.operators import quality as Q
+    rows = spark.createDataFrame([(1, "5", "CASH_OUT", "10"), (2, "0", "gift", "-1")], "event_id long, step string, type string, amount string")
+    rows = rows.select("*", *[F.lit(0.0).alias(c) for c in Q.BALANCE_FIELDS])
+    valid, refused, n = Q.quarantine(rows, _root(spark))
+    assert ([r.event_id for r in valid.collect()], [r.event_id for r in refused.collect()], n) == ([1], [2], {"valid": 1, "refused": 1})
+    assert Q.quarantine(rows.limit(0), _root(spark))[2] == {"valid": 0, "refused": 0}
+    model, scored = fitted
+    assert TR.score(model, scored.drop("pred_prob")).checkpoint().count() == 200
+
+
 def test_nothing_published(spark):
     with pytest.raises(FileNotFoundError):
         PB.latest(spark, _root(spark))
