@@ -84,7 +84,9 @@ def dest_history_keyed(spark, sf_dir):
     _, src, sink, ck = _scratch(spark)
     led = ledger(spark, sf_dir).select("event_id", "step", "nameDest", "nameOrig", "amount")
     _write_source(led, src, ["step", "event_id"])
-    out = KH.stream_keyed_history(spark, src, led.schema, sink, ck, FILES_PER_BATCH)
+    # every micro-batch starts a Python worker and a state store for each partition: a few a core, not more
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    out = KH.stream_keyed_history(spark, src, led.schema, sink, ck, FILES_PER_BATCH, partitions)
     late = KH.late_rows(led, out)
     n_late = late.where("step IS NOT NULL").count()
     if n_late:

@@ -7,6 +7,11 @@ earlier step can come any more: the watermark follows the highest step seen, so
 an event-time timer at T fires from the next micro-batch on. Rows of the step
 that is open then are settled at once; they see the totals before it only.
 
+Every call from Python to the state costs far more than the bytes it moves. So a
+destination has one timer, at the earliest step that waits, and not one a step;
+waiting rows are Arrow blocks; and origins lie in buckets of about ``BUCKET``,
+whose number doubles as they grow, so a row reads one bucket at most.
+
 A micro-batch touches the state of its own destinations and the expired timers,
 nothing else, so its work goes with its rows and not with the history behind it.
 The state is in RocksDB with changelog checkpoints. The rows of a destination in
@@ -19,16 +24,22 @@ from __future__ import annotations
 
 import contextlib
 import os
+import zlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import exact
 
 HOUR_MS = 3_600_000
+#: Origins in a bucket of the state, and rows in a waiting block.
+BUCKET, BLOCK = 256, 10_000
 #: Hours added to a step for its event time: a stream's first watermark is 0, so steps may go down to -START.
 START = 1_000_000
 PREFIX = "hist_dest"
@@ -49,6 +60,11 @@ def _due(step):
     return (step + START) * HOUR_MS - 1
 
 
+def _buckets(origins: int) -> int:
+    """Buckets for so many origins: a power of two."""
+    return 1 << (origins // BUCKET).bit_length()
+
+
 class DestinationHistory(StatefulProcessor):
     """Input rows: the ledger's columns, the amount's exact parts (``part_*``; the
     worker would rename columns with a leading underscore) and ``_ts``; output:
@@ -61,50 +77,84 @@ class DestinationHistory(StatefulProcessor):
     def init(self, handle):
         self.handle = handle
         self.totals = handle.getValueState("totals", f"open_step long, {_TOTALS}")
-        self.seen = handle.getMapState("seen", "origin string", "step long")
-        self.waiting = handle.getListState("waiting", self.held)
+        self.seen = handle.getMapState("seen", "bucket int", "origins array<string>")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues):
         watermark = timerValues.getCurrentWatermarkInMs()
-        ready, later = [], []
-        for pdf in rows:
-            settled = _due(pdf["step"].astype("int64")) <= watermark
-            ready.append(pdf[settled])
-            later.append(pdf[~settled])
-        ready, later = pd.concat(ready), pd.concat(later)
+        rows = pd.concat(list(rows))[self.held.names]
+        settled = _due(rows["step"].astype("int64")) <= watermark
+        ready, later = rows[settled], rows[~settled]
         if len(ready):          # input comes before the timers, so rows that wait and are settled by now go first
-            ready = pd.concat([self._settled(watermark), ready[self.held.names]])
+            held = self._settled(watermark)
+            ready = pd.concat([held, ready]) if len(held) else ready
         if len(later):
-            self.waiting.appendList(self._tuples(later))
-            for step in later["step"].unique():
-                self.handle.registerTimer(_due(int(step)))
+            self.waiting.appendList(self._blocks(later))
+            self.handle.registerTimer(_due(int(later["step"].min())))
         yield from self._out(ready)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         yield from self._out(self._settled(timerValues.getCurrentWatermarkInMs()))
 
     def _settled(self, watermark):
-        """Takes the settled rows out of the waiting ones."""
-        rows = pd.DataFrame(list(self.waiting.get()), columns=self.held.names)
+        """Takes the settled rows out of the waiting ones; a timer stays for the earliest of the others."""
+        blocks = [pa.ipc.open_stream(b).read_pandas() for b, in self.waiting.get()]
+        if not blocks:
+            return pd.DataFrame(columns=self.held.names)
+        rows = pd.concat(blocks)
         settled = _due(rows["step"].astype("int64")) <= watermark
+        rest = rows[~settled]
         if settled.all():
             self.waiting.clear()
         elif settled.any():
-            self.waiting.put(self._tuples(rows[~settled]))
+            self.waiting.put(self._blocks(rest))
+        if len(rest):
+            self.handle.registerTimer(_due(int(rest["step"].min())))
         return rows[settled]
 
     def close(self):
         pass
 
-    def _tuples(self, pdf):
-        """Rows for the state; a column with nulls comes as doubles, also of whole numbers."""
-        whole = [isinstance(f.dataType, (T.IntegerType, T.LongType)) for f in self.held.fields]
-        values = pdf[self.held.names].astype(object)
-        return [tuple(None if pd.isna(v) else int(v) if w else v for v, w in zip(r, whole))
-                for r in values.itertuples(index=False, name=None)]
+    def _blocks(self, pdf):
+        """Rows for the state."""
+        schema = to_arrow_schema(self.held)
+        out = []
+        for at in range(0, len(pdf), BLOCK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema) as w:
+                w.write_batch(pa.RecordBatch.from_pandas(pdf.iloc[at:at + BLOCK], schema, preserve_index=False))
+            out.append((sink.getvalue().to_pybytes(),))
+        return out
+
+    def _unseen(self, origins: list[str], known: int) -> list[str]:
+        """Those of the distinct origins that are new, noted; ``known``: how many are in the state."""
+        def dealt(names, n):
+            out = {}
+            for name in names:
+                out.setdefault(zlib.crc32(name.encode()) & (n - 1), []).append(name)
+            return out
+
+        n, new = _buckets(known), []
+        mine, held = dealt(origins, n), {}
+        for b, names in mine.items():
+            held[b] = list(self.seen.getValue((b,))[0]) if self.seen.containsKey((b,)) else []
+            old = set(held[b])
+            fresh = [x for x in names if x not in old]
+            new += fresh
+            mine[b] = fresh
+        grown = _buckets(known + len(new))
+        if grown == n:
+            for b, fresh in mine.items():
+                if fresh:
+                    self.seen.updateValue((b,), (held[b] + fresh,))
+        else:                   # as often as the number of origins doubles
+            every = new + [x for b in range(n) for x in (held[b] if b in held else self.seen.getValue((b,))[0] if self.seen.containsKey((b,)) else [])]
+            for b, names in dealt(every, grown).items():
+                self.seen.updateValue((b,), (names,))
+        return new
 
     def _out(self, rows):
-        """Settled rows, step by step: all see the totals before their step."""
+        """Settled rows: those of a step see the totals before it."""
         if not len(rows):
             return
         if self.totals.exists():
@@ -112,26 +162,31 @@ class DestinationHistory(StatefulProcessor):
             closed, opened = tuple(flat[:len(_SUMS)]), tuple(flat[len(_SUMS):])
         else:
             step, closed, opened = None, _EMPTY, _EMPTY
-        for this, part in rows.groupby("step", sort=True):
+        steps, at = np.unique(rows["step"].to_numpy("int64"), return_inverse=True)
+        origins = ["" if pd.isna(x) else "=" + x for x in rows["nameOrig"]]      # a null is an origin too
+        first = pd.Series(at).groupby(origins, sort=False).min()
+        new = self._unseen(first.index.tolist(), closed[1] + opened[1])
+
+        def summed(c, kind):
+            out = np.zeros(len(steps), kind)
+            np.add.at(out, at, rows[c].astype(float).fillna(0).to_numpy(kind) if rows[c].hasnans else rows[c].to_numpy(kind))
+            return out.tolist()
+
+        added = zip(np.bincount(at, minlength=len(steps)).tolist(), np.bincount(first[new].to_numpy(np.int64), minlength=len(steps)).tolist(),
+                    *[summed(f"part_{c}", float if c == "wide" else np.int64) for c in exact.NAMES],
+                    [None if pd.isna(x) else float(x) for x in rows["amount"].astype(float).groupby(at).max()])
+        before = []
+        for this, one in zip(steps.tolist(), added):
             if step is None or this > step:
-                step, closed, opened = int(this), _added(closed, opened), _EMPTY
-            out = part[self.columns].copy()
+                step, closed, opened = this, _added(closed, opened), _EMPTY
             total = float(exact.total(*[float(x) for x in closed[2:6]]))
-            out[f"{PREFIX}_txn_count"], out[f"{PREFIX}_unique_origin_count"] = closed[0], closed[1]
-            out[f"{PREFIX}_total_amount"] = total
-            out[f"{PREFIX}_max_amount"] = 0.0 if closed[6] is None else closed[6]
-            out[f"{PREFIX}_avg_amount"] = total / closed[0] if closed[0] else 0.0
-            yield out
-            fresh = 0
-            for origin in part["nameOrig"].unique():
-                origin = ("" if pd.isna(origin) else "=" + origin,)       # a state key is never null
-                if not self.seen.containsKey(origin):
-                    self.seen.updateValue(origin, (step,))
-                    fresh += 1
-            amounts = part["amount"].dropna()
-            opened = _added(opened, (len(part), fresh, *[int(part[f"part_{c}"].sum()) for c in exact.NAMES[:3]],
-                                     float(part["part_wide"].sum()), float(amounts.max()) if len(amounts) else None))
+            before.append((closed[0], closed[1], total, 0.0 if closed[6] is None else closed[6], total / closed[0] if closed[0] else 0.0))
+            opened = _added(opened, one)
         self.totals.update((step, *closed, *opened))
+        out = rows[self.columns].reset_index(drop=True)
+        for c, values in zip(("txn_count", "unique_origin_count", "total_amount", "max_amount", "avg_amount"), zip(*before)):
+            out[f"{PREFIX}_{c}"] = np.array(values)[at]
+        yield out
 
 
 @contextlib.contextmanager

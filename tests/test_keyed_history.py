@@ -71,3 +71,19 @@ def test_state_goes_with_the_batch(spark):
         q.awaitTermination()
         seen = [s["numRowsUpdated"] for p in q.recentProgress for s in p["stateOperators"]]
     assert q.exception() is None and max(seen) <= 60 and spark.read.parquet(out).agg(F.count("*")).first()[0] == 80
+
+
+def test_state_calls_do_not_go_with_the_steps(spark):
+    """A destination of many steps and origins: its state moves in blocks and buckets, by few timers."""
+    rows = [(i, i // 2 % 300, "M", f"C{i % 900}" if i % 17 else None, float(i % 5)) for i in range(3000)]
+    src, out, ck = folders(spark)
+    for lo, hi in ((0, 150), (150, 299), (299, 300)):
+        put(spark, src, [r for r in rows if lo <= r[1] < hi])
+    with K._state_store(spark, 1):
+        q = (K.with_history(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src), spark.createDataFrame([], SCHEMA).schema)
+             .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start())
+        q.awaitTermination()
+        moved = sum(s["numRowsUpdated"] for p in q.recentProgress for s in p["stateOperators"])
+    assert q.exception() is None
+    compare(spark, spark.read.parquet(out), rows)
+    assert moved < 200, moved
