@@ -3,9 +3,9 @@ stopping rule): logistic loss, best leaf first, up to ``max_leaves`` leaves.
 
 Rows are binned once (borders: quantiles over all rows) and kept as one byte a
 feature. To grow a tree only histograms travel: per leaf, feature and bin the
-sums of gradients and hessians and the row count, added up on the executors and
-folded by one small aggregate, at most ``2 x AHEAD`` leaves x features x bins
-numbers for the driver. Of two siblings the smaller one is summed, the other is
+sums of gradients and hessians and the row count, added up on the executors, at
+most ``AHEAD`` leaves x features x bins numbers a partition; past ``FOLD``
+partitions one small aggregate folds them before they come to the driver. Of two siblings the smaller one is summed, the other is
 its parent less that. Gradients are rounded to multiples of 2^-20, so the sums
 are whole numbers: they do not depend on the order of rows or partitions, and
 subtraction is exact.
@@ -13,8 +13,10 @@ subtraction is exact.
 A split changes nothing about other leaves, so one pass also gets the children
 of the ``AHEAD`` most promising leaves ahead of their turn. The order of splits
 is exactly best leaf first; what was fetched ahead and never had its turn is left
-out. Every ``KEEP_EVERY`` rounds the margins are written to the shared folder,
-which cuts the lineage; in between they are the kept margin plus a few trees.
+out. A pass follows rows only as far as they go towards the leaves that are asked
+for. After every round the rows are written to the shared folder with what the new
+tree adds, so no pass goes through earlier trees again; every ``KEEP_EVERY`` rounds
+that sum goes into the margin.
 
 Stopping: after each such stretch the validation rows are scored at every round
 of it, and one keyed curve over (round, score) gives all their average
@@ -37,6 +39,8 @@ from . import metrics as M
 
 AHEAD = 16
 KEEP_EVERY = 8
+#: Partitions whose sums the driver adds up itself, which saves a shuffle in every pass.
+FOLD = 64
 GRAIN = float(1 << 20)
 
 
@@ -51,8 +55,15 @@ class Tree:
             column.append(empty)
         return len(self.feature) - 1
 
-    def node_of(self, codes: np.ndarray) -> np.ndarray:
+    def node_of(self, codes: np.ndarray, towards: list[int] | None = None) -> np.ndarray:
+        """The leaf of each row; with ``towards`` the first node from which none of these is reached."""
         feature, code, left, right = (np.array(c) for c in (self.feature, self.code, self.left, self.right))
+        if towards is not None:
+            on_way = np.zeros(len(feature), bool)
+            on_way[towards] = True
+            for x in range(len(feature) - 1, -1, -1):       # children come after their parent
+                on_way[x] |= feature[x] >= 0 and (on_way[left[x]] or on_way[right[x]])
+            feature = np.where(on_way, feature, -1)
         at = np.zeros(len(codes), np.int64)
         inner = np.flatnonzero(feature[at] >= 0)
         while len(inner):
@@ -168,7 +179,8 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_BINNED = "y double, w double, codes binary, margin double"
+#: ``since``: what the trees since the last stretch add, before the rate.
+_BINNED = "y double, w double, codes binary, margin double, since double"
 
 
 def _binned(df: DataFrame, model: LeafwiseModel, label: str, weight: str) -> DataFrame:
@@ -177,20 +189,24 @@ def _binned(df: DataFrame, model: LeafwiseModel, label: str, weight: str) -> Dat
     def run(batches):
         m = shared.value
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf["_y"], "w": pdf["_w"], "codes": [r.tobytes() for r in m.codes(pdf)], "margin": m.base})
+            yield pd.DataFrame({"y": pdf["_y"], "w": pdf["_w"], "codes": [r.tobytes() for r in m.codes(pdf)], "margin": m.base, "since": 0.0})
     rows = df.select(F.col(label).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w"), *model.features)
     return _kept(rows.mapInPandas(run, _BINNED), "binned")
 
 
 def _arrays(batch: pa.RecordBatch, n_features: int):
-    y, w, margin = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("y", "w", "margin"))
-    codes = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("codes")).to_pylist()), np.uint8).reshape(-1, n_features)
-    return y, w, codes, margin
+    y, w, margin, since = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("y", "w", "margin", "since"))
+    column = batch.column(batch.schema.get_field_index("codes"))
+    # the bytes of the column as they lie, every row has as many
+    start = column.offset * n_features
+    codes = np.frombuffer(column.buffers()[2], np.uint8)[start:start + len(column) * n_features] if len(column) else np.zeros(0, np.uint8)
+    return y, w, codes.reshape(-1, n_features), margin, since
 
 
-def _histograms(rows: DataFrame, model: LeafwiseModel, recent: list[Tree], n_bins: int):
+def _histograms(rows: DataFrame, model: LeafwiseModel, n_bins: int):
     """The ``histograms`` function of ``grow`` over a binned table."""
     nf = len(model.features)
+    many = rows.rdd.getNumPartitions() > FOLD
 
     def ask(tree: Tree, nodes: list[int]):
         slot_of = np.full(len(tree.feature), -1)
@@ -200,14 +216,13 @@ def _histograms(rows: DataFrame, model: LeafwiseModel, recent: list[Tree], n_bin
         def run(batches):
             sums = np.zeros((3, *shape))
             for batch in batches:
-                y, w, codes, margin = _arrays(batch, nf)
-                slot = slot_of[tree.node_of(codes)]
+                y, w, codes, margin, since = _arrays(batch, nf)
+                slot = slot_of[tree.node_of(codes, nodes)]
                 mine = slot >= 0
                 if not mine.any():
                     continue
                 y, w, codes, slot = y[mine], w[mine], codes[mine], slot[mine]
-                margin = margin[mine] + model.rate * sum((t.margin(codes) for t in recent), np.zeros(len(y)))
-                g, h = quantised(margin, y, w)
+                g, h = quantised(margin[mine] + model.rate * since[mine], y, w)
                 for f in range(nf):
                     cell = slot * n_bins + codes[:, f]
                     for k, x in enumerate((g, h, None)):
@@ -216,21 +231,27 @@ def _histograms(rows: DataFrame, model: LeafwiseModel, recent: list[Tree], n_bin
             yield pa.RecordBatch.from_arrays([pa.array(cell), *[pa.array(s.ravel()[cell].astype(np.int64)) for s in sums]], ["cell", "g", "h", "n"])
 
         parts = rows.mapInArrow(run, "cell long, g long, h long, n long")
-        table = parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()
+        if many:
+            parts = parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in "ghn"])
+        table = parts.toArrow()
         out = [np.zeros(shape) for _ in range(3)]
         for c, x in zip("ghn", out):
-            x.ravel()[table.column("cell").to_numpy()] = table.column(c).to_numpy()
+            np.add.at(x.ravel(), table.column("cell").to_numpy(), table.column(c).to_numpy())
         return {node: tuple(x[i] for x in out) for i, node in enumerate(nodes)}
     return ask
 
 
-def _with_margin(rows: DataFrame, model: LeafwiseModel, recent: list[Tree]) -> DataFrame:
-    """The binned rows with the recent trees in their margin, written."""
+def _with_margin(rows: DataFrame, model: LeafwiseModel, recent: list[Tree], fold: bool = True) -> DataFrame:
+    """The binned rows with the recent trees added to ``since``, and all that to the margin if folded, written."""
     def run(batches):
         for batch in batches:
-            _, _, codes, margin = _arrays(batch, len(model.features))
-            new = margin + model.rate * sum((t.margin(codes) for t in recent), np.zeros(len(margin)))
-            yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(new))
+            _, _, codes, margin, since = _arrays(batch, len(model.features))
+            since = sum((t.margin(codes) for t in recent), since)
+            if fold:
+                margin, since = margin + model.rate * since, np.zeros(len(margin))
+            for c, new in (("margin", margin), ("since", since)):
+                batch = batch.set_column(batch.schema.get_field_index(c), c, pa.array(new))
+            yield batch
     return _kept(rows.mapInArrow(run, _BINNED), "margins")
 
 
@@ -238,7 +259,7 @@ def staged_ap(rows: DataFrame, model: LeafwiseModel, recent: list[Tree], first:
     """Average precision after each of the recent rounds, by one keyed curve."""
     def run(batches):
         for batch in batches:
-            y, _, codes, margin = _arrays(batch, len(model.features))
+            y, _, codes, margin, _ = _arrays(batch, len(model.features))
             for i, t in enumerate(recent):
                 margin = margin + model.rate * t.margin(codes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), first + i)), pa.array(y.astype(np.int32)), pa.array(_probability(margin))],
@@ -263,8 +284,11 @@ def fit(train: DataFrame, val: DataFrame, features: list[str], label: str = "isF
     curve, best = [], 0
     while len(model.trees) < rounds:
         recent: list[Tree] = []
-        for _ in range(min(KEEP_EVERY, rounds - len(model.trees))):
-            recent.append(grow(_histograms(rows, model, recent, max_bins), max_leaves, min_rows, min_hessian))
+        stretch = min(KEEP_EVERY, rounds - len(model.trees))
+        while len(recent) < stretch:
+            recent.append(grow(_histograms(rows, model, max_bins), max_leaves, min_rows, min_hessian))
+            if len(model.trees) + len(recent) < rounds:
+                rows = _with_margin(rows, model, recent[-1:], fold=len(recent) == stretch)
         got = staged_ap(held, model, recent, len(curve))
         for r in range(len(curve), len(curve) + len(recent)):
             curve.append(got.get(r, -1.0))
@@ -273,7 +297,8 @@ def fit(train: DataFrame, val: DataFrame, features: list[str], label: str = "isF
             if r - best >= patience:
                 model.trees = (model.trees + recent)[:best + 1]
                 return model, curve
-        rows, held = _with_margin(rows, model, recent), _with_margin(held, model, recent)
+        if len(model.trees) + stretch < rounds:
+            held = _with_margin(held, model, recent)
         model.trees += recent
     model.trees = model.trees[:best + 1]
     return model, curve

@@ -69,8 +69,8 @@ def model_comparison(spark, sf_dir):
 
 
 _LEAFWISE: dict = {}
-#: Rounds of the registered queries: a tree takes about 20 passes, half a second each
-#: on a local session whatever the table's size; ``leafwise.fit`` itself defaults to 500.
+#: Rounds of the registered queries: a tree takes about 40 passes, a sixth of a second each
+#: on a local session over a small table; ``leafwise.fit`` itself defaults to 500.
 LEAFWISE_ROUNDS, LEAFWISE_PATIENCE = 8, 30
 
 

@@ -118,3 +118,29 @@ def test_few_rows_and_one_class(spark):
     model, curve = L.fit(frame(spark, x, y * 0, 1), frame(spark, x, y, 1).limit(0), FEATURES, rounds=2, max_bins=8)
     assert len(model.trees) == 1 and curve == [-1.0, -1.0]
     assert model.score(frame(spark, x, y, 1)).count() == 30
+
+
+def test_passes_are_one_job_and_follow_rows_towards_the_asked_leaves(spark, monkeypatch):
+    x, y = table(600, 7)
+    df = frame(spark, x, y, 3)
+    grow, passes = L.grow, []
+
+    def counted(histograms, *args):
+        def ask(tree, nodes):
+            passes.append(len(nodes))
+            return histograms(tree, nodes)
+        return grow(ask, *args, ahead=1)
+    monkeypatch.setattr(L, "grow", counted)
+    spark.sparkContext.setJobGroup("leafwise-passes", "")
+    try:
+        model, _ = L.fit(df, df, FEATURES, rounds=4, max_leaves=20, min_rows=5, max_bins=8)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("leafwise-passes")
+    assert len(passes) >= 60 and len(jobs) < len(passes) + 50
+    tree = model.trees[0]
+    codes = model.codes(df.toPandas())
+    leaf = tree.node_of(codes)
+    for asked in ([int(leaf[0])], [int(leaf[0]), int(leaf[-1])]):
+        near = tree.node_of(codes, asked)
+        assert (np.isin(leaf, asked) == np.isin(near, asked)).all() and (near <= leaf).all() and (near < leaf).any()
