@@ -34,9 +34,10 @@ def score_table(df: DataFrame, label: str, score: str, keys: list[str]) -> DataF
 def curve(df: DataFrame, label: str = "isFraud", score: str = "score",
           keys: list[str] | None = None) -> DataFrame:
     """Per distinct score, tp/fp at threshold ``score >= s`` plus P, N,
-    precision and recall."""
+    precision and recall. The table of scores is checkpointed: dealing it out by
+    range reads it twice, and the scoring behind it is the dear part."""
     keys = list(keys or [])
-    st = score_table(df, label, score, keys)
+    st = score_table(df, label, score, keys).checkpoint()
     cum = running_totals(st, keys, "score", ["pos", "neg"], descending=True, totals=True)
     return (cum.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "all_pos": "P", "all_neg": "N"})
                .withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))

@@ -91,7 +91,7 @@ def fit(name: str, train: DataFrame, val: DataFrame, features=FEATURES) -> tuple
     """Fit one model; returns (model, seconds)."""
     t0 = time.time()
     if name == "logistic_regression":
-        tr = with_weights(train, "balanced").cache()
+        tr = with_weights(train, "balanced").select(*features, LABEL, "weight").cache()
         n = tr.count()
         model = logistic_pipeline(n, features).fit(tr)
         tr.unpersist()
@@ -100,7 +100,8 @@ def fit(name: str, train: DataFrame, val: DataFrame, features=FEATURES) -> tuple
         wp = tr.where(F.col(LABEL) == 1).select("weight").first()
         wpos = wp["weight"] if wp else 1.0
         va = val.withColumn("weight", F.when(F.col(LABEL) == 1, F.lit(wpos)).otherwise(F.lit(1.0)))
-        both = tr.withColumn("is_val", F.lit(False)).unionByName(va.withColumn("is_val", F.lit(True))).cache()
+        both = (tr.withColumn("is_val", F.lit(False)).unionByName(va.withColumn("is_val", F.lit(True)))
+                .select(*features, LABEL, "weight", "is_val").cache())
         model = gbt_pipeline(name, features).fit(both)
         both.unpersist()
     return model, time.time() - t0

@@ -113,9 +113,16 @@ def leafwise_importances(spark, sf_dir):
     return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(model.importances())], "feature string, importance double, rank int")
 
 
+_SCORES: dict = {}
+
+
 def _selected_scores(spark, sf_dir, part):
-    run = model_run(spark, sf_dir)
-    return TR.score(run.models[run.selected], getattr(run, part))
+    """Labels and the selected model's scores of a split, scored once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, part)
+    if key not in _SCORES:
+        run = model_run(spark, sf_dir)
+        _SCORES[key] = TR.score(run.models[run.selected], getattr(run, part)).select(TR.LABEL, "pred_prob").checkpoint()
+    return _SCORES[key]
 
 
 @register("model_threshold_sweep")
@@ -211,6 +218,10 @@ def model_spike_eval(spark, sf_dir):
     return out
 
 
+#: Shuffled copies in a task of the join that gives them the other features.
+COPIES_PER_TASK = 500_000
+
+
 @register("permutation_importance")
 def permutation_importance(spark, sf_dir, repeats=5):
     """Drop in validation PR-AUC when one feature is shuffled, mean of 5
@@ -230,7 +241,9 @@ def permutation_importance(spark, sf_dir, repeats=5):
         F.struct(F.lit(f).alias("pf"), F.lit(r).alias("rep"), F.col(f).cast("double").alias("v"),
                  F.pmod(F.col("_i") - F.lit(rng.randrange(1, max(n, 2))), F.lit(max(n, 1))).alias("_i"))
         for f in TR.FEATURES for r in range(repeats)])).alias("m")
-    moved = rows.select(moves).select("m.*").join(rows, "_i")
+    # so many partitions, which Spark doesn't merge by their packed size, that a task's memory stays as the rows grow
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(TR.FEATURES) * repeats // COPIES_PER_TASK))
+    moved = rows.select(moves).select("m.*").repartition(parts, "_i").join(rows.repartition(parts, "_i"), "_i")
     for f in TR.FEATURES:
         moved = moved.withColumn(f, F.when(F.col("pf") == f, F.col("v")).otherwise(F.col(f)))
     cv = M.curve(TR.score(model, moved.drop("_i", "v")), TR.LABEL, "pred_prob", keys=["pf", "rep"])
