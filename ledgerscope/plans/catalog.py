@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources import ledger as L
-from ..sources.artifacts import write_features
+from ..sources.artifacts import bounded_files, write_features
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +48,7 @@ def _materialized(spark: SparkSession, sf_dir: str, kind: str, build, sort: str
         base = ensure_checkpoint_dir(spark)
         path = f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
         df = build(spark, sf_dir)
-        (df.sortWithinPartitions(sort) if sort else df).write.mode("overwrite").parquet(path)
+        bounded_files((df.sortWithinPartitions(sort) if sort else df).write.mode("overwrite")).parquet(path)
         _LEDGERS[key] = path
     return spark.read.parquet(path)
 

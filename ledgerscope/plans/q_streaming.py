@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import decide as D
 from ..session import ensure_checkpoint_dir
+from ..sources.artifacts import bounded_files
 from ..sources.ledger import EVENTS_EPOCH_S
 from ..sources.published import publish_table
 from ..streaming import closed_steps as CS
@@ -198,9 +199,10 @@ def risk_decisions_refreshed(spark, sf_dir):
         return df.withColumn("pred_prob", F.least(F.lit(1.0), F.col("amount") / 500.0))
 
     for part in (req.where(early), req.where(~F.coalesce(early, F.lit(False)))):
-        part.write.mode("append").parquet(src)
+        bounded_files(part.write.mode("append")).parquet(src)     # a micro-batch has no more tasks than its files have row groups
         out = RF.stream_refreshed_decisions(spark, src, req.schema, sink, ck, frozen_root, spikes_root, D.modes_table(spark), score_fn)
         publish_table(extended_steps(spark, sf_dir), spikes_root)
-    ctx = F.from_json("spike_context", "is_spike boolean, note string")
-    return out.select("event_id", "status", "risk_score", "recommended_action", F.coalesce(ctx["is_spike"], F.lit(False)).alias("is_spike"),
-                      ctx["note"].isNotNull().alias("outside"), "frozen_version", "spikes_version")
+    # its own column: parsed once a row for both fields
+    out = out.withColumn("ctx", F.from_json("spike_context", "is_spike boolean, note string"))
+    return out.select("event_id", "status", "risk_score", "recommended_action", F.coalesce("ctx.is_spike", F.lit(False)).alias("is_spike"),
+                      F.col("ctx.note").isNotNull().alias("outside"), "frozen_version", "spikes_version")

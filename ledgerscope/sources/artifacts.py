@@ -8,7 +8,16 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+
+#: Rows of one file of a derived table. A row group is never split between tasks
+#: and such rows pack into a few MB, so a larger file keeps later tasks few and uneven.
+ROWS_PER_FILE = 250_000
+
+
+def bounded_files(writer: DataFrameWriter) -> DataFrameWriter:
+    """The writer with files of at most ``ROWS_PER_FILE`` rows, without a shuffle."""
+    return writer.option("maxRecordsPerFile", ROWS_PER_FILE)
 
 
 def write_partitioned(df: DataFrame, path: str, column: str) -> None:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decide as D
+from ..sources.artifacts import bounded_files
 from ..sources.published import complete_versions, table_version
 from .jobs import _exists, _run
 
@@ -45,8 +46,8 @@ def stream_refreshed_decisions(spark: SparkSession, source_dir: str, schema, out
             raise FileNotFoundError(f"no complete version of the frozen table under {frozen_root}")
         out = D.decide(batch, table_version(spark, frozen_root, frozen), modes, score_fn,
                        None if spikes is None else table_version(spark, spikes_root, spikes), contrib_fn=contrib_fn)
-        (flat_decisions(out).withColumn("frozen_version", F.lit(frozen).cast("long")).withColumn("spikes_version", F.lit(spikes).cast("long"))
-         .write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}")))
+        flat = flat_decisions(out).withColumn("frozen_version", F.lit(frozen).cast("long")).withColumn("spikes_version", F.lit(spikes).cast("long"))
+        bounded_files(flat.write.mode("overwrite")).parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
 
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerscope.operators import decide as D
+from ledgerscope.plans import q_streaming as QS
+from ledgerscope.plans.catalog import ledger
 from ledgerscope.session import ensure_checkpoint_dir
+from ledgerscope.sources import artifacts as A
 from ledgerscope.sources import published as PB
 from ledgerscope.streaming import refreshed as RF
 from tests.conftest import ORDINARY
@@ -101,3 +104,25 @@ def test_versions_that_are_not_finished_or_missing(spark):
     assert PB.publish_table(_frozen(spark, 5000.0), at["frozen"]) == 2
     at["ckpt"] += "-new"
     assert _run(spark, at, schema, _ratio).first().frozen_version == 2
+
+
+def test_rows_of_one_task_are_laid_down_in_bounded_files(spark, tmp_path, monkeypatch):
+    """A large events file that one task reads must not leave its requests, their
+    decisions and the result to one task each."""
+    monkeypatch.setattr(A, "ROWS_PER_FILE", 20, raising=False)
+    monkeypatch.setattr(QS, "frozen_stats", lambda *_: _frozen(spark, 5000.0))
+    monkeypatch.setattr(QS, "extended_steps", lambda *_: _spikes(spark, 1))
+    at = []
+    scratch = QS._scratch
+    monkeypatch.setattr(QS, "_scratch", lambda s: at.append(scratch(s)) or at[-1])
+    events = spark.range(0, 120, 1, 1).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(QS.EVENTS_EPOCH_S + F.col("id") % 100 * 7 * 3600).alias("ts"), F.col("id").alias("user_id"),
+        F.lit("click").alias("event_type"), (F.col("id") + 0.5).alias("value"), F.lit('{"k": 1}').alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    out = QS.risk_decisions_refreshed(spark, str(tmp_path)).collect()
+    # 7 * 51 + 1 is the last step up to 360: ids 0 to 51 and 100 to 119
+    assert sorted((r.event_id, r.spikes_version) for r in out) == [(i, None if i % 100 <= 51 else 1) for i in range(120)]
+    _, src, sink, _ = at[0]
+    for df in (ledger(spark, str(tmp_path)), spark.read.parquet(src), spark.read.parquet(sink)):
+        files = [r["count"] for r in df.groupBy(F.input_file_name()).count().collect()]
+        assert sum(files) == 120 and max(files) <= 20
