@@ -144,3 +144,57 @@ def test_passes_are_one_job_and_follow_rows_towards_the_asked_leaves(spark, monk
     for asked in ([int(leaf[0])], [int(leaf[0]), int(leaf[-1])]):
         near = tree.node_of(codes, asked)
         assert (np.isin(leaf, asked) == np.isin(near, asked)).all() and (near <= leaf).all() and (near < leaf).any()
+
+
+def _splits(tree):
+    return [(tree.feature[i], tree.code[i], tree.gain[i], tree.n[i]) for i in _inner(tree)]
+
+
+def test_leaves_grown_in_one_task_give_the_same_trees(spark, monkeypatch):
+    x, y = table(900, 8)
+    df = frame(spark, x, y, 4)
+    trees = []
+    for small in (0, 150, 1 << 18):
+        monkeypatch.setattr(L, "SMALL", small)
+        model, curve = L.fit(df, df, FEATURES, rounds=3, max_leaves=25, min_rows=5, max_bins=16, rate=0.4, patience=99)
+        trees.append(([_splits(t) for t in model.trees], curve, [sorted(t.margin(model.codes(df.toPandas()))) for t in model.trees]))
+    assert len(trees[0][0]) == 3 and all(len(t) == 24 for t in trees[0][0])
+    assert trees[0] == trees[1] == trees[2]
+
+
+def test_a_fit_leaves_no_tables_behind(spark):
+    from pathlib import Path
+
+    from ledgerscope.session import ensure_checkpoint_dir
+    kept = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    x, y = table(200, 9)
+    before = set(kept.iterdir())
+    L.fit(frame(spark, x, y, 2), frame(spark, x, y, 2), FEATURES, rounds=10, max_leaves=4, max_bins=8)
+    assert not [p.name for p in set(kept.iterdir()) - before if p.name.startswith(("binned", "margins"))]
+
+
+@pytest.fixture(scope="module")
+def boosted(spark):
+    """The query module over rows of all splits whose label takes more than a few rounds to learn."""
+    from ledgerscope.operators import train as TR
+    from ledgerscope.plans import q_models as Q
+    rng = np.random.default_rng(17)
+    n = 450
+    x = np.round(rng.normal(size=(n, len(TR.FEATURES))), 2)
+    y = (x[:, :3].sum(axis=1) + rng.normal(size=n) > 1).astype(int)
+    rows = [(int(s), "TRANSFER", int(t), *map(float, r)) for s, t, r in zip(np.repeat([100, 550, 700], n // 3), y, x)]
+    schema = "step int, type string, isFraud int, " + ", ".join(f"{f} double" for f in TR.FEATURES)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Q, "features_table", lambda s, d: s.createDataFrame(rows, schema).coalesce(2))
+        patch.setattr(Q, "_LEAFWISE", {})
+        yield Q
+
+
+def test_registered_queries_boost_until_the_patience_is_over(spark, boosted):
+    rounds = boosted.leafwise_rounds(spark, "rows at hand").orderBy("round").collect()
+    best = max(rounds, key=lambda r: (r.val_pr_auc, -r.round)).round
+    assert [r.round for r in rounds if r.kept] == [best] and best > 8
+    assert len(rounds) == 500 or (rounds[-1].patience_left == 0 and len(rounds) == best + 30)
+    ev = {r.split: r for r in boosted.leafwise_evaluation(spark, "rows at hand").collect()}
+    assert {r.n_trees for r in ev.values()} == {best} and set(ev) == {"val", "test"}
+    assert ev["val"].pr_auc == pytest.approx(rounds[best - 1].val_pr_auc, abs=1e-6)
