@@ -198,3 +198,14 @@ def test_registered_queries_boost_until_the_patience_is_over(spark, boosted):
     ev = {r.split: r for r in boosted.leafwise_evaluation(spark, "rows at hand").collect()}
     assert {r.n_trees for r in ev.values()} == {best} and set(ev) == {"val", "test"}
     assert ev["val"].pr_auc == pytest.approx(rounds[best - 1].val_pr_auc, abs=1e-6)
+
+
+def test_registered_importances_are_of_all_kept_rounds(spark, boosted):
+    got = boosted.leafwise_importances(spark, "rows at hand").orderBy("rank").collect()
+    model = next(iter(boosted._LEAFWISE.values()))[0]
+    gain = dict.fromkeys(model.features, 0.0)
+    for t in model.trees:
+        for i in _inner(t):
+            gain[model.features[t.feature[i]]] += t.gain[i]
+    assert len(model.trees) > 8 and {r.feature: r.importance for r in got} == pytest.approx({f: g / sum(gain.values()) for f, g in gain.items()})
+    assert [r.importance for r in got] == sorted((r.importance for r in got), reverse=True)
